@@ -56,9 +56,13 @@ def pair_texts(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     """Token lines of both sides of each pair: cik, filing_a, filing_b, words_a, words_b.
 
     Filing keys are unique, so neither join has a hot key, and both read the same shuffle of the
-    tokenised sections.
+    tokenised sections. Its partition count is fixed: the work that follows grows faster than
+    the bytes, so partitions must not be merged by size.
     """
-    words = sections.select("cik", "accession", token_line(F.col("text")).alias("words"))
+    partitions = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = sections.select("cik", "accession", token_line(F.col("text")).alias("words")).repartition(
+        partitions, "cik", "accession"
+    )
     a = words.select("cik", F.col("accession").alias("filing_a"), F.col("words").alias("words_a"))
     b = words.select("cik", F.col("accession").alias("filing_b"), F.col("words").alias("words_b"))
     return (
@@ -69,8 +73,9 @@ def pair_texts(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def comparable(texts: DataFrame) -> DataFrame:
-    return texts.filter((F.col("words_a") != "") & (F.col("words_b") != ""))
+def with_tokens(sections: DataFrame) -> DataFrame:
+    """Sections with at least one token; the test stops at the first one."""
+    return sections.filter(F.rlike(F.lower("text"), F.lit("[a-z']")))
 
 
 def uncomparable(texts: DataFrame) -> DataFrame:
@@ -154,7 +159,7 @@ def compare_sections(
     sections: DataFrame, pairs: DataFrame, lexicon: DataFrame, basis: str = "longer"
 ) -> DataFrame:
     """One row of measures per pair: ticker, dates, distance, similarity, lengths, sentiment."""
-    texts = comparable(pair_texts(sections, pairs))
+    texts = pair_texts(with_tokens(sections), pairs)
     sentiment = mean_sentiment(new_words(texts, basis), lexicon)
     return (
         pairs.join(edit_distances(texts), PAIR_KEY)
