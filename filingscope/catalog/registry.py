@@ -13,6 +13,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from filingscope.functions.text import SPACE_CLASS, S
+from filingscope.operators.html_text import RUN
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -94,6 +97,6 @@ def query(key: str, build: Callable[[Inputs], DataFrame], sql: str | None = None
 
 def re2(pattern: str) -> str:
     """A regex of this package as an SQL literal for an engine without lookaround."""
-    pattern = pattern.replace("(?iu)", "(?i)")
+    pattern = pattern.replace("(?iu:", "(?i:").replace(RUN, S + "+").replace("*+", "*").replace(S, f"[{SPACE_CLASS}]")
     pattern = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern)
     return "'" + pattern.replace("'", "''") + "'"

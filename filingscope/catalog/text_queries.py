@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from filingscope.catalog.registry import derived, query, re2
-from filingscope.functions.text import S
+from filingscope.functions.text import SPACE_CLASS, S
 from filingscope.operators import headings
 from filingscope.operators import html_text as h
 
@@ -89,14 +89,13 @@ def _before_second(text: str) -> str:
 
 
 ITEM_HEAD_SQL = (
-    r"(?i)(^|[^\s])(\s*items?\b\s*\d+[A-Za-z]?(?:\s*(?:and|to|through|-)\s*\d+[A-Za-z]?)*\s*\.)"
+    rf"(?i)(^|[^{SPACE_CLASS}])({S}*items?\b{S}*\d+[A-Za-z]?(?:{S}*(?:and|to|through|-){S}*\d+[A-Za-z]?)*{S}*\.)"
 )
 
 
 def _break_items(text: str) -> str:
     """Without look-behind: keep the sign before the heading; none of the texts starts with one."""
-    broken = _replace_all(text, ITEM_HEAD_SQL.replace(r"\s", S).replace("[^[", "[^[").replace(f"[^{S}]", f"[^{S[1:-1]}]"), "\\1\n\\2")
-    return _replace_all(broken, r"[ \t]+\n", "\n")
+    return _replace_all(_replace_all(text, ITEM_HEAD_SQL, "\\1\n\\2"), r"[ \t]+\n", "\n")
 
 
 def _clean_lines(text: str) -> str:

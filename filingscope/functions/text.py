@@ -36,7 +36,9 @@ def _members(ranges: tuple[tuple[int, int], ...]) -> str:
 SPACE_CLASS = _members(SPACE_RANGES)
 SPACE_CHARS = "".join(chr(c) for lo, hi in SPACE_RANGES for c in range(lo, hi + 1))
 LINE_BREAK = rf"\r\n|[{_members(LINE_END_RANGES)}]"
-S = f"[{SPACE_CLASS}]"
+# The same set for Java, as a property it looks up in a table instead of range by range.
+S = r"[\x1c\x1d\x1e\x1f\p{IsWhite_Space}]"
+NOT_S = f"[^{SPACE_CLASS}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

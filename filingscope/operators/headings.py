@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import S, digit_class, let, lines, lstrip, strip, sub, unlines
+from filingscope.functions.text import NOT_S, S, digit_class, let, lines, lstrip, strip, sub, unlines
 
 NOT_WORD = r"(?![\p{L}\p{N}_])"
 # Heading words, in this spelling only.
-SPACE_AFTER_ITEM = rf"(?<![\p{{L}}\p{{N}}_])(Items?){NOT_WORD}(?=[^{S[1:-1]}])"
+SPACE_AFTER_ITEM = rf"(?<![\p{{L}}\p{{N}}_])(Items?){NOT_WORD}(?={NOT_S})"
 ITEM_WORDS = ("Item", "Items")
 ITEM_NUMBER = rf"\AItem{S}+\p{{Nd}}+\z"
 LETTER_DOT = r"\A[A-Za-z]?\."

@@ -1,8 +1,9 @@
 """HTML filings to plain text: one projection of native column expressions, no shuffle.
 
-Every step takes and returns a text column, so steps can be used alone. Patterns avoid look-behind
-scans that grow with the square of the text: `[^>]` replaces lazy dots, and leading whitespace is
-anchored at the start of its run.
+Every step takes and returns a text column, so steps can be used alone. Each pattern starts with a
+case-sensitive sign or a small class, so that the search passes over ordinary text quickly; `[^>]`
+replaces lazy dots, and leading whitespace is anchored at the start of its run, so no pattern
+rescans a long run of blanks.
 """
 
 from __future__ import annotations
@@ -12,20 +13,23 @@ from pyspark.sql import functions as F
 
 from filingscope.functions.text import S, let, lines, lstrip, rstrip, strip, sub, unlines
 
-# Any case, in Python's Unicode sense.
-ANY_CASE = "(?iu)"
 # A tag is recognised at a line's end if its "<" lies in the last 300 characters.
 TAG_WINDOW = 300
 DOCUMENT_START = "<SEC-DOCUMENT>"
 SECOND_DOCUMENT = "<SEQUENCE>2"
 
-# Patterns, with \d, \s and lazy dots spelled out. Order matters.
-HEAD = (ANY_CASE + r"(?s)<head>.*?</head>", "")
-STYLE_ATTRIBUTE = (ANY_CASE + S + r"""style=(?:"[^"\n]*"|'[^'\n]*')""", "")
-ID_ATTRIBUTE = (ANY_CASE + S + r"""+id=(?:"[^"\n]*"|'[^'\n]*')""", "")
-ALIGN_ATTRIBUTE = (ANY_CASE + S + r"""+align=(?:"[^"\n]*"|'[^'\n]*')""", "")
-COMMENT = (r"(?s)<!--.*?-->", "")
-IMAGE = (ANY_CASE + r"<img[^>\n]*>", "")
+# A whole run of blanks; the test behind the first one keeps a search from starting inside the run.
+RUN = rf"{S}(?<!{S}{S}){S}*+"
+LATIN_SPACE = r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0]"
+
+# Patterns, with \d, \s and lazy dots spelled out. "(?iu:" is any case, in Python's
+# Unicode sense. Order matters.
+HEAD = (r"<(?iu:head)>(?s:.*?)</(?iu:head)>", "")
+STYLE_ATTRIBUTE = (S + r"""(?iu:style)=(?:"[^"\n]*"|'[^'\n]*')""", "")
+ID_ATTRIBUTE = (RUN + r"""(?iu:id)=(?:"[^"\n]*"|'[^'\n]*')""", "")
+ALIGN_ATTRIBUTE = (RUN + r"""(?iu:align)=(?:"[^"\n]*"|'[^'\n]*')""", "")
+COMMENT = (r"<!--(?s:.*?)-->", "")
+IMAGE = (r"<(?iu:img)[^>\n]*>", "")
 LITERALS = (
     ("<span>", ""),
     ("</span>", ""),
@@ -39,39 +43,42 @@ THREE_DIGIT_REFERENCE = (r"&#\p{Nd}{3};", " ")
 # An opening tag becomes a line break, a closing tag vanishes; br and hr vanish. The patterns match
 # prefixes on purpose: the one for "a" also takes "article".
 UNWRAP = (
-    (ANY_CASE + r"<ix:[a-zA-Z0-9_:]+[^>\n]*>", "\n"),
-    (ANY_CASE + r"</ix:[a-zA-Z0-9_:]+>", ""),
-    (ANY_CASE + r"<html[^>]*>", "\n"),
-    (ANY_CASE + r"</html>", ""),
-    (ANY_CASE + r"<font[^>]*>", "\n"),
-    (ANY_CASE + r"</font>", ""),
-    (ANY_CASE + r"<br[^>]*>", ""),
-    (ANY_CASE + r"<hr[^>]*>", ""),
-    (ANY_CASE + r"<b>", "\n"),
-    (ANY_CASE + r"</b>", ""),
-    (ANY_CASE + r"<center>", "\n"),
-    (ANY_CASE + r"</center>", ""),
-    (ANY_CASE + r"<a[^>]*>", "\n"),
-    (ANY_CASE + r"</a>", ""),
-    (ANY_CASE + r"<table[^>]*>", "\n"),
-    (ANY_CASE + r"</table>", ""),
-    (ANY_CASE + r"<tr[^>]*>", "\n"),
-    (ANY_CASE + r"</tr>", ""),
-    (ANY_CASE + r"<td[^>]*>", "\n"),
-    (ANY_CASE + r"</td>", ""),
+    (r"<(?iu:ix:[a-zA-Z0-9_:]+)[^>\n]*>", "\n"),
+    (r"</(?iu:ix:[a-zA-Z0-9_:]+)>", ""),
+    (r"<(?iu:html)[^>]*>", "\n"),
+    (r"</(?iu:html)>", ""),
+    (r"<(?iu:font)[^>]*>", "\n"),
+    (r"</(?iu:font)>", ""),
+    (r"<(?iu:br)[^>]*>", ""),
+    (r"<(?iu:hr)[^>]*>", ""),
+    (r"<(?iu:b)>", "\n"),
+    (r"</(?iu:b)>", ""),
+    (r"<(?iu:center)>", "\n"),
+    (r"</(?iu:center)>", ""),
+    (r"<(?iu:a)[^>]*>", "\n"),
+    (r"</(?iu:a)>", ""),
+    (r"<(?iu:table)[^>]*>", "\n"),
+    (r"</(?iu:table)>", ""),
+    (r"<(?iu:tr)[^>]*>", "\n"),
+    (r"</(?iu:tr)>", ""),
+    (r"<(?iu:td)[^>]*>", "\n"),
+    (r"</(?iu:td)>", ""),
 )
-XBRLI_BLOCK = (ANY_CASE + r"(?s)<xbrli:([a-zA-Z0-9_:]+)[^>]*>.*?</xbrli:\1>", "")
-EMPTY_ELEMENT = ANY_CASE + rf"<p>{S}*</p>|<div>{S}*</div>"
-EMPTY_ELEMENT_END = ANY_CASE + r"</p>|</div>"
-PARAGRAPH = (ANY_CASE + r"<p[^>\n]*>", "\n$0")
+TAG_IN_TAG = r"<[^<>]*+<"
+XBRLI_BLOCK = (r"<(?iu:xbrli:([a-zA-Z0-9_:]+)[^>]*>(?s:.*?)</xbrli:\1)>", "")
+EMPTY_ELEMENT = rf"<(?iu:p>{S}*+</p|div>{S}*+</div)>"
+EMPTY_ELEMENT_END = r"</(?iu:p|div)>"
+PARAGRAPH = (r"<(?iu:p)[^>\n]*>", "\n$0")
 ANY_TAG = (r"<[^>\n]*>", "")
 NUMERIC_ENTITY = (r"&#(?:\p{Nd}{1,8}|[xX][0-9A-Fa-f]{1,8});", "")
+# The cheap tests come first: most signs neither follow a blank nor lead to an "i".
 ITEM_HEAD = (
-    rf"{ANY_CASE}(?!\A)(?<!{S}){S}*+items?(?![\p{{L}}\p{{N}}_]){S}*"
-    rf"\p{{Nd}}+[A-Za-z]?(?:{S}*(?:and|to|through|-){S}*\p{{Nd}}+[A-Za-z]?)*{S}*\.",
+    rf"(?<!{LATIN_SPACE})(?={S}*+(?iu:i))(?<!{S})(?!\A){S}*+"
+    rf"(?iu:items?(?![\p{{L}}\p{{N}}_]){S}*\p{{Nd}}+[A-Za-z]?"
+    rf"(?:{S}*(?:and|to|through|-){S}*\p{{Nd}}+[A-Za-z]?)*{S}*\.)",
     "\n$0",
 )
-BLANKS_AT_LINE_END = (r"(?<![ \t])[ \t]++\n", "\n")
+BLANKS_AT_LINE_END = (r"[ \t](?<![ \t][ \t])[ \t]*+\n", "\n")
 XBRL_BLOCKS = (r"(?s)<XBRL[^>]*>.*?</XBRL>|<XML[^>]*>.*?</XML>", "")
 INLINE_XBRL_TAG = (r"</?ix:[^>\n]*>", "")
 
@@ -162,9 +169,18 @@ def blank_three_digit_references(text: Column) -> Column:
 
 
 def unwrap_tags(text: Column) -> Column:
+    """Open tags of the unwrapped elements become line breaks, closing ones vanish.
+
+    The steps apply one after another. Where no "<" lies inside a tag, each tag is decided on its own,
+    so one pass per replacement gives the same text; only other texts take all the passes.
+    """
+    stepwise = text
     for step in UNWRAP:
-        text = sub(text, *step)
-    return text
+        stepwise = sub(stepwise, *step)
+    at_once = text
+    for replacement in ("\n", ""):
+        at_once = sub(at_once, "|".join(p for p, r in UNWRAP if r == replacement), replacement)
+    return F.when(F.rlike(text, F.lit(TAG_IN_TAG)), stepwise).otherwise(at_once)
 
 
 def drop_xbrli_blocks(text: Column) -> Column:
