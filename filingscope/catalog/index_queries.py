@@ -38,18 +38,16 @@ derived(
     """,
 )
 derived(
-    "index_numbered",
+    "index_numbered_check",
     """
     SELECT source_file, CAST(i AS INT) AS line_no, parts[i] AS line, string_split(parts[i], '|') AS fields
     FROM (SELECT source_file, parts, unnest(range(1, len(parts) + 1)) AS i
           FROM (SELECT source_file, string_split(replace(body, chr(13), ''), chr(10)) AS parts FROM {index_files}))
     """,
-    spark=lambda t: t["index_files"],
 )
 derived(
-    "index_headers",
-    "SELECT source_file, min(line_no) AS header FROM {index_numbered} WHERE line LIKE 'CIK|%' GROUP BY source_file",
-    spark=lambda t: t["index_files"],
+    "index_headers_check",
+    "SELECT source_file, min(line_no) AS header FROM {index_numbered_check} WHERE line LIKE 'CIK|%' GROUP BY source_file",
 )
 
 FIELD_SQL = (
@@ -60,7 +58,7 @@ query(
     "s1_index_strict",
     lambda t: index.parse_index(t["index_files"]),
     f"""
-    SELECT source_file, line_no, {FIELD_SQL} FROM {{index_numbered}} JOIN {{index_headers}} USING (source_file)
+    SELECT source_file, line_no, {FIELD_SQL} FROM {{index_numbered_check}} JOIN {{index_headers_check}} USING (source_file)
     WHERE line_no > header AND len(fields) = 5
     """,
 )
@@ -68,7 +66,7 @@ query(
     "s2_index_lenient",
     lambda t: index.parse_index(t["index_files"], strict=False),
     f"""
-    SELECT source_file, line_no, {FIELD_SQL} FROM {{index_numbered}}
+    SELECT source_file, line_no, {FIELD_SQL} FROM {{index_numbered_check}}
     WHERE line NOT LIKE 'CIK|%' AND len(fields) = 5
     """,
 )
@@ -76,7 +74,7 @@ query(
     "s2_index_rejects",
     lambda t: index.index_rejects(t["index_files"], strict=False),
     """
-    SELECT source_file, line_no, line, 'field_count' AS reason FROM {index_numbered}
+    SELECT source_file, line_no, line, 'field_count' AS reason FROM {index_numbered_check}
     WHERE line NOT LIKE 'CIK|%' AND len(fields) > 1 AND len(fields) <> 5
     """,
 )
@@ -88,7 +86,7 @@ query(
     """
     SELECT substr(source_file, 1, 8) AS file_prefix, fields[3] AS form_type, count(*) AS n,
       count(DISTINCT source_file) AS files
-    FROM {index_numbered} JOIN {index_headers} USING (source_file)
+    FROM {index_numbered_check} JOIN {index_headers_check} USING (source_file)
     WHERE line_no > header AND len(fields) = 5 GROUP BY 1, 2
     """,
 )

@@ -58,7 +58,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def derived(name: str, sql: str, spark: Callable[[Inputs], DataFrame] | None = None) -> None:
-    """Declare a derived table."""
+    """Declare a derived table. Names ending in `_check` are steps of a checking SQL, unused by Spark."""
     DERIVED[name] = sql
     if spark is not None:
         SPARK_BUILDERS[name] = spark
@@ -75,7 +75,10 @@ def _ordered_names(text: str, seen: list[str]) -> list[str]:
 def with_tables(sql: str) -> str:
     """Prefix a SELECT with the derived tables it names in braces."""
     names = _ordered_names(sql, [])
-    parts = [f"{name} AS ({NAMES.sub(lambda m: m.group(1), DERIVED[name])})" for name in names]
+    parts = [
+        f"{name} AS {'MATERIALIZED ' if name.endswith('_check') else ''}({NAMES.sub(lambda m: m.group(1), DERIVED[name])})"
+        for name in names
+    ]
     body = NAMES.sub(lambda m: m.group(1), sql)
     if not parts:
         return body

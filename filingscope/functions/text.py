@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Code point ranges of the characters Python's str.isspace() accepts.
@@ -50,6 +50,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a generator.
+
+    A filter on a projected column is pushed below the projection with the whole expression copied
+    into it, once per use. It cannot pass a generator, so the value is computed once per row.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
+
+
 def sub(text: Column, pattern: str, replacement: str) -> Column:
     """`regexp_replace` with literal arguments, so no SQL string unescaping happens."""
     return F.regexp_replace(text, F.lit(pattern), F.lit(replacement))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import NOT_S, S, digit_class, let, lines, lstrip, strip, sub, unlines
+from filingscope.functions.text import NOT_S, S, digit_class, let, lines, lstrip, strip, sub, unlines, with_once
 
 NOT_WORD = r"(?![\p{L}\p{N}_])"
 # Heading words, in this spelling only.
@@ -79,4 +79,4 @@ REPAIR_STEPS = (merge_split_word, space_after_item, merge_number_line, merge_suf
 def repair_headings(df: DataFrame, text: str = "text") -> DataFrame:
     for step in REPAIR_STEPS:
         df = df.withColumn(text, step(F.col(text)))
-    return df
+    return with_once(df, text, F.col(text))

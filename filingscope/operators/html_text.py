@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import S, let, lines, lstrip, rstrip, strip, sub, unlines
+from filingscope.functions.text import S, let, lines, lstrip, rstrip, strip, sub, unlines, with_once
 
 # A tag is recognised at a line's end if its "<" lies in the last 300 characters.
 TAG_WINDOW = 300
@@ -179,7 +179,8 @@ def unwrap_tags(text: Column) -> Column:
         stepwise = sub(stepwise, *step)
     at_once = text
     for replacement in ("\n", ""):
-        at_once = sub(at_once, "|".join(p for p, r in UNWRAP if r == replacement), replacement)
+        kinds = "|".join(p.removeprefix("<") for p, r in UNWRAP if r == replacement)
+        at_once = sub(at_once, f"<(?:{kinds})", replacement)
     return F.when(F.rlike(text, F.lit(TAG_IN_TAG)), stepwise).otherwise(at_once)
 
 
@@ -271,7 +272,7 @@ def html_to_text(df: DataFrame, body: str = "body", into: str = "text", drop_xbr
         df = df.drop(body)
     for step in CLEANING_STEPS:
         df = df.withColumn(into, step(F.col(into)))
-    return df
+    return with_once(df, into, F.col(into))
 
 
 def header_name(text: Column, firm: Column, form: Column) -> Column:

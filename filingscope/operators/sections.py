@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import S, ascii_digits, digit_class, let, lines, strip, sub, unlines
+from filingscope.functions.text import S, ascii_digits, digit_class, let, lines, strip, sub, unlines, with_once
 
 # The blanks that count as a plain space in a heading line, the heading pattern, the
 # opening labels of the ladder and the letters of the later ones.
@@ -222,41 +222,55 @@ def filing_date(text: Column, accession: Column) -> Column:
     return F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")
 
 
-def outline_filings(filings: DataFrame, rounds: str = "previous") -> DataFrame:
-    """Per filing the headings and the chosen round, with a status and a reason for failures."""
-    numbers = item_numbers(F.col("headings"))
-    plausible = plausible_numbers(F.col("numbers"))
-    return (
-        filings.withColumn("parts", lines(F.col("text")))
-        .withColumn("headings", drop_repeats(all_headings(F.col("parts"))))
-        .withColumn("numbers", numbers)
-        .withColumn(
-            "reason",
-            F.when(F.size("headings") == 0, "no_headings")
-            .when(F.exists("numbers", lambda n: n.isNull()), "bad_item_number")
-            .when(F.size(plausible) == 0, "no_plausible_item_number"),
-        )
-        .withColumn("rounds", F.when(F.col("reason").isNull(), round_count(F.col("numbers"), rounds)))
-        .withColumn(
-            "chosen",
-            F.when(
-                F.col("rounds") > 0,
-                best_round(
-                    let(
-                        F.array_max(plausible),
-                        lambda top: build_rounds(F.col("headings"), label_ladder(top), F.col("rounds")),
-                    )
-                ),
-            ),
+def outline(text: Column, rounds: str = "previous") -> Column:
+    """Lines, headings, round count, chosen round and the reason of a failure, as one struct."""
+
+    def choose(heads: Column, numbers: Column, count: Column) -> Column:
+        top = F.array_max(plausible_numbers(numbers))
+        found = let(top, lambda highest: build_rounds(heads, label_ladder(highest), count))
+        return let(found, best_round)
+
+    def with_numbers(parts: Column, heads: Column, numbers: Column) -> Column:
+        reason = (
+            F.when(F.size(heads) == 0, "no_headings")
+            .when(F.exists(numbers, lambda n: n.isNull()), "bad_item_number")
+            .when(F.size(plausible_numbers(numbers)) == 0, "no_plausible_item_number")
         )
-        .withColumn(
-            "reason",
-            F.when(F.col("reason").isNotNull(), F.col("reason"))
-            .when(F.col("rounds") == 0, "no_round")
-            .when(F.col("chosen").isNull(), "no_usable_round"),
+        counted = F.struct(
+            reason.alias("reason"), F.when(reason.isNull(), round_count(numbers, rounds)).alias("rounds")
         )
-        .withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("failed"))
-        .drop("numbers")
+
+        def with_count(c: Column) -> Column:
+            chosen = F.when(c["rounds"] > 0, choose(heads, numbers, c["rounds"]))
+            return let(
+                chosen,
+                lambda picked: F.struct(
+                    parts.alias("parts"),
+                    heads.alias("headings"),
+                    c["rounds"].alias("rounds"),
+                    picked.alias("chosen"),
+                    F.when(c["reason"].isNotNull(), c["reason"])
+                    .when(c["rounds"] == 0, "no_round")
+                    .when(picked.isNull(), "no_usable_round")
+                    .alias("reason"),
+                ),
+            )
+
+        return let(counted, with_count)
+
+    def with_headings(parts: Column) -> Column:
+        heads = drop_repeats(all_headings(parts))
+        return let(heads, lambda h: let(item_numbers(h), lambda numbers: with_numbers(parts, h, numbers)))
+
+    return let(lines(text), with_headings)
+
+
+def outline_filings(filings: DataFrame, rounds: str = "previous") -> DataFrame:
+    """Per filing the lines, headings, rounds and the chosen one, with a status and a reason."""
+    return with_once(filings, "outline", outline(F.col("text"), rounds)).select(
+        *filings.columns,
+        "outline.*",
+        F.when(F.col("outline.reason").isNull(), "ok").otherwise("failed").alias("status"),
     )
 
 
