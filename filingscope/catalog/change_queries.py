@@ -1 +1,220 @@
-"""To be filled."""
+"""Pairs and text change: W2, O1, J6, J7, M1-M7."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from filingscope.catalog.registry import derived, query
+from filingscope.operators import pairs as pr
+from filingscope.operators import similarity as sim
+
+WORDS = "regexp_extract_all(lower(text), '[a-z'']+')"
+
+# Each source is a firm, each text a section; two texts share a day, some have no word.
+derived(
+    "doc_sections",
+    """
+    SELECT source AS cik, lpad(CAST(doc_id AS STRING), 10, '0') AS accession,
+      DATE '2000-01-01' + CAST(floor(doc_id / 2) AS INT) AS filed_date, '1A' AS item_n,
+      CASE WHEN doc_id % 17 = 0 THEN '12 -- 34' ELSE text END AS text
+    FROM {documents}
+    """,
+)
+# Each conversation is a firm, each turn a section.
+derived(
+    "turn_sections",
+    """
+    SELECT lpad(CAST(conv_id AS STRING), 10, '0') AS cik, lpad(CAST(turn AS STRING), 10, '0') AS accession,
+      DATE '2000-01-01' + CAST(turn AS INT) AS filed_date, '1A' AS item_n, text
+    FROM {conversations}
+    """,
+)
+derived(
+    "lexicon",
+    f"""
+    SELECT word, CAST((length(word) * 3 + ascii(word)) % 9 - 4 AS DOUBLE) AS valence
+    FROM (SELECT DISTINCT unnest({WORDS}) AS word FROM {{benchmark}})
+    """,
+    spark=lambda t: t["benchmark"]
+    .select(F.explode(sim.tokens(F.col("text"))).alias("word"))
+    .distinct()
+    .withColumn("valence", ((F.length("word") * 3 + F.ascii("word")) % 9 - 4).cast("double")),
+)
+
+for name in ("doc", "turn"):
+    derived(
+        f"{name}_pairs",
+        f"""
+        SELECT cik, accession AS filing_a, filed_date AS date_a, filing_b, date_b
+        FROM (SELECT cik, accession, filed_date, lag(accession) OVER w AS filing_b, lag(filed_date) OVER w AS date_b
+          FROM {{{name}_sections}} WINDOW w AS (PARTITION BY cik ORDER BY filed_date, accession))
+        WHERE filing_b IS NOT NULL
+        """,
+        spark=lambda t, name=name: pr.consecutive_pairs(t[f"{name}_sections"]),
+    )
+    derived(
+        f"{name}_tokens_check",
+        f"SELECT cik, accession, {WORDS} AS toks, len({WORDS}) AS n FROM {{{name}_sections}}",
+    )
+    derived(
+        f"{name}_texts",
+        f"""
+        SELECT p.cik, filing_a, filing_b, date_a, date_b, a.toks AS ta, b.toks AS tb, a.n AS la, b.n AS lb
+        FROM {{{name}_pairs}} p JOIN {{{name}_tokens_check}} a ON a.cik = p.cik AND a.accession = filing_a
+        JOIN {{{name}_tokens_check}} b ON b.cik = p.cik AND b.accession = filing_b
+        """,
+        spark=lambda t, name=name: sim.pair_texts(sim.with_tokens(t[f"{name}_sections"]), t[f"{name}_pairs"]),
+    )
+
+
+def _new_words_sql(table: str, basis: str) -> str:
+    newer = "true" if basis == "newer" else "la >= lb"
+    return f"""
+    SELECT cik, filing_a, filing_b, word, count(*) AS occurrences
+    FROM (SELECT cik, filing_a, filing_b, unnest(side) AS word, other
+      FROM (SELECT *, CASE WHEN {newer} THEN ta ELSE tb END AS side, CASE WHEN {newer} THEN tb ELSE ta END AS other
+        FROM {{{table}}} WHERE la > 0 AND lb > 0))
+    WHERE NOT list_contains(other, word) GROUP BY cik, filing_a, filing_b, word
+    """
+
+
+def _sentiment_sql(table: str, basis: str) -> str:
+    degree = ", ".join(f"'{w}'" for w in sim.DEGREE_WORDS)
+    key = """CASE WHEN regexp_matches(word, '^''[a-z]{2,}$') THEN word[2:]
+        WHEN regexp_matches(word, '^[a-z]{2,}''$') THEN word[:-2] ELSE word END"""
+    return f"""
+    SELECT cik, filing_a, filing_b, round(sum(occurrences * coalesce(round(valence / sqrt(valence * valence + 15), 4), 0))
+      / sum(occurrences), 9) AS sentiment
+    FROM (SELECT *, {key} AS k FROM ({_new_words_sql(table, basis)})) w
+    LEFT JOIN {{lexicon}} x ON x.word = w.k AND length(w.k) > 1 AND w.k NOT IN ({degree})
+    GROUP BY cik, filing_a, filing_b
+    """
+
+
+DISTANCE_SQL = """
+    WITH RECURSIVE texts AS MATERIALIZED (
+      SELECT row_number() OVER () AS p, * FROM {turn_texts} WHERE la > 0 AND lb > 0),
+    walk AS (
+      SELECT p, 0 AS i, CAST(unnest(range(0, lb + 1)) AS INT) AS j, CAST(unnest(range(0, lb + 1)) AS INT) AS d FROM texts
+      UNION ALL
+      SELECT p, i + 1, j, CAST(j + min(t - j) OVER (PARTITION BY p ORDER BY j) AS INT) FROM (
+        SELECT w.p, w.i, w.j, CASE WHEN w.j = 0 THEN w.i + 1 ELSE least(w.d + 1, lag(w.d) OVER (PARTITION BY w.p ORDER BY w.j)
+          + CASE WHEN ta[w.i + 1] = tb[w.j] THEN 0 ELSE 1 END) END AS t
+        FROM walk w JOIN texts ON texts.p = w.p WHERE w.i < la)),
+    measured AS (
+      SELECT cik, filing_a, filing_b, date_a, date_b, d AS distance, 1 - d / (la + lb) AS similarity, la AS len_a, lb AS len_b
+      FROM texts JOIN walk ON walk.p = texts.p AND i = la AND j = lb)
+"""
+
+query(
+    "o1_newest_first",
+    lambda t: pr.newest_first(t["doc_sections"]),
+    "SELECT cik, accession, strftime(filed_date, '%Y-%m-%d') AS filed FROM {doc_sections}",
+)
+query(
+    "w2_consecutive_pairs",
+    lambda t: pr.consecutive_pairs(t["doc_sections"]),
+    "SELECT * FROM {doc_pairs}",
+)
+derived(
+    "item_sections",
+    "SELECT cik, accession, CASE WHEN filed_date < DATE '2000-04-01' THEN '7' ELSE '1A' END AS item_n FROM {doc_sections}",
+)
+query(
+    "j6_with_section",
+    lambda t: pr.with_section(t["doc_sections"].select("cik", "accession", "filed_date"), t["item_sections"]),
+    """
+    SELECT cik, accession, filed_date FROM {doc_sections} d WHERE EXISTS (
+      SELECT 1 FROM {item_sections} i WHERE i.cik = d.cik AND i.accession = d.accession AND item_n = '1A')
+    """,
+)
+query(
+    "m1_tokens",
+    lambda t: t["documents"].select(
+        "doc_id",
+        F.array_join(sim.tokens(F.col("text")), " ").alias("words"),
+        sim.token_count(sim.token_line(F.col("text"))).alias("n"),
+    ),
+    f"SELECT doc_id, array_to_string({WORDS}, ' ') AS words, len({WORDS}) AS n FROM documents",
+)
+query(
+    "m2_edit_distance_turns",
+    lambda t: sim.edit_distances(t["turn_texts"]).drop("similarity"),
+    DISTANCE_SQL + "SELECT cik, filing_a, filing_b, distance, len_a, len_b FROM measured",
+)
+query("m2_edit_distance_documents", lambda t: sim.edit_distances(t["doc_texts"]))
+
+
+def _edited(t):
+    """Each text beside a copy that loses every 7th token and gets a foreign word for every 5th other."""
+    words = sim.tokens(F.col("text"))
+    edited = F.filter(
+        F.transform(words, lambda w, i: F.when((i + 1) % 7 == 0, "").when((i + 1) % 5 == 0, "''''''''").otherwise(w)),
+        lambda w: w != "",
+    )
+    copies = t["documents"].select(
+        "doc_id", F.array_join(edited, " ").alias("words_a"), sim.token_line(F.col("text")).alias("words_b")
+    )
+    return copies.filter("words_b <> ''")
+
+
+# No foreign word can match, so at most n - dropped - replaced tokens match and the distance is exactly
+# dropped + replaced: whole texts are checked without a quadratic table.
+query(
+    "m2_edit_distance_edited",
+    lambda t: sim.edit_distances(_edited(t).repartition(8), key=["doc_id"]).select(
+        "doc_id", "distance", "len_a", "len_b", F.round("similarity", 9).alias("similarity")
+    ),
+    f"""
+    WITH c AS (SELECT doc_id, len({WORDS}) AS n FROM documents),
+    e AS (SELECT doc_id, n, n // 7 AS dropped, n // 5 - n // 35 AS replaced FROM c WHERE n > 0)
+    SELECT doc_id, dropped + replaced AS distance, n - dropped AS len_a, n AS len_b,
+      round(1 - (dropped + replaced) / (2 * n - dropped), 9) AS similarity FROM e
+    """,
+)
+query(
+    "m3_similarity_turns",
+    lambda t: sim.edit_distances(t["turn_texts"]).select(
+        *sim.PAIR_KEY, F.round("similarity", 9).alias("similarity")
+    ),
+    DISTANCE_SQL + "SELECT cik, filing_a, filing_b, round(similarity, 9) AS similarity FROM measured",
+)
+for basis in sim.BASES:
+    query(
+        f"m4_new_words_{basis}",
+        lambda t, basis=basis: sim.new_words(t["doc_texts"], basis),
+        _new_words_sql("doc_texts", basis),
+    )
+    query(
+        f"m5_sentiment_{basis}",
+        lambda t, basis=basis: sim.mean_sentiment(sim.new_words(t["doc_texts"], basis), t["lexicon"]).withColumn(
+            "sentiment", F.round("sentiment", 9)
+        ),
+        _sentiment_sql("doc_texts", basis),
+    )
+query(
+    "j7_words_not_in_other",
+    lambda t: sim.new_words(t["turn_texts"], "newer").select(*sim.PAIR_KEY, "word"),
+    f"SELECT cik, filing_a, filing_b, word FROM ({_new_words_sql('turn_texts', 'newer')})",
+)
+query(
+    "m6_compare_sections",
+    lambda t: sim.compare_sections(t["doc_sections"], t["doc_pairs"], t["lexicon"]),
+)
+query(
+    "m6_compare_turns",
+    lambda t: sim.compare_sections(t["turn_sections"], t["turn_pairs"], t["lexicon"])
+    .withColumn("similarity", F.round("similarity", 9))
+    .withColumn("sentiment", F.round("sentiment", 9)),
+    DISTANCE_SQL
+    + f""", feeling AS ({_sentiment_sql("turn_texts", "longer")})
+    SELECT cik AS ticker, date_a, date_b, distance, round(similarity, 9) AS similarity, len_a, len_b,
+      coalesce(sentiment, 0) AS sentiment
+    FROM measured LEFT JOIN feeling USING (cik, filing_a, filing_b)
+    """,
+)
+query(
+    "m7_empty_sections",
+    lambda t: sim.uncomparable(sim.pair_texts(t["doc_sections"], t["doc_pairs"])),
+    "SELECT cik, filing_a, filing_b, 'empty_section' AS reason FROM {doc_texts} WHERE la = 0 OR lb = 0",
+)
