@@ -173,11 +173,14 @@ query(
     """,
 )
 query(
-    "m3_similarity_turns",
-    lambda t: sim.edit_distances(t["turn_texts"]).select(
-        *sim.PAIR_KEY, F.round("similarity", 9).alias("similarity")
+    "m3_similarity",
+    lambda t: sim.edit_distances(_edited(t).repartition(8), key=["doc_id"]).select(
+        "doc_id", F.round(sim.similarity(F.col("distance"), F.col("len_a"), F.col("len_b")), 9).alias("similarity")
     ),
-    DISTANCE_SQL + "SELECT cik, filing_a, filing_b, round(similarity, 9) AS similarity FROM measured",
+    f"""
+    SELECT doc_id, round(1 - (n // 7 + n // 5 - n // 35) / (2 * n - n // 7), 9) AS similarity
+    FROM (SELECT doc_id, len({WORDS}) AS n FROM documents) WHERE n > 0
+    """,
 )
 for basis in sim.BASES:
     query(

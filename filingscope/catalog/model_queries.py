@@ -1 +1,143 @@
-"""To be filled."""
+"""Splits, evaluation and models: A5-A7, F7-F15, O3."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from filingscope.catalog.panel_queries import CLASS_SQL, FEATURES_SQL
+from filingscope.catalog.registry import query
+from filingscope.operators import evaluation as ev
+from filingscope.operators import panel as pn
+from filingscope.operators import quantiles as qt
+from filingscope.plans import models
+
+U_SQL = "CAST(('0x' || substr(md5(CAST(%s AS STRING) || '|42'), 1, 8)) AS BIGINT) / 4294967296.0"
+
+query(
+    "a5_regression_metrics",
+    lambda t: ev.regression_metrics(t["ready_panel"], "ret_18", "ret_prev_12m").select(
+        F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2")
+    ),
+    """
+    WITH p AS (SELECT ret_18 AS y, ret_prev_12m AS p FROM {ready_panel} WHERE ret_18 IS NOT NULL AND ret_prev_12m IS NOT NULL)
+    SELECT round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) ** 2)), 6) AS rmse,
+      round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2 FROM p
+    """,
+)
+query(
+    "a6_classification_report",
+    lambda t: ev.classification_report(t["labels"], "quality", "toxic").select(
+        "class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support"
+    ),
+    """
+    WITH classes AS (SELECT quality AS c FROM labels UNION SELECT toxic FROM labels),
+    m AS (SELECT c, count(*) FILTER (quality = c AND toxic = c) AS tp, count(*) FILTER (quality = c) AS support,
+        count(*) FILTER (toxic = c) AS predicted FROM classes, labels GROUP BY c),
+    s AS (SELECT CAST(c AS STRING) AS class, CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END AS precision,
+        CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall, 2 * tp / (predicted + support) AS f1, support, tp FROM m)
+    SELECT class, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM s
+    UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 9), sum(support) FROM s
+    UNION ALL SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support) FROM s
+    UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9),
+      round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9), sum(support) FROM s
+    """,
+)
+query(
+    "a7_confusion_matrix",
+    lambda t: ev.confusion_matrix(t["labels"], "quality", "toxic", [0, 1]),
+    """
+    SELECT quality AS label, count(*) FILTER (toxic = 0) AS pred_0, count(*) FILTER (toxic = 1) AS pred_1
+    FROM labels GROUP BY quality
+    """,
+)
+query(
+    "f7_test_split",
+    lambda t: models.with_test_flag(t["ready_panel"], F.col("id")).select("id", "is_test"),
+    f"SELECT id, {U_SQL % 'id'} < 0.2 AS is_test FROM {{ready_panel}}",
+)
+query(
+    "f8_stratified_split",
+    lambda t: models.with_stratified_test_flag(
+        qt.with_quintiles(pn.labelled(t["ready_panel"])), F.col("id"), "ret_18_class"
+    ).select("id", "ret_18_class", "is_test"),
+    f"""
+    WITH c AS (SELECT id, ret_18_class, {U_SQL % "id"} AS u FROM ({CLASS_SQL}) WHERE ret_18_class IS NOT NULL),
+    q AS (SELECT ret_18_class, quantile_cont(u, 0.2) AS cut FROM c GROUP BY ret_18_class)
+    SELECT id, ret_18_class, u < cut AS is_test FROM c JOIN q USING (ret_18_class)
+    """,
+)
+
+
+def _regression_rows(t):
+    rows = models.with_test_flag(pn.with_features(t["ready_panel"]), F.col("id"))
+    return models.assemble(rows, models.REGRESSION_FEATURES, models.LABEL)
+
+
+def _classification_rows(t):
+    rows = qt.with_quintiles(pn.with_features(t["ready_panel"]))
+    rows = models.with_stratified_test_flag(pn.labelled(rows), F.col("id"), models.CLASS_LABEL)
+    return models.assemble(rows, models.CLASSIFICATION_FEATURES, models.CLASS_LABEL)
+
+
+def _fit(rows, estimator):
+    return models.fit(estimator, rows)
+
+
+def _scored(rows, estimator):
+    return models.score(_fit(rows, estimator), rows)
+
+
+query(
+    "f9_forest_regression",
+    lambda t: ev.regression_metrics(
+        _scored(_regression_rows(t), models.regressor()).filter("is_test"), models.LABEL, "y_pred"
+    ),
+)
+query(
+    "f10_cross_validated_r2",
+    lambda t: t["ready_panel"].agg(F.count("*").alias("rows")).withColumn(
+        "cv_r2", F.lit(models.cross_validated_r2(models.regressor(), _regression_rows(t), F.col("id")))
+    ),
+)
+query(
+    "f11_scored_panel",
+    lambda t: _scored(_regression_rows(t), models.regressor()).select("id", "is_test", "ret_18", "y_pred"),
+)
+query(
+    "f12_forest_classification",
+    lambda t: ev.classification_report(
+        _scored(_classification_rows(t), models.classifier()).filter("is_test"), models.CLASS_LABEL, "y_pred"
+    ),
+)
+
+
+def _importances(t):
+    rows = _classification_rows(t)
+    model = _fit(rows, models.classifier())
+    return models.feature_importances(model, models.CLASSIFICATION_FEATURES, rows)
+
+
+query("f13_feature_importances", _importances)
+query("o3_importances_descending", _importances)
+
+
+def _rules(t):
+    rows = _regression_rows(t)
+    model = _fit(rows, models.regressor(kind="tree"))
+    text = models.tree_rules(model, models.REGRESSION_FEATURES)
+    return rows.sparkSession.createDataFrame(
+        list(enumerate(text.splitlines())), "line_no INT, rule STRING"
+    )
+
+
+query("f14_tree_rules", _rules)
+query(
+    "f15_feature_lists",
+    lambda t: _regression_rows(t).agg(
+        *[F.count(c).alias(c) for c in models.REGRESSION_FEATURES]
+    ),
+    f"""
+    SELECT {", ".join(f"count({c}) AS {c}" for c in models.REGRESSION_FEATURES)}
+    FROM (FEATURES) WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*models.REGRESSION_FEATURES, "ret_18"])}
+    """.replace("FEATURES", FEATURES_SQL),
+)
