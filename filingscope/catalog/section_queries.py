@@ -22,9 +22,9 @@ STRIPPED = "trim(l, ' ' || chr(9) || chr(160))"
 NEXT = "ltrim(coalesce(parts[i + 1], ''), ' ' || chr(9) || chr(160))"
 
 
-def _merge_sql(head: str, tail: str, glue: str) -> str:
+def _merge_sql(head: str, tail: str, glue: str, source: str = "{broken_texts}") -> str:
     return f"""
-    WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {{broken_texts}}),
+    WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {source}),
     n AS (SELECT doc_id, parts, unnest(parts) AS l, generate_subscripts(parts, 1) AS i FROM p),
     m AS (SELECT doc_id, i, l, {STRIPPED} AS s, {NEXT} AS nx FROM n),
     f AS (SELECT *, {head} AND {tail} AS merged FROM m),
@@ -38,26 +38,44 @@ def _repair(step):
     return lambda t: t["broken_texts"].select("doc_id", step(F.col("text")).alias("text"))
 
 
-query("d1_merge_split_word", _repair(hd.merge_split_word), _merge_sql("s = 'I'", "starts_with(nx, 'tem')", ""))
+SPACE_SQL = r"""
+    SELECT doc_id, regexp_replace(text, '(^|[^\pL\pN_])(Items?)([^\pL\pN_\s])', '\1\2 \3', 'g') AS text
+    FROM SOURCE
+"""
+SPLIT_WORD = ("s = 'I'", "starts_with(nx, 'tem')", "")
+NUMBER_LINE = ("s IN ('Item', 'Items')", "regexp_matches(nx, '^[0-9]')", " ")
+SUFFIX_LINE = (r"regexp_matches(s, '^Item\s+[0-9]+$')", r"regexp_matches(nx, '^[A-Za-z]?\.')", "")
+
+query("d1_merge_split_word", _repair(hd.merge_split_word), _merge_sql(*SPLIT_WORD))
 query(
     "d2a_space_after_item",
     _repair(hd.space_after_item),
-    r"""
-    SELECT doc_id, regexp_replace(text, '(^|[^\pL\pN_])(Items?)([^\pL\pN_\s])', '\1\2 \3', 'g') AS text
-    FROM {broken_texts}
-    """,
+    SPACE_SQL.replace("SOURCE", "{broken_texts}"),
 )
 query(
     "d2b_merge_number_line",
     _repair(hd.merge_number_line),
-    _merge_sql("s IN ('Item', 'Items')", "regexp_matches(nx, '^[0-9]')", " "),
+    _merge_sql(*NUMBER_LINE),
 )
 query(
     "d2c_merge_suffix_line",
     _repair(hd.merge_suffix_line),
-    _merge_sql(r"regexp_matches(s, '^Item\s+[0-9]+$')", r"regexp_matches(nx, '^[A-Za-z]?\.')", ""),
+    _merge_sql(*SUFFIX_LINE),
+)
+
+
+
+def _all_repairs() -> str:
+    once = f"({_merge_sql(*SPLIT_WORD)})"
+    once = f"({SPACE_SQL.replace('SOURCE', once)})"
+    return _merge_sql(*SUFFIX_LINE, source=f"({_merge_sql(*NUMBER_LINE, source=once)})")
+
+
+query(
+    "d_repair_headings",
+    lambda t: hd.repair_headings(t["broken_texts"]).select("doc_id", "text"),
+    _all_repairs(),
 )
-query("d_repair_headings", lambda t: hd.repair_headings(t["broken_texts"]).select("doc_id", "text"))
 
 # A contents list, then the body: whole texts between item headings. Some filings lack the label that
 # counts the rounds, some have no heading, some labels are ones the ladder does not know.

@@ -145,9 +145,8 @@ for key, step, sql in STEPS:
     )
 
 
-def _chain() -> str:
+def _chain(source: str = "{filing_pages}") -> str:
     """All steps as one SQL, one derived column per step."""
-    source = "{filing_pages}"
     for key, _, sql in STEPS[:-1]:
         source = f"(SELECT page_id, {sql('body')} AS body FROM {source})"
     return f"SELECT page_id, body AS text FROM {source}"
@@ -161,6 +160,8 @@ query(
 query(
     "h_clean_pages",
     lambda t: headings.repair_headings(h.html_to_text(t["pages"], body="html")).select("page_id", "text"),
+    # The pages hold no item headings, so the repairs change nothing.
+    _chain("(SELECT page_id, html AS body FROM pages)"),
 )
 query(
     "h22_header_name",
