@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from filingscope.functions.ordered import spread
 from filingscope.functions.text import SPACE_CLASS, S
 from filingscope.operators.html_text import RUN
 
@@ -21,6 +22,9 @@ BASE_TABLES = (
     "labels conversations"
 ).split()
 
+# Tables whose rows cost far more to process than to read.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 NAMES = re.compile(r"\{([a-z]\w*)\}")
 
 
@@ -39,7 +43,8 @@ class Inputs:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table) if name in TEXT_TABLES else table
         if name in SPARK_BUILDERS:
             return SPARK_BUILDERS[name](self)
         text = DERIVED[name]

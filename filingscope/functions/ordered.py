@@ -45,6 +45,16 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int)
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a file scan over all cores if its files make fewer partitions than there are cores.
+
+    For CPU-heavy work on a few unsplittable files. A scan of many files is left alone. Use it on
+    scans only: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark `df` for broadcast only after checking that it has at most `max_rows` rows."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
