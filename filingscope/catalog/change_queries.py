@@ -190,7 +190,7 @@ for basis in sim.BASES:
     )
     query(
         f"m5_sentiment_{basis}",
-        lambda t, basis=basis: sim.mean_sentiment(sim.new_words(t["doc_texts"], basis), t["lexicon"]).withColumn(
+        lambda t, basis=basis: sim.mean_sentiment(sim.new_word_rows(t["doc_texts"], basis), t["lexicon"]).withColumn(
             "sentiment", F.round("sentiment", 9)
         ),
         _sentiment_sql("doc_texts", basis),

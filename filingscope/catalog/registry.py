@@ -22,8 +22,8 @@ BASE_TABLES = (
     "labels conversations"
 ).split()
 
-# Tables whose rows cost far more to process than to read.
-TEXT_TABLES = ("documents", "pages", "conversations")
+# Tables whose rows, or the texts derived from them, cost far more to process than to read.
+TEXT_TABLES = ("documents", "pages", "conversations", "orders")
 
 NAMES = re.compile(r"\{([a-z]\w*)\}")
 

@@ -1,4 +1,4 @@
-"""Unit-cost edit distance between two token sequences.
+"""Unit-cost edit distance and set difference of two token sequences.
 
 Spark's built-in `levenshtein` fills the whole table cell by cell, and needs tokens re-encoded as
 characters first, which bounds the vocabulary. The Arrow UDF below processes one table column per
@@ -9,6 +9,7 @@ step on a machine integer as wide as the pattern (the bit-vector method of Myers
 from __future__ import annotations
 
 import sys
+from itertools import filterfalse
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -80,3 +81,15 @@ def token_line_distance(left: pd.Series, right: pd.Series) -> pd.Series:
         ],
         dtype="Int32",
     )
+
+
+@F.pandas_udf(T.StringType())
+def token_line_difference(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The tokens of the left text that the right one lacks, repeats kept, in order."""
+    return pd.Series(
+        [
+            None if a is None or b is None else " ".join(filterfalse(set(b.split()).__contains__, a.split()))
+            for a, b in zip(left, right)
+        ],
+        dtype="object",
+    )

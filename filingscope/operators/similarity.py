@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.edit_distance import token_line_distance
+from filingscope.functions.edit_distance import token_line_difference, token_line_distance
 from filingscope.functions.ordered import broadcast_if_small
 
 BASES = ("longer", "newer")
@@ -43,17 +43,13 @@ def token_count(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(blanks + 1).cast("int")
 
 
-def line_tokens(line: Column) -> Column:
-    return F.when(line == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(line, " "))
-
-
 def similarity(distance: Column, len_a: Column, len_b: Column) -> Column:
     """1 - distance / (len_a + len_b); two empty texts are equal."""
     return 1 - F.coalesce(F.try_divide(distance, len_a + len_b), F.lit(0.0))
 
 
 def pair_texts(sections: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Token lines of both sides of each pair: cik, filing_a, filing_b, words_a, words_b.
+    """The pairs with the token lines of both sides, words_a and words_b.
 
     Filing keys are unique, so neither join has a hot key, and both read the same shuffle of the
     tokenised sections. Its partition count is fixed: the work that follows grows faster than
@@ -66,10 +62,9 @@ def pair_texts(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     a = words.select("cik", F.col("accession").alias("filing_a"), F.col("words").alias("words_a"))
     b = words.select("cik", F.col("accession").alias("filing_b"), F.col("words").alias("words_b"))
     return (
-        pairs.select(*PAIR_KEY)
-        .join(a, ["cik", "filing_a"])
+        pairs.join(a, ["cik", "filing_a"])
         .join(b, ["cik", "filing_b"])
-        .select(*PAIR_KEY, "words_a", "words_b")
+        .select(*pairs.columns, "words_a", "words_b")
     )
 
 
@@ -99,38 +94,33 @@ def edit_distances(texts: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:
     )
 
 
-def new_words(texts: DataFrame, basis: str = "longer", key: list[str] = PAIR_KEY) -> DataFrame:
-    """Words of one side that the other lacks, with how often they occur: key, word, occurrences.
+def _new_word_line(basis: str) -> Column:
+    """Token line of the words that only one side has.
 
-    `longer` takes the side with more tokens (the newer on ties), `newer` always the newer one.
-    Counting needs no list per pair, and runs on the partitioning the texts already have.
+    `longer` takes the side with more tokens (the newer on ties), `newer` always the newer one. The
+    difference is taken inside each row, so it needs memory for one pair only.
     """
     if basis not in BASES:
         raise ValueError(f"basis must be one of {BASES}")
-    swap = F.lit(False)
-    if basis == "longer":
-        swap = token_count(F.col("words_b")) > token_count(F.col("words_a"))
-    sided = texts.select(
-        *key,
-        F.when(swap, F.col("words_b")).otherwise(F.col("words_a")).alias("side"),
-        F.when(swap, F.col("words_a")).otherwise(F.col("words_b")).alias("other"),
-    )
-    marked = sided.select(
-        *key,
-        F.explode(
-            F.concat(
-                F.transform(line_tokens(F.col("side")), lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"))),
-                F.transform(
-                    F.array_distinct(line_tokens(F.col("other"))),
-                    lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("n")),
-                ),
-            )
-        ).alias("t"),
-    )
-    counted = marked.groupBy(*key, F.col("t.word").alias("word")).agg(
-        F.count("t.n").alias("occurrences"), F.count_if(F.col("t.n").isNull()).alias("_other")
-    )
-    return counted.filter(F.col("_other") == 0).drop("_other")
+    a, b = F.col("words_a"), F.col("words_b")
+    swap = token_count(b) > token_count(a) if basis == "longer" else F.lit(False)
+    return token_line_difference(F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b))
+
+
+def _words(line: str) -> Column:
+    """The tokens of a line; one NULL if there is none."""
+    return F.explode_outer(F.when(F.col(line) != "", F.split(line, " "))).alias("word")
+
+
+def new_word_rows(texts: DataFrame, basis: str = "longer", key: list[str] = PAIR_KEY) -> DataFrame:
+    """One row per new word and occurrence: key, word."""
+    lines = texts.select(*key, _new_word_line(basis).alias("_line"))
+    return lines.select(*key, _words("_line")).filter(F.col("word").isNotNull())
+
+
+def new_words(texts: DataFrame, basis: str = "longer", key: list[str] = PAIR_KEY) -> DataFrame:
+    """New words with how often they occur: key, word, occurrences."""
+    return new_word_rows(texts, basis, key).groupBy(*key, "word").agg(F.count("*").alias("occurrences"))
 
 
 def lexicon_key(word: Column) -> Column:
@@ -146,32 +136,45 @@ def word_score(valence: Column) -> Column:
 
 
 def mean_sentiment(words: DataFrame, lexicon: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:
-    """Occurrence-weighted mean score of the words of each key; unknown words count as 0."""
+    """Mean score of the word rows of each key, 0 where all are NULL; unknown words count as 0."""
     scores = lexicon.select(F.col("word").alias("_lookup"), word_score(F.col("valence")).alias("_score"))
     scored = words.withColumn("_lookup", lexicon_key(F.col("word"))).join(
         broadcast_if_small(scores, LEXICON_BROADCAST_ROWS), "_lookup", "left"
     )
-    total = F.sum(F.coalesce(F.col("_score"), F.lit(0.0)) * F.col("occurrences"))
-    return scored.groupBy(*key).agg((total / F.sum("occurrences")).alias("sentiment"))
+    total = F.coalesce(F.sum("_score"), F.lit(0.0))
+    mean = F.coalesce(F.try_divide(total, F.count("word")), F.lit(0.0))
+    return scored.groupBy(*key).agg(mean.alias("sentiment"))
 
 
 def compare_sections(
     sections: DataFrame, pairs: DataFrame, lexicon: DataFrame, basis: str = "longer"
 ) -> DataFrame:
-    """One row of measures per pair: ticker, dates, distance, similarity, lengths, sentiment."""
-    texts = pair_texts(with_tokens(sections), pairs)
-    sentiment = mean_sentiment(new_words(texts, basis), lexicon)
-    return (
-        pairs.join(edit_distances(texts), PAIR_KEY)
-        .join(sentiment, PAIR_KEY, "left")
-        .select(
-            F.col("cik").alias("ticker"),
-            "date_a",
-            "date_b",
-            "distance",
-            "similarity",
-            "len_a",
-            "len_b",
-            F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"),
-        )
+    """One row of measures per pair: ticker, dates, distance, similarity, lengths, sentiment.
+
+    Distance and new words come from one pass over the joined texts; after it only the new words and
+    a few numbers per pair move on.
+    """
+    a, b = F.col("words_a"), F.col("words_b")
+    measures = ["date_a", "date_b", "distance", "len_a", "len_b"]
+    measured = pair_texts(with_tokens(sections), pairs).select(
+        *PAIR_KEY,
+        "date_a",
+        "date_b",
+        token_line_distance(a, b).alias("distance"),
+        token_count(a).alias("len_a"),
+        token_count(b).alias("len_b"),
+        _new_word_line(basis).alias("_line"),
+    )
+    rows = mean_sentiment(
+        measured.select(*PAIR_KEY, *measures, _words("_line")), lexicon, [*PAIR_KEY, *measures]
+    )
+    return rows.select(
+        F.col("cik").alias("ticker"),
+        "date_a",
+        "date_b",
+        "distance",
+        similarity(F.col("distance"), F.col("len_a"), F.col("len_b")).alias("similarity"),
+        "len_a",
+        "len_b",
+        "sentiment",
     )

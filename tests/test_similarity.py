@@ -85,7 +85,7 @@ def test_new_words_and_sentiment(spark, texts, basis):
     for r in sim.new_words(texts, basis).collect():
         found.setdefault(r.filing_a, []).extend([r.word] * r.occurrences)
     scores = {"bx": round(2 / (4 + 15) ** 0.5, 4), "cxx": round(-1.5 / (2.25 + 15) ** 0.5, 4)}
-    means = {r.filing_a: r.sentiment for r in sim.mean_sentiment(sim.new_words(texts, basis), lexicon).collect()}
+    means = {r.filing_a: r.sentiment for r in sim.mean_sentiment(sim.new_word_rows(texts, basis), lexicon).collect()}
     swapped = 0
     for r in texts.collect():
         a, b = r.words_a.split(), r.words_b.split()
@@ -173,5 +173,5 @@ def test_plan_reuses_the_shuffled_text(spark, filings, tmp_path):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert plan.count("REPARTITION_BY_NUM") - plan.count("ReusedExchange [cik") <= 1
     assert "ReusedExchange" in plan
+    assert plan.count("ArrowEvalPython") == 1
