@@ -106,7 +106,10 @@ query(
 query(
     "f12_forest_classification",
     lambda t: ev.classification_report(
-        _scored(_classification_rows(t), models.classifier()).filter("is_test"), models.CLASS_LABEL, "y_pred"
+        _scored(_classification_rows(t), models.classifier()).filter("is_test"),
+        models.CLASS_LABEL,
+        "y_pred",
+        qt.QUINTILE_LABELS,
     ),
 )
 

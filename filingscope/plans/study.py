@@ -13,6 +13,7 @@ from filingscope.operators.html_text import html_to_text
 from filingscope.operators.pairs import clean_pairs, consecutive_pairs
 from filingscope.operators.panel import build_panel, with_features
 from filingscope.operators.sections import filing_date, rejects, sections, split_items
+from filingscope.session import shared_folder
 from filingscope.sources.filings import FIRST_YEAR, START_DATE, filed_from, from_year
 from filingscope.sources.tables import write_parquet
 
@@ -29,10 +30,14 @@ def clean_filings(raw: DataFrame) -> DataFrame:
 
 @dataclass
 class Study:
-    """Table locations below one shared folder."""
+    """Table locations below one folder that all executors reach; by default the session's own."""
 
     spark: SparkSession
-    root: str
+    root: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.root is None:
+            self.root = f"{shared_folder(self.spark)}/study"
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")

@@ -190,6 +190,8 @@ def test_evaluation(spark):
     assert report["weighted avg"].precision == pytest.approx((2 * 1 + 1 / 3 + 3 * 1) / 6)
     never = {r["class"]: r for r in ev.classification_report(table(spark, [(0, 1)], "label INT, pred INT"), "label", "pred").collect()}
     assert never["0"].precision == never["1"].recall == 0.0
+    named = ev.classification_report(rows.withColumn("pred", F.col("pred").cast("double")), "label", "pred", ("low", "mid", "high"))
+    assert {r["class"]: r.support for r in named.collect()}["high"] == 3
     matrix = ev.confusion_matrix(rows, "label", "pred", [0, 1, 2]).orderBy("label").collect()
     assert [tuple(r)[1:] for r in matrix] == [(1, 1, 0), (0, 1, 0), (0, 1, 2)]
     metrics = ev.regression_metrics(table(spark, [(1.0, 1.5), (3.0, 2.0), (None, 1.0)], "y DOUBLE, p DOUBLE"), "y", "p").first()
