@@ -1,6 +1,7 @@
 """The whole study on a small landed tree, and the registered queries' contract."""
 
 import datetime
+from types import SimpleNamespace
 
 import pytest
 
@@ -65,16 +66,13 @@ def test_panel(study, spark):
     assert rows[0].sim_below_70 == 0 and rows[0].inc_len == 1
 
 
-def test_default_folder_is_the_sessions(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", "")
-    try:
-        spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/")
-        assert Study(spark).root == f"{tmp_path}/study"
-        spark.conf.set("spark.checkpoint.dir", "")
-        with pytest.raises(ValueError):
-            Study(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_default_folder_is_the_sessions():
+    def session(folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder))
+
+    assert Study(session("/shared/")).root == "/shared/study"
+    with pytest.raises(ValueError):
+        Study(session(None))
 
 
 def test_contract(spark):
