@@ -171,3 +171,14 @@ def test_header_name(spark):
     df = spark.createDataFrame([("<SEC-DOCUMENT>0001-06-01.txt : 20060331\nx",), ("none",)], "t STRING")
     rows = df.select(h.header_name(F.col("t"), F.lit("0000000001"), F.lit("10-K")).alias("n")).collect()
     assert [r.n for r in rows] == ["0000000001_10-K_2006-03-31.txt", None]
+
+
+def test_a_filter_does_not_repeat_the_chain(spark):
+    df = spark.createDataFrame([(0, "a")], "i INT, body STRING")
+    out = hd.repair_headings(h.html_to_text(df))
+
+    def plan(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(out.filter("text != '' AND text LIKE '%a%'")).count("(?iu:head)") == plan(out).count("(?iu:head)") == 2
+    assert "ArrowEvalPython" not in plan(out) and "BatchEvalPython" not in plan(out)

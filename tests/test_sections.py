@@ -82,7 +82,7 @@ def test_fallback_counts_the_highest_number(spark):
         sec.round_count(F.array(F.lit(1)), rounds="other")
 
 
-def reference_choice(heads):
+def plain_choice(heads):
     """A plain walk over (label, line) pairs; None where nothing can be chosen."""
     numbers = [int("".join(c for c in label if c.isdigit())) for label, _ in heads]
     numbers = [n for n in numbers if n <= 20]
@@ -120,7 +120,7 @@ def test_rounds_agree_with_a_plain_walk(spark):
     worked = 0
     for row in rows:
         heads = [(h.item_n, h.line_no) for h in row.headings]
-        expected = reference_choice(heads)
+        expected = plain_choice(heads)
         got = [(h.item_n, h.line_no) for h in row.chosen] if row.chosen else None
         assert got == expected
         worked += expected is not None
