@@ -120,8 +120,14 @@ def _importances(t):
     return models.feature_importances(model, models.CLASSIFICATION_FEATURES, rows)
 
 
+def _tree_importances(t):
+    rows = _regression_rows(t)
+    model = _fit(rows, models.regressor(kind="tree"))
+    return models.feature_importances(model, models.REGRESSION_FEATURES, rows)
+
+
 query("f13_feature_importances", _importances)
-query("o3_importances_descending", _importances)
+query("o3_importances_descending", _tree_importances)
 
 
 def _rules(t):
