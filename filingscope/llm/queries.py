@@ -8,12 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, simhash_dedup
-from filingscope.llm.common import read_table
+from filingscope.llm import bpe, language_id, quality_rules, simhash_dedup
+from filingscope.llm.common import read_table, remainder
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read_table(spark, sf_dir, "documents")).drop("n_rules_run")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,8 +35,32 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_rules": op2_rules,
     "op7_simhash": op7_simhash,
     "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+            FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM windows) WHERE c > 1),
+repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(3) AS r(k) GROUP BY rid),
+ruling AS (SELECT rid, max(c) AS top FROM (SELECT rid, word, count(*) AS c FROM (SELECT rid, unnest(words) AS word FROM w) GROUP BY ALL) GROUP BY rid),
+base AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^!]', '', 'g')) AS calls, coalesce(top, 0) AS top
+         FROM w LEFT JOIN repeated USING (rid) LEFT JOIN ruling USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 10 * n_symbols <= 3 * n_words AND 2 * n_words <= word_chars AND word_chars <= 20 * n_words
+       AND 10 * upper <= 4 * word_chars AND 2 * calls <= n_words AND 10 * n_dup_lines <= 5 * n_lines
+       AND 10 * top <= 3 * n_words AS kept
+FROM judged
+"""
+
+SQL: dict[str, str] = {"op2_rules": RULES_SQL}
