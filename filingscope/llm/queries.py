@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, language_id, quality_rules, simhash_dedup
+from filingscope.llm import bpe, language_id, quality_rules, simhash_dedup, suffix_array_dedup
 from filingscope.llm.common import read_table, remainder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup.digests(read_table(spark, sf_dir, "documents"), length=400)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_rules": op2_rules,
     "op7_simhash": op7_simhash,
+    "op9_suffix_array": op9_suffix_array,
     "op10_bpe": op10_bpe,
 }
 
