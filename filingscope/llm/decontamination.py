@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so that a question with other parameters has the same template. Windows of
 template words are hash-joined between documents and benchmark items. Windows that follow each other on both sides form a run; along
 a run the slot values must map one to one, or the run is cut there. A run that is long enough marks the document.
-A window with few words besides placeholders says little, so it is compared by its exact words instead.
+A window with few words besides placeholders says little as a template. Every window is also compared by its exact words in
+lower case, which finds such windows and copies in other letter case.
 
 Documents are first held against a bitmap of fixed size with the benchmark's hashes, whatever the size of the benchmark;
 only windows that pass it are joined.
@@ -114,12 +115,12 @@ def _windows(texts: list[str | None], sizes: list[int], keep=None):
     for size in sizes:
         n = max(0, len(ids) - size + 1)
         templated = literals[size:][:n] - literals[:n] >= min(LITERALS, size)
-        hashes = np.where(templated, _window_hash(template, size), ~_window_hash(exact, size))
         whole = row[:n] == row[size - 1 :][:n]
-        for at in np.flatnonzero(whole & keep(hashes) if keep else whole):
-            r = int(row[at])
-            slots = [_WORKER.core[i] for i, l in zip(ids[at : at + size], literal[at : at + size]) if not l] if templated[at] else []
-            yield r, int(at - begin[r]), size, int(hashes[at].view(np.int64)), slots, int(count[r])
+        for hashes, usable, placed in ((_window_hash(template, size), whole & templated, True), (~_window_hash(exact, size), whole, False)):
+            for at in np.flatnonzero(usable & keep(hashes) if keep else usable):
+                r = int(row[at])
+                slots = [_WORKER.core[i] for i, l in zip(ids[at : at + size], literal[at : at + size]) if not l] if placed else []
+                yield r, int(at - begin[r]), size, int(hashes[at].view(np.int64)), slots, int(count[r])
 
 
 def benchmark_windows(items: DataFrame, sizes: list[int] | None = None) -> DataFrame:
@@ -154,7 +155,7 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 def _judge(windows: list[dict], item_words: int) -> tuple[int, bool] | None:
     """Words of the longest consistent run if long enough, and whether a slot value differs."""
     best, run, there, back, changed, previous = None, 0, {}, {}, False, None
-    for w in sorted(windows, key=lambda w: w["item_pos"]):
+    for w in sorted(windows, key=lambda w: (w["item_pos"], len(w["item_slots"]))):  # the exact window first
         if previous is not None and w["item_pos"] == previous:
             continue
         pairs = list(zip(w["item_slots"], w["doc_slots"]))
