@@ -95,35 +95,52 @@ def fit(docs: DataFrame, length: int = PROFILE_LENGTH) -> dict[str, list[int]]:
     return {row["lang"]: list(row["grams"]) for row in rows}
 
 
+class _Nearest:
+    """The profiles as one table of ranks: a row for each n-gram that any has, a column for each language."""
+
+    def __init__(self, model: dict[str, list[int]], length: int) -> None:
+        self.names, self.length = sorted(model), length
+        self.every = np.unique(np.array([g for name in self.names for g in model[name]], np.int64))
+        self.ranks = np.full((len(self.every) + 1, max(1, len(self.names))), -1, np.int32)  # last row: in no profile
+        for j, name in enumerate(self.names):
+            self.ranks[np.searchsorted(self.every, np.array(model[name], np.int64)), j] = np.arange(len(model[name]))
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        own = ranked(text, self.length) if text and len(self.every) else ()
+        if not len(own):
+            return UNKNOWN, 0.0
+        at = np.minimum(np.searchsorted(self.every, own), len(self.every) - 1)
+        theirs = self.ranks[np.where(self.every[at] == own, at, len(self.every))]
+        apart = np.where(theirs < 0, self.length, np.abs(theirs - np.arange(len(own))[:, None])).sum(0)
+        best = int(np.argmin(apart))
+        return self.names[best], 1.0 - float(apart[best]) / (self.length * len(own))
+
+
 def predict(docs: DataFrame, model: dict[str, list[int]], length: int = PROFILE_LENGTH) -> DataFrame:
     """doc_id, lang_pred and score of every row.
 
     The score is 1 less the distance as a share of the largest possible. Texts that are null or have no letter, and all texts if
     there is no profile, are `und` with score 0. Equally near languages: the first by name. Repeated rows are scored each.
     """
-    names = sorted(model)
-    every = np.unique(np.array([g for name in names for g in model[name]], np.int64))
-    ranks = np.full((len(every) + 1, max(1, len(names))), -1, np.int32)  # last row: in no profile
-    for j, name in enumerate(names):
-        ranks[np.searchsorted(every, np.array(model[name], np.int64)), j] = np.arange(len(model[name]))
-    sent = shared(docs.sparkSession, (names, every, ranks))
+    sent = shared(docs.sparkSession, _Nearest(model, length))
 
     def run(batches):
-        names, every, ranks = sent.value
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(1).to_pylist():
-                own = ranked(text, length) if text and names else ()
-                if not len(own):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                at = np.minimum(np.searchsorted(every, own), len(every) - 1)
-                theirs = ranks[np.where(every[at] == own, at, len(every))]
-                apart = np.where(theirs < 0, length, np.abs(theirs - np.arange(len(own))[:, None])).sum(0)
-                best = int(np.argmin(apart))
-                langs.append(names[best])
-                scores.append(1.0 - float(apart[best]) / (length * len(own)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = [sent.value(text) for text in batch.column(1).to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: dict[str, list[int]], min_score: float, length: int = PROFILE_LENGTH) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a language with a score of `min_score` or more."""
+    sent = shared(docs.sparkSession, _Nearest(model, length))
+    text_at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            found = [sent.value(text) for text in batch.column(text_at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
