@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, decontamination, language_id, quality_rules, simhash_dedup, suffix_array_dedup
+from filingscope.llm import bpe, decontamination, html_extraction, language_id, quality_rules, simhash_dedup, suffix_array_dedup
 from filingscope.llm.common import read_table, remainder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_words", "reparameterised")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_rules": op2_rules,
     "op3_decontamination": op3_decontamination,
+    "op4_html": op4_html,
     "op7_simhash": op7_simhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_bpe": op10_bpe,
