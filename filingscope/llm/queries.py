@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, decontamination, html_extraction, language_id, quality_rules, simhash_dedup, suffix_array_dedup
-from filingscope.llm.common import read_table, remainder
+from filingscope.llm import bpe, decontamination, html_extraction, language_id, quality_classifier, quality_rules, simhash_dedup, suffix_array_dedup
+from filingscope.llm.common import read_table, remainder, saved
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -34,6 +34,14 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = saved(quality_classifier.statistics(read_table(spark, sf_dir, "documents")))
+    held_out = remainder("doc_id", 5) == 0
+    rules = quality_classifier.fit(stats.where(~held_out), read_table(spark, sf_dir, "labels"))
+    scored = stats.select("doc_id", held_out.alias("held_out"), quality_classifier.score(rules).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rules": op2_rules,
     "op3_decontamination": op3_decontamination,
     "op4_html": op4_html,
+    "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_bpe": op10_bpe,
