@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, decontamination, html_extraction, language_id, quality_classifier, quality_rules, simhash_dedup, suffix_array_dedup
+from filingscope.llm import bpe, decontamination, html_extraction, language_id, quality_classifier, quality_rules, simhash_dedup, suffix_array_dedup, suffix_tree_lm
 from filingscope.llm.common import read_table, remainder, saved
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 10) == 0
+    train = docs.where(~held_out)
+    counts = saved(suffix_tree_lm.word_counts(train))
+    scored = suffix_tree_lm.score(docs, suffix_tree_lm.fit(train, counts), counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -61,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_html": op4_html,
     "op5_quality": op5_quality,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_simhash": op7_simhash,
     "op9_suffix_array": op9_suffix_array,
     "op10_bpe": op10_bpe,
