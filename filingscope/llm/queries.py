@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingscope.llm import bpe, decontamination, html_extraction, language_id, quality_classifier, quality_rules, simhash_dedup, suffix_array_dedup, suffix_tree_lm
+from filingscope.llm import bpe, decontamination, html_extraction, language_id, quality_classifier, quality_rules, simhash_dedup, substring_chaining, suffix_array_dedup, suffix_tree_lm
 from filingscope.llm.common import read_table, remainder, saved
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_chaining.passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup.digests(read_table(spark, sf_dir, "documents"), length=400)
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_simhash": op7_simhash,
+    "op8_chaining": op8_chaining,
     "op9_suffix_array": op9_suffix_array,
     "op10_bpe": op10_bpe,
 }
