@@ -43,21 +43,39 @@ def _replace_all(text: str, pattern: str, replacement: str) -> str:
     return f"regexp_replace({text}, {re2(pattern)}, {out}, 'g')"
 
 
+# The checking side has its own patterns, written from the blueprint, and shares none with the operators.
+LITERAL_PAIRS = [
+    ("<span>", ""), ("</span>", ""), ("&#8217;", "'"), ("&#8220;", '"'), ("&#8221;", '"'), ("&nbsp;", " "), ("&#146;", "'"),
+]
+UNWRAPPED = [
+    (r"(?i)<ix:[a-z0-9_:]+.*?>", "\n"), (r"(?i)</ix:[a-z0-9_:]+>", ""), (r"(?is)<html.*?>", "\n"), (r"(?i)</html>", ""),
+    (r"(?is)<font.*?>", "\n"), (r"(?i)</font>", ""), (r"(?is)<br.*?>", ""), (r"(?is)<hr.*?>", ""), (r"(?i)<b>", "\n"),
+    (r"(?i)</b>", ""), (r"(?i)<center>", "\n"), (r"(?i)</center>", ""), (r"(?is)<a.*?>", "\n"), (r"(?i)</a>", ""),
+    (r"(?is)<table.*?>", "\n"), (r"(?i)</table>", ""), (r"(?is)<tr.*?>", "\n"), (r"(?i)</tr>", ""),
+    (r"(?is)<td.*?>", "\n"), (r"(?i)</td>", ""),
+]
+
+
+def _plain(text: str, pattern: str, replacement: str) -> str:
+    pattern, replacement = pattern.replace("'", "''"), replacement.replace("'", "''")
+    return f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
+
+
 def _literals(text: str) -> str:
-    for old, new in h.LITERALS:
+    for old, new in LITERAL_PAIRS:
         text = "replace({}, '{}', '{}')".format(text, old.replace("'", "''"), new.replace("'", "''"))
     return text
 
 
 def _unwrap(text: str) -> str:
-    for step in h.UNWRAP:
-        text = _replace_all(text, *step)
+    for step in UNWRAPPED:
+        text = _plain(text, *step)
     return text
 
 
 def _empty_elements(text: str) -> str:
     for _ in range(12):
-        text = _replace_all(text, h.EMPTY_ELEMENT, "")
+        text = _plain(text, r"(?i)<p>\s*</p>|<div>\s*</div>", "")
     return text
 
 
@@ -104,32 +122,32 @@ def _clean_lines(text: str) -> str:
 
 
 def _pattern(step: tuple[str, str]) -> Callable[[str], str]:
-    return lambda text: _replace_all(text, *step)
+    return lambda text: _plain(text, *step)
 
 
 STEPS: list[tuple[str, Callable[[Column], Column], Callable[[str], str] | None]] = [
     ("h1_join_lines", h.unwrap_lines, _join_lines),
     ("h2_from_document_start", h.from_document_start, _from_start),
     ("h3_before_second_document", h.before_second_document, _before_second),
-    ("h4_drop_head", h.drop_head, _pattern(h.HEAD)),
-    ("h5_drop_style", h.drop_style, _pattern(h.STYLE_ATTRIBUTE)),
-    ("h6_drop_id", h.drop_id, _pattern(h.ID_ATTRIBUTE)),
-    ("h7_drop_align", h.drop_align, _pattern(h.ALIGN_ATTRIBUTE)),
-    ("h8_drop_comments", h.drop_comments, _pattern(h.COMMENT)),
-    ("h9_drop_images", h.drop_images, _pattern(h.IMAGE)),
+    ("h4_drop_head", h.drop_head, _pattern((r"(?is)<head>.*?</head>", ""))),
+    ("h5_drop_style", h.drop_style, _pattern((r"""(?i)\sstyle=(?:"[^"\n]*"|'[^'\n]*')""", ""))),
+    ("h6_drop_id", h.drop_id, _pattern((r"""(?i)\s+id=(?:"[^"\n]*"|'[^'\n]*')""", ""))),
+    ("h7_drop_align", h.drop_align, _pattern((r"""(?i)\s+align=(?:"[^"\n]*"|'[^'\n]*')""", ""))),
+    ("h8_drop_comments", h.drop_comments, _pattern((r"(?s)<!--.*?-->", ""))),
+    ("h9_drop_images", h.drop_images, _pattern((r"(?i)<img.*?>", ""))),
     ("h10_replace_literals", h.replace_literals, _literals),
-    ("h11_three_digit_references", h.blank_three_digit_references, _pattern(h.THREE_DIGIT_REFERENCE)),
+    ("h11_three_digit_references", h.blank_three_digit_references, _pattern((r"&#\d{3};", " "))),
     ("h12_h13_unwrap_tags", h.unwrap_tags, _unwrap),
-    ("h14_drop_xbrli_blocks", h.drop_xbrli_blocks, lambda text: _replace_all(
-        text, r"(?is)<xbrli:measure[^>]*>.*?</xbrli:measure>", "")),
+    ("h14_drop_xbrli_blocks", h.drop_xbrli_blocks, _pattern(
+        (r"(?is)<xbrli:measure[^>]*>.*?</xbrli:measure>", ""))),
     ("h15_drop_empty_elements", h.drop_empty_elements, _empty_elements),
-    ("h16_break_before_paragraphs", h.break_before_paragraphs, _pattern(h.PARAGRAPH)),
-    ("h17_strip_tags", h.strip_tags, _pattern(h.ANY_TAG)),
-    ("h18_drop_numeric_entities", h.drop_numeric_entities, _pattern(h.NUMERIC_ENTITY)),
+    ("h16_break_before_paragraphs", h.break_before_paragraphs, _pattern((r"(?i)<p.*?>", "\n\\0"))),
+    ("h17_strip_tags", h.strip_tags, _pattern((r"<.*?>", ""))),
+    ("h18_drop_numeric_entities", h.drop_numeric_entities, _pattern((r"(?i)&#(?:\d{1,8}|x[0-9a-f]{1,8});", ""))),
     ("h19_break_before_items", h.break_before_items, _break_items),
     ("h20_clean_lines", h.clean_lines, _clean_lines),
-    ("h21_drop_xbrl_blocks", h.drop_xbrl_blocks, lambda text: _replace_all(
-        _replace_all(text, *h.XBRL_BLOCKS), *h.INLINE_XBRL_TAG)),
+    ("h21_drop_xbrl_blocks", h.drop_xbrl_blocks, lambda text: _plain(
+        _plain(text, r"(?s)<XBRL[^>]*>.*?</XBRL>|<XML[^>]*>.*?</XML>", ""), r"</?ix:.*?>", "")),
 ]
 
 

@@ -8,6 +8,8 @@ rescans a long run of blanks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,9 @@ UNWRAP = (
     (r"</(?iu:td)>", ""),
 )
 TAG_IN_TAG = r"<[^<>]*+<"
-XBRLI_BLOCK = (r"<(?iu:xbrli:([a-zA-Z0-9_:]+)[^>]*>(?s:.*?)</xbrli:\1)>", "")
+# NAMES stands for the names that have a closing tag.
+XBRLI_BLOCK = (r"<(?iu:xbrli:(NAMES)[^>]*>(?s:.*?)</xbrli:\1)>", "")
+XBRLI_CLOSING = r"</(?iu:xbrli:([a-zA-Z0-9_:]+))>"
 EMPTY_ELEMENT = rf"<(?iu:p>{S}*+</p|div>{S}*+</div)>"
 EMPTY_ELEMENT_END = r"</(?iu:p|div)>"
 PARAGRAPH = (r"<(?iu:p)[^>\n]*>", "\n$0")
@@ -79,10 +83,26 @@ ITEM_HEAD = (
     "\n$0",
 )
 BLANKS_AT_LINE_END = (r"[ \t](?<![ \t][ \t])[ \t]*+\n", "\n")
+XBRL_KINDS = ("XBRL", "XML")
 XBRL_BLOCKS = (r"(?s)<XBRL[^>]*>.*?</XBRL>|<XML[^>]*>.*?</XML>", "")
 INLINE_XBRL_TAG = (r"</?ix:[^>\n]*>", "")
 
 
+# A noncharacter: no text has it after a "<".
+SET_ASIDE = "<\ufdd0"
+
+
+def through_last(text: Column, opening: str, closing: str, step: Callable[[Column], Column]) -> Column:
+    """Apply a step to the part of a text that ends with the last closing mark; the rest cannot match.
+
+    An opening mark without a closing one makes a search run to the end of the text, so many of them
+    take quadratic time. In the first part every search succeeds.
+    """
+    first = F.regexp_extract(text, rf"\A(?s:.*)(?:{closing})", 0)
+    parts = let(first, lambda head: F.concat(step(head), F.substr(text, F.length(head) + 1)))
+    return F.when(F.rlike(text, F.lit(opening)), parts).otherwise(text)
+
+
 def ends_with_tag(line: Column) -> Column:
     return let(
         rstrip(line),
@@ -135,7 +155,7 @@ def before_second_document(text: Column) -> Column:
 
 
 def drop_head(text: Column) -> Column:
-    return sub(text, *HEAD)
+    return through_last(text, "<(?iu:head)>", "</(?iu:head)>", lambda part: sub(part, *HEAD))
 
 
 def drop_style(text: Column) -> Column:
@@ -151,7 +171,7 @@ def drop_align(text: Column) -> Column:
 
 
 def drop_comments(text: Column) -> Column:
-    return sub(text, *COMMENT)
+    return through_last(text, "<!--", "-->", lambda part: sub(part, *COMMENT))
 
 
 def drop_images(text: Column) -> Column:
@@ -185,7 +205,21 @@ def unwrap_tags(text: Column) -> Column:
 
 
 def drop_xbrli_blocks(text: Column) -> Column:
-    return sub(text, *XBRLI_BLOCK)
+    """Remove blocks that have a closing tag.
+
+    An opening tag fits a closing one whose name its own name starts with, the longest first. The
+    pattern lists the names that are closed at all, so other opening tags fail at once.
+    """
+    pattern, replacement = XBRLI_BLOCK
+    before, after = pattern.split("NAMES")
+    closed = F.array_distinct(F.regexp_extract_all(text, F.lit(XBRLI_CLOSING), 1))
+    longest_first = F.array_sort(closed, lambda x, y: F.length(y) - F.length(x))
+
+    def drop(names: Column) -> Column:
+        own = F.concat(F.lit(before), F.array_join(names, "|"), F.lit(after))
+        return through_last(text, "<(?iu:xbrli:)", XBRLI_CLOSING, lambda part: F.regexp_replace(part, own, F.lit(replacement)))
+
+    return F.when(F.rlike(text, F.lit(XBRLI_CLOSING)), let(longest_first, drop)).otherwise(text)
 
 
 def drop_empty_elements(text: Column) -> Column:
@@ -236,7 +270,23 @@ def clean_lines(text: Column) -> Column:
 
 
 def drop_xbrl_blocks(text: Column) -> Column:
-    return sub(sub(text, *XBRL_BLOCKS), *INLINE_XBRL_TAG)
+    """Remove whole blocks and inline tags. Opening tags after the last closing one of their kind are set aside meanwhile."""
+
+    def aside(part: Column, kind: str) -> Column:
+        first = F.regexp_extract(part, rf"\A(?s:.*)</{kind}>", 0)
+        return let(
+            first,
+            lambda head: F.concat(
+                head, F.replace(F.substr(part, F.length(head) + 1), F.lit(f"<{kind}"), F.lit(f"{SET_ASIDE}{kind}"))
+            ),
+        )
+
+    blocks = text
+    for kind in XBRL_KINDS:
+        blocks = aside(blocks, kind)
+    blocks = F.replace(sub(blocks, *XBRL_BLOCKS), F.lit(SET_ASIDE), F.lit("<"))
+    found = F.contains(text, F.lit("<XBRL")) | F.contains(text, F.lit("<XML"))
+    return sub(F.when(found, blocks).otherwise(text), *INLINE_XBRL_TAG)
 
 
 CLEANING_STEPS = (
