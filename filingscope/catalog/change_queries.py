@@ -10,14 +10,17 @@ from filingscope.operators import similarity as sim
 
 WORDS = "regexp_extract_all(lower(text), '[a-z'']+')"
 
-# Each source is a firm, each text a section; two texts share a day, some have no word.
+# Each source is a firm, each text a section; two texts share a day. Every 17th text has a row without a word after it.
 derived(
     "doc_sections",
     """
     SELECT source AS cik, lpad(CAST(doc_id AS STRING), 10, '0') AS accession,
-      DATE '2000-01-01' + CAST(floor(doc_id / 2) AS INT) AS filed_date, '1A' AS item_n,
-      CASE WHEN doc_id % 17 = 0 THEN '12 -- 34' ELSE text END AS text
+      DATE '2000-01-01' + CAST(floor(doc_id / 2) AS INT) AS filed_date, '1A' AS item_n, text
     FROM {documents}
+    UNION ALL
+    SELECT source, concat(lpad(CAST(doc_id AS STRING), 10, '0'), 'e'),
+      DATE '2000-01-01' + CAST(floor(doc_id / 2) AS INT), '1A', '12 -- 34'
+    FROM {documents} WHERE doc_id % 17 = 0
     """,
 )
 # Each conversation is a firm, each turn a section.
@@ -88,6 +91,10 @@ def _sentiment_sql(table: str, basis: str) -> str:
     FROM (SELECT *, {key} AS k FROM ({_new_words_sql(table, basis)})) w
     LEFT JOIN {{lexicon}} x ON x.word = w.k AND length(w.k) > 1 AND w.k NOT IN ({degree})
     GROUP BY cik, filing_a, filing_b
+    UNION ALL
+    SELECT cik, filing_a, filing_b, 0 FROM {{{table}}} t WHERE la > 0 AND lb > 0 AND NOT EXISTS (
+      SELECT 1 FROM ({_new_words_sql(table, basis)}) n
+      WHERE n.cik = t.cik AND n.filing_a = t.filing_a AND n.filing_b = t.filing_b)
     """
 
 
@@ -162,7 +169,7 @@ def _edited(t):
 # dropped + replaced: whole texts are checked without a quadratic table.
 query(
     "m2_edit_distance_edited",
-    lambda t: sim.edit_distances(_edited(t).repartition(8), key=["doc_id"]).select(
+    lambda t: sim.edit_distances(_edited(t), key=["doc_id"]).select(
         "doc_id", "distance", "len_a", "len_b", F.round("similarity", 9).alias("similarity")
     ),
     f"""
@@ -174,7 +181,7 @@ query(
 )
 query(
     "m3_similarity",
-    lambda t: sim.edit_distances(_edited(t).repartition(8), key=["doc_id"]).select(
+    lambda t: sim.edit_distances(_edited(t), key=["doc_id"]).select(
         "doc_id", F.round(sim.similarity(F.col("distance"), F.col("len_a"), F.col("len_b")), 9).alias("similarity")
     ),
     f"""
@@ -216,6 +223,69 @@ query(
     FROM measured LEFT JOIN feeling USING (cik, filing_a, filing_b)
     """,
 )
+# Firms with two filings: each text and its edited copy. All measures have a closed form or are plain SQL on whole texts.
+derived(
+    "edited_check",
+    f"""
+    SELECT doc_id, words, list_filter(list_transform(range(1, len(words) + 1), lambda i:
+        CASE WHEN i % 7 = 0 THEN '' WHEN i % 5 = 0 THEN '''''''''' ELSE words[i] END), lambda w: w <> '') AS kept
+    FROM (SELECT doc_id, {WORDS} AS words FROM documents) WHERE len(words) > 0
+    """,
+)
+
+
+def _edited_firms(t):
+    """Sections and pairs of the edited copies (older) and the texts themselves (newer)."""
+    both = _edited(t).select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("words_b").alias("text")), F.struct(F.lit(0).alias("n"), F.col("words_a").alias("text")))).alias("s"))
+    filed = F.date_add(F.lit("2000-01-01").cast("date"), F.col("s.n"))
+    sections = both.select(
+        F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("cik"), F.col("s.n").cast("string").alias("accession"),
+        filed.alias("filed_date"), F.lit("1A").alias("item_n"), F.col("s.text").alias("text"),
+    )
+    return sections, pr.consecutive_pairs(sections)
+
+
+def _compare_edited(t):
+    rows = sim.compare_sections(*_edited_firms(t), t["lexicon"])
+    return rows.select(
+        F.col("ticker").cast("long").alias("doc_id"), "distance", F.round("similarity", 9).alias("similarity"), "len_a", "len_b",
+        F.round("sentiment", 9).alias("sentiment"),
+    )
+
+
+EDITED_DEGREE = ", ".join(f"'{w}'" for w in sim.DEGREE_WORDS)
+query(
+    "m6_compare_edited",
+    _compare_edited,
+    f"""
+    WITH new AS (
+      SELECT doc_id, unnest(list_filter(words, lambda w: NOT list_contains(kept, w))) AS word FROM {{edited_check}} WHERE len(kept) > 0),
+    scored AS (
+      SELECT doc_id, sum(CASE WHEN length(word) > 1 AND word NOT IN ({EDITED_DEGREE})
+          THEN coalesce(round(valence / sqrt(valence * valence + 15), 4), 0) ELSE 0 END) / count(*) AS sentiment
+      FROM (SELECT doc_id, CASE WHEN regexp_matches(word, '^''[a-z]{{2,}}$') THEN word[2:]
+          WHEN regexp_matches(word, '^[a-z]{{2,}}''$') THEN word[:-2] ELSE word END AS word FROM new) w
+      LEFT JOIN {{lexicon}} x USING (word) GROUP BY doc_id)
+    SELECT doc_id, n // 7 + n // 5 - n // 35 AS distance, round(1 - (n // 7 + n // 5 - n // 35) / (2 * n - n // 7), 9) AS similarity,
+      n AS len_a, n - n // 7 AS len_b, round(coalesce(sentiment, 0), 9) AS sentiment
+    FROM (SELECT doc_id, len(words) AS n FROM {{edited_check}} WHERE len(kept) > 0) LEFT JOIN scored USING (doc_id)
+    """,
+)
+# Every third filing lacks the section: its pairs are rejected, its neighbours are not paired with each other.
+derived("some_sections", "SELECT * FROM {doc_sections} WHERE CAST(left(accession, 10) AS BIGINT) % 3 <> 0")
+query(
+    "m7_missing_sections",
+    lambda t: sim.pair_rejects(t["some_sections"], t["doc_pairs"]),
+    """
+    SELECT p.cik, filing_a, filing_b, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 'missing_section' ELSE 'empty_section' END AS reason
+    FROM {doc_pairs} p
+    LEFT JOIN (SELECT t.* FROM {doc_tokens_check} t SEMI JOIN {some_sections} s ON s.cik = t.cik AND s.accession = t.accession) a
+      ON a.cik = p.cik AND a.accession = filing_a
+    LEFT JOIN (SELECT t.* FROM {doc_tokens_check} t SEMI JOIN {some_sections} s ON s.cik = t.cik AND s.accession = t.accession) b
+      ON b.cik = p.cik AND b.accession = filing_b
+    WHERE a.n IS NULL OR b.n IS NULL OR a.n = 0 OR b.n = 0
+    """,
+)
 query(
     "m7_empty_sections",
     lambda t: sim.uncomparable(sim.pair_texts(t["doc_sections"], t["doc_pairs"])),

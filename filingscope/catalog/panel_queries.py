@@ -81,6 +81,11 @@ query(
     lambda t: rt.link_returns(t["stock"], t["links"], t["companies"], first="1992-06-01", last="1998-03-31"),
     LINK_SQL,
 )
+query(
+    "j1_all_dates",
+    lambda t: rt.link_returns(t["stock"], t["links"], t["companies"]),
+    LINK_SQL.replace("m.date >= DATE '1992-06-01' AND m.date <= DATE '1998-03-31' AND ", ""),
+)
 query(
     "s10_returns_of_filers",
     lambda t: rt.link_returns(

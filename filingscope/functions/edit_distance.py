@@ -93,3 +93,27 @@ def token_line_difference(left: pd.Series, right: pd.Series) -> pd.Series:
         ],
         dtype="object",
     )
+
+
+def _measures(swap_when_shorter: bool):
+    def measure(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(left, right):
+            if a is None or b is None:
+                rows.append((None, None, None, None))
+                continue
+            a, b = a.split(), b.split()
+            here, there = (b, a) if swap_when_shorter and len(b) > len(a) else (a, b)
+            new = " ".join(filterfalse(set(there).__contains__, here))
+            rows.append((token_distance(a, b), len(a), len(b), new))
+        out = pd.DataFrame(rows, columns=["distance", "len_a", "len_b", "new_words"], dtype="object")
+        return out.astype({name: "Int32" for name in ("distance", "len_a", "len_b")})
+
+    fields = [T.StructField(name, T.IntegerType()) for name in ("distance", "len_a", "len_b")]
+    return F.pandas_udf(measure, T.StructType([*fields, T.StructField("new_words", T.StringType())]))
+
+
+# Distance, both lengths and the tokens that only one side has, in one pass over both texts: the side with
+# more tokens (the left on ties), or always the left.
+line_measures_longer = _measures(True)
+line_measures_left = _measures(False)

@@ -28,7 +28,7 @@ def coverage_gaps(filings: DataFrame, similarity: DataFrame) -> DataFrame:
 
 def landed_filers(filers: DataFrame, landed: DataFrame) -> DataFrame:
     """Filers with at least one landed filing."""
-    return filers.join(landed.select("cik").distinct(), "cik", "left_semi")
+    return filers.join(landed.select("cik"), "cik", "left_semi")
 
 
 def ingest_status(filers: DataFrame, landed: DataFrame, errors: DataFrame) -> DataFrame:

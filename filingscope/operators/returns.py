@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filingscope.functions.dates import normalise_cik, start_anchor
 
 FORWARD_MONTHS = 18
 BACK_MONTHS = 12
-# Link types and priorities that tie a security to a filer, and the study period.
+# Link types and priorities that tie a security to a filer.
 LINK_TYPES = ("LU", "LC")
 LINK_PRIORITIES = ("P", "C")
-FIRST_DATE = "2006-01-01"
-LAST_DATE = "2025-10-31"
+# The study's own period, for callers that want it.
+STUDY_FIRST_DATE = "2006-01-01"
+STUDY_LAST_DATE = "2025-10-31"
 
 
 def link_returns(
@@ -21,10 +23,10 @@ def link_returns(
     links: DataFrame,
     companies: DataFrame,
     filers: DataFrame | None = None,
-    first: str = FIRST_DATE,
-    last: str = LAST_DATE,
+    first: str | None = None,
+    last: str | None = None,
 ) -> DataFrame:
-    """Returns of each filer while its link to the security was valid.
+    """Returns of each filer while its link to the security was valid, from `first` to `last` if given.
 
     Overlapping links yield one row each. The two small tables are joined first; Spark broadcasts
     the result if its measured size allows and splits skewed securities otherwise.
@@ -41,10 +43,12 @@ def link_returns(
     inside = (F.col("date") >= F.col("linkdt")) & (
         (F.col("date") <= F.col("linkenddt")) | F.col("linkenddt").isNull()
     )
-    return (
-        stock.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-        .join(linked, (F.col("permno") == F.col("lpermno")) & inside)
-        .select("cik", "company_name", "date", "ret")
+    if first is not None:
+        stock = stock.filter(F.col("date") >= F.lit(first).cast("date"))
+    if last is not None:
+        stock = stock.filter(F.col("date") <= F.lit(last).cast("date"))
+    return stock.join(linked, (F.col("permno") == F.col("lpermno")) & inside).select(
+        "cik", "company_name", "date", "ret"
     )
 
 
@@ -57,6 +61,10 @@ def _percent(mean: Column) -> Column:
     return (mean - 1) * 100
 
 
+def _month_number(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
 def with_anchors(pairs: DataFrame) -> DataFrame:
     """Add the month after the newer filing, one year before it and 18 months after it."""
     anchored = pairs.withColumn("start_anchor", start_anchor(F.col("date_a")))
@@ -86,32 +94,42 @@ def window_means(
     forward_months: int = FORWARD_MONTHS,
     back_months: int = BACK_MONTHS,
 ) -> DataFrame:
-    """Mean percent returns after and before each (cik, start_anchor).
+    """Mean percent returns after and before each (cik, start_anchor) with any return in its windows.
 
     Forward covers start <= date <= start + forward_months, backward
     start - back_months <= date < start. Anchors are first days, so the windows consist of whole
-    months plus, at the closed forward end, one first day. Both range conditions thus become one
-    equality join on (cik, month) between distinct rows, which no single filer can overload.
+    months plus, at the closed forward end, one first day. Monthly sums and anchors of a filer are laid on one
+    line of months; ranges over it give all windows after a single shuffle. A filer has at most two rows a month
+    there, so none can overload a task.
     """
-    offsets = F.sequence(F.lit(-back_months), F.lit(forward_months))
-    months = (
-        anchors.select("cik", "start_anchor")
-        .distinct()
-        .withColumn("k", F.explode(offsets))
-        .withColumn("month", F.add_months("start_anchor", F.col("k")))
-    )
-    k = F.col("k")
-    whole, closing, back = (k >= 0) & (k < forward_months), k == forward_months, k < 0
-    forward_total = F.sum(F.when(whole, F.col("total")).when(closing, F.col("first_total")))
-    forward_n = F.sum(F.when(whole, F.col("n")).when(closing, F.col("first_n")))
-    back_total = F.sum(F.when(back, F.col("total")))
-    back_n = F.sum(F.when(back, F.col("n")))
+    sums = monthly_gross(returns).withColumn("m", _month_number(F.col("month"))).withColumn("has", F.lit(1))
+    asked = anchors.select("cik", "start_anchor").distinct().withColumn("m", _month_number(F.col("start_anchor")))
+    line = sums.unionByName(asked, allowMissingColumns=True).filter(F.col("cik").isNotNull())
+    by_month = W.partitionBy("cik").orderBy("m")
+
+    def total(column: str, first: int, last: int) -> Column:
+        return F.sum(column).over(by_month.rangeBetween(first, last))
+
+    def forward(inner: str, closing: str) -> Column:
+        parts = (total(inner, 0, forward_months - 1), total(closing, forward_months, forward_months))
+        return sum((F.coalesce(part, F.lit(0)) for part in parts), F.lit(0))
+
     return (
-        months.join(monthly_gross(returns), ["cik", "month"])
-        .groupBy("cik", "start_anchor")
-        .agg(
-            _percent(F.try_divide(forward_total, forward_n)).alias("ret_18"),
-            _percent(F.try_divide(back_total, back_n)).alias("ret_prev_12m"),
+        line.withColumns(
+            {
+                "forward_total": forward("total", "first_total"),
+                "forward_n": forward("n", "first_n"),
+                "back_total": F.coalesce(total("total", -back_months, -1), F.lit(0)),
+                "back_n": F.coalesce(total("n", -back_months, -1), F.lit(0)),
+                "months": total("has", -back_months, forward_months),
+            }
+        )
+        .filter(F.col("start_anchor").isNotNull() & (F.col("months") > 0))
+        .select(
+            "cik",
+            "start_anchor",
+            _percent(F.try_divide("forward_total", "forward_n")).alias("ret_18"),
+            _percent(F.try_divide("back_total", "back_n")).alias("ret_prev_12m"),
         )
     )
 

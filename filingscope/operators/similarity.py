@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.edit_distance import token_line_difference, token_line_distance
+from filingscope.functions.edit_distance import (
+    line_measures_left,
+    line_measures_longer,
+    token_line_difference,
+    token_line_distance,
+)
 from filingscope.functions.ordered import broadcast_if_small
 
 BASES = ("longer", "newer")
@@ -80,6 +85,22 @@ def uncomparable(texts: DataFrame) -> DataFrame:
     )
 
 
+def pair_rejects(sections: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs that cannot be compared: a side lacks the section, or its section has no token.
+
+    `pairs` are those of all dated filings, so that a filing without the section costs its own two
+    pairs and never moves its neighbours together.
+    """
+    state = sections.select("cik", "accession", (token_line(F.col("text")) == "").alias("empty"))
+    joined = pairs.select(*PAIR_KEY)
+    for side in ("a", "b"):
+        own = state.select("cik", F.col("accession").alias(f"filing_{side}"), F.col("empty").alias(f"empty_{side}"))
+        joined = joined.join(own, ["cik", f"filing_{side}"], "left")
+    missing = F.col("empty_a").isNull() | F.col("empty_b").isNull()
+    reason = F.when(missing, "missing_section").when(F.col("empty_a") | F.col("empty_b"), "empty_section")
+    return joined.select(*PAIR_KEY, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def edit_distances(texts: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:
     """Token edit distance, similarity and token counts per pair."""
     a, b = F.col("words_a"), F.col("words_b")
@@ -113,14 +134,15 @@ def _words(line: str) -> Column:
 
 
 def new_word_rows(texts: DataFrame, basis: str = "longer", key: list[str] = PAIR_KEY) -> DataFrame:
-    """One row per new word and occurrence: key, word."""
+    """One row per new word and occurrence: key, word; a pair without one has a single NULL word."""
     lines = texts.select(*key, _new_word_line(basis).alias("_line"))
-    return lines.select(*key, _words("_line")).filter(F.col("word").isNotNull())
+    return lines.select(*key, _words("_line"))
 
 
 def new_words(texts: DataFrame, basis: str = "longer", key: list[str] = PAIR_KEY) -> DataFrame:
     """New words with how often they occur: key, word, occurrences."""
-    return new_word_rows(texts, basis, key).groupBy(*key, "word").agg(F.count("*").alias("occurrences"))
+    found = new_word_rows(texts, basis, key).filter(F.col("word").isNotNull())
+    return found.groupBy(*key, "word").agg(F.count("*").alias("occurrences"))
 
 
 def lexicon_key(word: Column) -> Column:
@@ -138,7 +160,9 @@ def word_score(valence: Column) -> Column:
 def mean_sentiment(words: DataFrame, lexicon: DataFrame, key: list[str] = PAIR_KEY) -> DataFrame:
     """Mean score of the word rows of each key, 0 where all are NULL; unknown words count as 0."""
     scores = lexicon.select(F.col("word").alias("_lookup"), word_score(F.col("valence")).alias("_score"))
-    scored = words.withColumn("_lookup", lexicon_key(F.col("word"))).join(
+    # Rows without a lookup form get one that no lexicon has, a different one for each key: a shuffle spreads them.
+    nowhere = F.concat(F.lit("\x00"), F.xxhash64(*key).cast("string"))
+    scored = words.withColumn("_lookup", F.coalesce(lexicon_key(F.col("word")), nowhere)).join(
         broadcast_if_small(scores, LEXICON_BROADCAST_ROWS), "_lookup", "left"
     )
     total = F.coalesce(F.sum("_score"), F.lit(0.0))
@@ -154,16 +178,13 @@ def compare_sections(
     Distance and new words come from one pass over the joined texts; after it only the new words and
     a few numbers per pair move on.
     """
-    a, b = F.col("words_a"), F.col("words_b")
+    if basis not in BASES:
+        raise ValueError(f"basis must be one of {BASES}")
     measures = ["date_a", "date_b", "distance", "len_a", "len_b"]
-    measured = pair_texts(with_tokens(sections), pairs).select(
-        *PAIR_KEY,
-        "date_a",
-        "date_b",
-        token_line_distance(a, b).alias("distance"),
-        token_count(a).alias("len_a"),
-        token_count(b).alias("len_b"),
-        _new_word_line(basis).alias("_line"),
+    measure = line_measures_longer if basis == "longer" else line_measures_left
+    texts = pair_texts(with_tokens(sections), pairs)
+    measured = texts.select(*PAIR_KEY, "date_a", "date_b", measure("words_a", "words_b").alias("m")).select(
+        *PAIR_KEY, "date_a", "date_b", "m.distance", "m.len_a", "m.len_b", F.col("m.new_words").alias("_line")
     )
     rows = mean_sentiment(
         measured.select(*PAIR_KEY, *measures, _words("_line")), lexicon, [*PAIR_KEY, *measures]

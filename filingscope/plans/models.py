@@ -51,12 +51,15 @@ def with_test_flag(rows: DataFrame, key: Column, share: float = TEST_SHARE, seed
 def with_stratified_test_flag(
     rows: DataFrame, key: Column, stratum: str, share: float = TEST_SHARE, seed: int = SEED
 ) -> DataFrame:
-    """Flag the same share of every class: rows whose hash lies below the class's own quantile."""
+    """Flag the same share of every class, rows without one included: rows whose hash lies below the class's own quantile."""
     hashed = rows.withColumn("_u", unit_hash(key, seed))
     cuts = exact_quantiles(hashed, "_u", (share,), by=stratum)
     if not cuts:
         return hashed.withColumn("is_test", F.lit(False)).drop("_u")
-    cut = F.element_at(F.create_map(*[F.lit(x) for c, q in cuts.items() for x in (c, q[0])]), F.col(stratum))
+    own = [F.lit(x) for c, q in cuts.items() if c is not None for x in (c, q[0])]
+    cut = F.try_element_at(F.create_map(*own), F.col(stratum)) if own else F.lit(None).cast("double")
+    if None in cuts:
+        cut = F.when(F.col(stratum).isNull(), F.lit(cuts[None][0])).otherwise(cut)
     return hashed.withColumn("is_test", F.col("_u") < cut).drop("_u")
 
 

@@ -7,17 +7,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filingscope import schemas
+from filingscope.functions.dates import accession_year
+from filingscope.functions.ordered import latest_per_key
 from filingscope.operators import similarity as sim
+from filingscope.operators.audit import coverage_gaps
 from filingscope.operators.headings import repair_headings
 from filingscope.operators.html_text import html_to_text
 from filingscope.operators.pairs import clean_pairs, consecutive_pairs
 from filingscope.operators.panel import build_panel, with_features
+from filingscope.operators.returns import link_returns
 from filingscope.operators.sections import filing_date, rejects, sections, split_items
 from filingscope.session import shared_folder
-from filingscope.sources.filings import FIRST_YEAR, START_DATE, filed_from, from_year
+from filingscope.sources.filings import FIRST_YEAR, START_DATE, filed_from, landing_rejects, usable_filings
+from filingscope.sources.index import filer_list
 from filingscope.sources.tables import write_parquet
 
 RISK_ITEM = "1A"
+# Files that one item label is written to at most in a run.
+FILES_PER_ITEM = 64
 
 
 def clean_filings(raw: DataFrame) -> DataFrame:
@@ -28,6 +36,17 @@ def clean_filings(raw: DataFrame) -> DataFrame:
     )
 
 
+# Tables are read with these schemas: a partition column's type would otherwise be guessed from its values.
+STAGE_SCHEMAS = {
+    "landing_rejects": schemas.REJECTS,
+    "filings_clean": schemas.FILINGS_CLEAN,
+    "items": schemas.ITEMS,
+    "similarity": schemas.SIMILARITY,
+    "pair_rejects": schemas.REJECTS,
+    "returns": schemas.RETURNS,
+}
+
+
 @dataclass
 class Study:
     """Table locations below one folder that all executors reach; by default the session's own."""
@@ -40,37 +59,67 @@ class Study:
             self.root = f"{shared_folder(self.spark)}/study"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        reader = self.spark.read
+        if name in STAGE_SCHEMAS:
+            reader = reader.schema(STAGE_SCHEMAS[name])
+        return reader.parquet(f"{self.root}/{name}")
 
     def _write(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         write_parquet(df, f"{self.root}/{name}", partition_by)
         return self.table(name)
 
-    def clean(self, raw: DataFrame, first_year: int = FIRST_YEAR) -> DataFrame:
-        return self._write("filings_clean", clean_filings(from_year(raw, first_year)))
+    def index(self, index_rows: DataFrame) -> DataFrame:
+        """The expected filers of parsed index rows, one row each, for `coverage` and `returns`."""
+        return self._write("filers", filer_list(index_rows))
+
+    def clean(self, raw: DataFrame, first_year: int = FIRST_YEAR, latest: int | None = None) -> DataFrame:
+        """Cleaned filings; `latest` keeps only so many of each filer, the newest by accession year and number."""
+        self._write("landing_rejects", landing_rejects(raw, first_year))
+        kept = usable_filings(raw, first_year)
+        if latest is not None:
+            newest = [F.desc(accession_year(F.col("accession"))), F.desc("accession")]
+            kept = kept.join(
+                latest_per_key(kept.select("cik", "accession"), ["cik"], newest, latest), ["cik", "accession"], "left_semi"
+            )
+        return self._write("filings_clean", clean_filings(kept))
 
     def split(self, rounds: str = "previous", last_line: int | None = None) -> DataFrame:
         """All items of dated filings; failures share the table under their own partition."""
         items = split_items(self.table("filings_clean"), rounds, last_line)
-        return self._write("items", items, partition_by="item_n")
+        # Rows of a label meet in a few tasks, so that a label has a few files and not one of each task.
+        parts = items.repartition("item_n", F.pmod(F.xxhash64("cik", "accession"), F.lit(FILES_PER_ITEM)))
+        return self._write("items", parts, partition_by="item_n")
+
+    def _pairs(self) -> DataFrame:
+        """Consecutive filings of all that have a date, whether they have the section or not."""
+        return consecutive_pairs(filed_from(self.table("filings_clean"), START_DATE))
 
     def compare(self, lexicon: DataFrame, item: str = RISK_ITEM, basis: str = "longer") -> DataFrame:
         items = sections(self.table("items"), item)
-        dated = filed_from(items.filter(F.col("filed_date").isNotNull()), START_DATE)
-        pairs = consecutive_pairs(dated)
-        return self._write("similarity", sim.compare_sections(dated, pairs, lexicon, basis))
+        pairs = self._pairs()
+        failed = sim.pair_rejects(items, pairs).select("cik", F.col("filing_a").alias("accession"), "reason")
+        self._write("pair_rejects", failed)
+        return self._write("similarity", sim.compare_sections(items, pairs, lexicon, basis))
 
-    def rejected(self, item: str = RISK_ITEM) -> DataFrame:
-        """Everything a stage left out, with the reason."""
+    def rejected(self) -> DataFrame:
+        """Everything a stage left out, with the reason. A rejected pair carries its newer filing."""
         failed = rejects(self.table("items")).select("cik", "accession", "reason")
-        found = sections(self.table("items"), item)
-        undated = found.filter(F.col("filed_date").isNull()).select(
-            "cik", "accession", F.lit("no_filing_date").alias("reason")
+        clean = self.table("filings_clean")
+        undated = clean.filter(F.col("filed_date").isNull() | (F.col("filed_date") < F.lit(START_DATE).cast("date")))
+        reason = F.when(F.col("filed_date").isNull(), "no_filing_date").otherwise("before_start")
+        return (
+            self.table("landing_rejects")
+            .unionByName(failed)
+            .unionByName(undated.select("cik", "accession", reason.alias("reason")))
+            .unionByName(self.table("pair_rejects"))
         )
-        empty = found.filter(sim.token_line(F.col("text")) == "").select(
-            "cik", "accession", F.lit("empty_section").alias("reason")
-        )
-        return failed.unionByName(undated).unionByName(empty)
+
+    def coverage(self) -> DataFrame:
+        """Filer and year of landed filings that no compared pair covers."""
+        return self._write("coverage", coverage_gaps(self.table("filings_clean"), self.table("similarity")))
+
+    def returns(self, stock: DataFrame, links: DataFrame, companies: DataFrame, filers: DataFrame | None = None) -> DataFrame:
+        return self._write("returns", link_returns(stock, links, companies, filers))
 
     def panel(self, returns: DataFrame) -> DataFrame:
         rows = build_panel(clean_pairs(self.table("similarity")), returns)

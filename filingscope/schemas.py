@@ -20,3 +20,8 @@ LINK_TABLE = (
 )
 COMPANY = "gvkey STRING, cik STRING, conm STRING"
 LEXICON = "word STRING, valence DOUBLE"
+ITEMS = (
+    "cik STRING, accession STRING, filed_date DATE, start_line INT, end_line INT, text STRING, status STRING, "
+    "reason STRING, item_n STRING"
+)
+REJECTS = "cik STRING, accession STRING, reason STRING"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filingscope.functions.dates import accession_year, normalise_cik
@@ -13,6 +14,8 @@ TREE_KEYS = r"([^/]+)/([^/]+)/([^/]+)/[^/]+$"
 START_DATE = "2006-01-01"
 FIRST_YEAR = 2006
 LATEST_FILINGS = 20
+# Fixed value: the file name of a landed submission.
+SUBMISSION = "full-submission.txt"
 
 
 def with_tree_keys(files: DataFrame, path: str = "path") -> DataFrame:
@@ -24,8 +27,11 @@ def with_tree_keys(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumns({"cik": normalise_cik(part(1)), "form": part(2), "accession": part(3)})
 
 
-def read_filings(spark: SparkSession, paths: str | list[str], file_name: str = "*.txt") -> DataFrame:
-    """Every landed filing below the paths as one row, without a listing loop on the driver."""
+def read_filings(spark: SparkSession, paths: str | list[str], file_name: str = SUBMISSION) -> DataFrame:
+    """Every landed filing below the paths as one row, without a listing loop on the driver.
+
+    The tree may also hold split items and cleaned copies under other file names.
+    """
     files = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", file_name)
@@ -47,6 +53,29 @@ def bad_accessions(filings: DataFrame) -> DataFrame:
     )
 
 
+def landing_rejects(filings: DataFrame, first: int = FIRST_YEAR) -> DataFrame:
+    """Filings that `usable_filings` leaves out, with the reason: cik, accession, reason."""
+    year = accession_year(F.col("accession"))
+    reason = F.when(year.isNull(), "bad_accession").when(year < first, "before_first_year")
+    keyed = filings.select("cik", "accession", reason.alias("reason"))
+    repeated = keyed.filter(F.col("reason").isNull()).groupBy("cik", "accession").agg(F.count("*").alias("n"))
+    more = repeated.filter("n > 1").select(
+        "cik", "accession", F.explode(F.array_repeat(F.lit("duplicate_filing"), (F.col("n") - 1).cast("int"))).alias("reason")
+    )
+    return keyed.filter(F.col("reason").isNotNull()).unionByName(more)
+
+
+def usable_filings(filings: DataFrame, first: int = FIRST_YEAR) -> DataFrame:
+    """Filings from year `first` on, one for each (cik, accession): later stages rely on unique keys.
+
+    Of several the one with the smallest path, or body where there is no path, stays.
+    """
+    kept = from_year(filings, first)
+    order = "path" if "path" in filings.columns else "body"
+    place = F.row_number().over(W.partitionBy("cik", "accession").orderBy(order))
+    return kept.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
 def filed_from(filings: DataFrame, start: str = START_DATE) -> DataFrame:
     return filings.filter(F.col("filed_date") >= F.lit(start).cast("date"))
 

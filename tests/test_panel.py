@@ -72,7 +72,9 @@ def test_link_validity(spark):
         "lpermno BIGINT, gvkey STRING, linktype STRING, linkprim STRING, linkdt DATE, linkenddt DATE",
     )
     companies = table(spark, [("g", "12", "Gee"), ("h", "34", "Aitch")], "gvkey STRING, cik STRING, conm STRING")
-    rows = rt.link_returns(stock, links, companies).orderBy("date", "cik").collect()
+    everything = rt.link_returns(stock, links, companies)
+    assert 9.0 in {r.ret for r in everything.collect()}
+    rows = rt.link_returns(stock, links, companies, first=rt.STUDY_FIRST_DATE, last=rt.STUDY_LAST_DATE).orderBy("date", "cik").collect()
     assert [(r.cik, r.ret) for r in rows] == [("0000000012", 0.1), ("0000000012", 0.2), ("0000000034", 0.2), ("0000000034", 0.3)]
     only = rt.link_returns(stock, links, companies, table(spark, [(" 34",)], "cik STRING"))
     assert {r.cik for r in only.collect()} == {"0000000034"}
@@ -242,3 +244,28 @@ def test_classifier_beats_chance(planted):
     scored = models.score(models.fit(models.classifier(trees=10, min_leaf=50), rows), rows)
     assert scored.filter("is_test").agg(F.avg((F.col("y_pred") == F.col("ret_18_class")).cast("int"))).first()[0] > 0.35
     assert "sim_sum" not in models.CLASSIFICATION_FEATURES and len(models.CLASSIFICATION_FEATURES) == 8
+
+
+def test_windows_need_one_shuffle_of_sums_and_no_expansion(spark):
+    anchors = table(spark, [("1", D(2007, 1, 1))], "cik STRING, start_anchor DATE")
+    returns = table(spark, [("1", D(2007, 1, 2), 0.1)], "cik STRING, date DATE, ret DOUBLE")
+    plan = rt.window_means(anchors, returns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Window") >= 1
+
+
+def test_not_a_number_has_no_class_and_endless_values_no_bin(spark):
+    values = [float(i) for i in range(10)] + [float("nan"), None]
+    rows = qt.with_quintiles(table(spark, [(v,) for v in values], "ret_18 DOUBLE")).collect()
+    odd = [r for r in rows if r.ret_18 is None or r.ret_18 != r.ret_18]
+    assert len(odd) == 2 and all(r.ret_18_class is None and r.ret_18_bucket is None for r in odd)
+    endless = table(spark, [(v,) for v in [1.0, 2.0, 3.0, float("inf"), float("-inf"), float("nan")]], "v DOUBLE")
+    bins = qt.histogram(endless, "v", 2).orderBy("bin").collect()
+    assert [(r.lower, r.upper, r.n) for r in bins] == [(1.0, 2.0, 1), (2.0, 3.0, 2)]
+
+
+def test_a_split_keeps_rows_without_a_class(spark):
+    rows = table(spark, [(i, "ab"[i % 2] if i % 3 else None) for i in range(600)], "id INT, c STRING")
+    flagged = models.with_stratified_test_flag(rows, F.col("id"), "c").collect()
+    for c in ("a", "b", None):
+        own = [r.is_test for r in flagged if r.c == c]
+        assert abs(sum(own) / len(own) - models.TEST_SHARE) < 0.02

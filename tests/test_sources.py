@@ -122,3 +122,26 @@ def test_chosen_filers(spark):
 @pytest.mark.parametrize("text,kept", [(" acme", 1), ("Beta", 0)])
 def test_name_prefix(spark, text, kept):
     assert ix.name_prefix(spark.createDataFrame([(text,)], "company_name STRING")).count() == kept
+
+
+def test_csv_columns_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(",date,ret,cik,company_name\n0,2006-01-31,0.5,12,A\n1,no date,0.5,13,B\n2,2006-03-31,x,14,C\n3,2006-03-31,,15,D\n")
+    rows = tb.read_csv(spark, str(tmp_path / "r.csv"), schemas.RETURNS).orderBy("cik").collect()
+    assert [(r.cik, r.company_name, str(r.date), r.ret) for r in rows] == [("0000000012", "A", "2006-01-31", 0.5), ("0000000015", "D", "2006-03-31", None)]
+    bad = tb.csv_rejects(spark, str(tmp_path / "r.csv"), schemas.RETURNS).orderBy("cik").collect()
+    assert [(r.cik, r._bad) for r in bad] == [("0000000013", "date"), ("0000000014", "ret")]
+
+
+def test_only_submissions_are_read(spark, tmp_path):
+    folder = tmp_path / "12" / "10-K" / "0000000012-07-000001"
+    folder.mkdir(parents=True)
+    for name in ("full-submission.txt", "item1A.txt", "clean-full-submission.txt"):
+        (folder / name).write_text(name)
+    assert [r.body for r in fl.read_filings(spark, str(tmp_path)).collect()] == ["full-submission.txt"]
+
+
+def test_every_landed_filing_is_usable_or_rejected(spark):
+    rows = [("1", "0000000001-07-000001", "a", "x"), ("1", "0000000001-07-000001", "b", "x"), ("1", "bad", "c", "x"), ("1", "0000000001-05-000001", "d", "x")]
+    landed = spark.createDataFrame(rows, "cik STRING, accession STRING, path STRING, body STRING")
+    assert [r.path for r in fl.usable_filings(landed).collect()] == ["a"]
+    assert sorted(r.reason for r in fl.landing_rejects(landed).collect()) == ["bad_accession", "before_first_year", "duplicate_filing"]

@@ -36,6 +36,16 @@ def study(spark, tmp_path_factory):
             folder = root / "html" / cik / "10-K" / accession
             folder.mkdir(parents=True)
             (folder / "full-submission.txt").write_text(text)
+    for year in (2006, 2007, 2008):
+        accession = f"0000000003-{year % 100:02d}-000001"
+        text = submission(accession, f"{year}0310", base)
+        folder = root / "html" / "0000000003" / "10-K" / accession
+        folder.mkdir(parents=True)
+        (folder / "full-submission.txt").write_text(text.replace("Item 1A.", "Also") if year == 2007 else text)
+        (folder / "item1A.txt").write_text("a split item is no filing")
+    folder = root / "html" / "0000000003" / "10-K" / "notanaccession"
+    folder.mkdir(parents=True)
+    (folder / "full-submission.txt").write_text("x")
     run = Study(spark, str(root / "tables"))
     run.clean(read_filings(spark, str(root / "html")))
     run.split()
@@ -52,7 +62,34 @@ def test_similarity_rows(study):
 
 
 def test_rejected(study):
-    assert [(r.cik[-1], r.accession[11:13], r.reason) for r in study.rejected().collect()] == [("2", "09", "no_headings")]
+    found = sorted((r.cik[-1], r.accession[11:13], r.reason) for r in study.rejected().collect())
+    reasons = {(c, r) for c, _, r in found}
+    assert reasons == {
+        ("1", "before_first_year"), ("2", "before_first_year"), ("3", "bad_accession"), ("3", "missing_section"),
+        ("2", "no_headings"), ("2", "no_filing_date"),
+    }
+
+
+def test_every_landed_filing_is_kept_or_rejected(study, spark):
+    landed = {(r.cik, r.accession) for r in read_filings(spark, study.root.replace("tables", "html")).collect()}
+    kept = {(r.cik, r.accession) for r in study.table("items").filter("status = 'ok'").collect()}
+    gone = {(r.cik, r.accession) for r in study.rejected().collect()}
+    assert landed == kept | gone
+
+
+def test_a_filing_without_the_section_does_not_join_its_neighbours(study):
+    rows = study.table("similarity").filter("ticker = '0000000003'").collect()
+    assert rows == []
+    pairs = sorted(r.accession[11:13] for r in study.rejected().filter("reason = 'missing_section'").collect())
+    assert pairs == ["07", "08"]
+
+
+def test_labels_stay_text(study):
+    assert dict(study.table("items").dtypes)["item_n"] == "string"
+
+
+def test_coverage(study):
+    assert {(r.cik[-1], r.year) for r in study.coverage().collect()} >= {("3", 2007)}
 
 
 def test_panel(study, spark):
