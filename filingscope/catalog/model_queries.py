@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from filingscope.catalog.panel_queries import CLASS_SQL, FEATURES_SQL
@@ -129,6 +130,116 @@ def _tree_importances(t):
 query("f13_feature_importances", _importances)
 query("o3_importances_descending", _tree_importances)
 
+# What must hold for any correct fit, whatever its random choices, checked with the numbers SQL can give.
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in [*models.REGRESSION_FEATURES, "ret_18"])
+SPLIT_SQL = f"""
+    SELECT id, ret_18, {U_SQL % "id"} < 0.2 AS is_test,
+      CAST(floor(CAST(('0x' || substr(md5(CAST(id AS STRING) || '|43'), 1, 8)) AS BIGINT) / 4294967296.0 * 3) AS INT) AS fold
+    FROM ({FEATURES_SQL}) WHERE {COMPLETE}
+"""
+
+
+def _forest_facts(t):
+    """Rows, the range of predictions inside that of the training labels, and an error below that of the mean."""
+    scored = _scored(_regression_rows(t), models.regressor())
+    train = ~F.col("is_test")
+    label = F.when(train, F.col("ret_18"))
+    error = F.sqrt(F.avg(F.when(train, (F.col("ret_18") - F.col("y_pred")) ** 2)))
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.count(F.when(train, 1)).alias("n_train"),
+        F.round(F.min(label), 6).alias("lowest_label"),
+        F.round(F.max(label), 6).alias("highest_label"),
+        ((F.min("y_pred") >= F.min(label)) & (F.max("y_pred") <= F.max(label))).alias("inside"),
+        (error < F.stddev_pop(label)).alias("better_than_mean"),
+        (F.count_distinct("y_pred") > 1).alias("not_constant"),
+    )
+
+
+query(
+    "f9_forest_facts",
+    _forest_facts,
+    f"""
+    SELECT count(*) AS n, count(*) FILTER (NOT is_test) AS n_train, round(min(ret_18) FILTER (NOT is_test), 6) AS lowest_label,
+      round(max(ret_18) FILTER (NOT is_test), 6) AS highest_label, true AS inside, true AS better_than_mean, true AS not_constant
+    FROM ({SPLIT_SQL})
+    """,
+)
+query(
+    "f10_folds",
+    lambda t: models.with_fold(_regression_rows(t), F.col("id")).select("id", "fold"),
+    f"SELECT id, fold FROM ({SPLIT_SQL}) WHERE NOT is_test",
+)
+query(
+    "f11_scored_rows",
+    lambda t: _scored(_regression_rows(t), models.regressor()).select(
+        "id", "is_test", F.col("y_pred").isNotNull().alias("scored"), F.round("ret_18", 6).alias("ret_18")
+    ),
+    f"SELECT id, is_test, true AS scored, round(ret_18, 6) AS ret_18 FROM ({SPLIT_SQL})",
+)
+
+
+def _class_facts(t):
+    """Training rows of each class beside the sum of its predictions' probabilities, which add up to one for each row."""
+    scored = _scored(_classification_rows(t), models.classifier())
+    chances = vector_to_array("y_proba")
+    return scored.filter(~F.col("is_test")).agg(
+        F.count("*").alias("n"),
+        F.min(F.abs(F.aggregate(chances, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        F.min((F.col("y_pred") >= 0) & (F.col("y_pred") < 5)).alias("known_classes"),
+        (F.avg((F.col("y_pred") == F.col(models.CLASS_LABEL)).cast("double")) > 0.2).alias("better_than_chance"),
+    )
+
+
+query(
+    "f12_class_facts",
+    _class_facts,
+    f"""
+    WITH c AS (SELECT id, ret_18_class, {U_SQL % "id"} AS u FROM ({CLASS_SQL}) WHERE ret_18_class IS NOT NULL),
+    q AS (SELECT ret_18_class, quantile_cont(u, 0.2) AS cut FROM c GROUP BY ret_18_class),
+    whole AS (SELECT id FROM ({FEATURES_SQL}) WHERE {" AND ".join(f"{c} IS NOT NULL" for c in models.CLASSIFICATION_FEATURES)})
+    SELECT count(*) AS n, true AS sums_to_one, true AS known_classes, true AS better_than_chance
+    FROM c JOIN q USING (ret_18_class) SEMI JOIN whole USING (id) WHERE u >= cut
+    """,
+)
+
+
+def _importance_facts(t):
+    """The names once each, importances that add up to one and none below zero."""
+    return _importances(t).agg(
+        F.array_join(F.sort_array(F.collect_list("feature")), ",").alias("features"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+        (F.min("importance") >= 0).alias("none_negative"),
+    )
+
+
+query(
+    "f13_importance_facts",
+    _importance_facts,
+    f"""
+    SELECT string_agg(f, ',' ORDER BY f) AS features, true AS sums_to_one, true AS none_negative
+    FROM (SELECT unnest([{", ".join(f"'{c}'" for c in models.CLASSIFICATION_FEATURES)}]) AS f)
+    """,
+)
+
+
+def _leaf_facts(t):
+    """Training rows of the single tree by predicted value: each is a leaf, or several, of enough rows and predicts their mean."""
+    scored = _scored(_regression_rows(t), models.regressor(kind="tree")).filter(~F.col("is_test"))
+    leaves = scored.groupBy("y_pred").agg(F.count("*").alias("n"), F.avg("ret_18").alias("mean"))
+    return leaves.agg(
+        F.sum("n").alias("n"),
+        (F.min("n") >= models.MIN_LEAF).alias("large_enough"),
+        (F.max(F.abs(F.col("mean") - F.col("y_pred"))) < 1e-6).alias("predicts_the_mean"),
+    )
+
+
+query(
+    "f14_leaf_facts",
+    _leaf_facts,
+    f"SELECT count(*) AS n, true AS large_enough, true AS predicts_the_mean FROM ({SPLIT_SQL}) WHERE NOT is_test",
+)
+
 
 def _rules(t):
     rows = _regression_rows(t)

@@ -98,16 +98,22 @@ def score(model: Model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).drop("features", "rawPrediction")
 
 
+def with_fold(rows: DataFrame, key: Column, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
+    """The training rows with the number of their fold; test rows take no part in validation."""
+    return rows.filter(~F.col("is_test")).withColumn("fold", F.floor(unit_hash(key, seed + 1) * folds).cast("int"))
+
+
 def cross_validated_r2(estimator, rows: DataFrame, key: Column, folds: int = FOLDS, seed: int = SEED) -> float:
-    """Mean R2 over held-out folds; folds are cut by hash of the key."""
+    """Mean R2 over held-out folds of the training rows; folds are cut by hash of the key."""
     evaluator = RegressionEvaluator(
         labelCol=estimator.getLabelCol(), predictionCol="y_pred", metricName="r2"
     )
-    fold = F.floor(unit_hash(key, seed + 1) * folds).cast("int")
+    rows = with_fold(rows, key, folds, seed).persist()
     scores = []
     for held_out in range(folds):
-        model = estimator.fit(rows.filter(fold != held_out))
-        scores.append(evaluator.evaluate(model.transform(rows.filter(fold == held_out))))
+        model = estimator.fit(rows.filter(F.col("fold") != held_out))
+        scores.append(evaluator.evaluate(model.transform(rows.filter(F.col("fold") == held_out))))
+    rows.unpersist()
     return sum(scores) / folds
 
 
