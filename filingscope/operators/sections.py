@@ -16,6 +16,7 @@ from filingscope.functions.text import S, ascii_digits, digit_class, let, lines,
 # opening labels of the ladder and the letters of the later ones.
 HARD_BLANKS = chr(0xA0) + chr(0x2007) + chr(0x202F)
 HEADING = r"(?iu)\Aitems?(?![\p{L}\p{N}_]) ?([0-9][^ .]*)"
+HEADING_START = rf"\A{S}*+(?iu:items?)"
 FIRST_LABELS = ("1", "1A", "1B", "1C", "1D", "2", "3", "4", "5", "6", "7", "7A", "8")
 LATER_LETTERS = ("", "A", "B", "C")
 LAST_FIXED_ITEM = 8
@@ -27,9 +28,13 @@ ROUNDS = ("previous", "max_or_previous")
 
 
 def heading_label(line: Column) -> Column:
-    """The upper-case item label of a heading line, or an empty string."""
+    """The upper-case item label of a heading line, or an empty string.
+
+    Nearly all lines fail the first, anchored test and are not normalised.
+    """
     flat = strip(sub(F.translate(line, HARD_BLANKS, "   "), S + "+", " "))
-    return F.upper(F.regexp_extract(flat, HEADING, 1))
+    label = F.upper(F.regexp_extract(flat, HEADING, 1))
+    return F.when(F.rlike(line, F.lit(HEADING_START)), label).otherwise(F.lit(""))
 
 
 def all_headings(parts: Column) -> Column:
@@ -212,12 +217,13 @@ def filing_date(text: Column, accession: Column) -> Column:
     Looks only around the first mention, so the text is not cut into lines.
     """
 
-    def line_at(at: Column) -> Column:
-        before = F.substring_index(F.substr(text, F.lit(1), at - 1), "\n", -1)
-        return F.concat(before, F.substring_index(F.substr(text, at), "\n", 1))
+    # Lower case may be longer than the text, so place and line are taken from the same lowered text.
+    def line_of(low: Column) -> Column:
+        at = F.instr(low, accession)
+        before = F.substring_index(F.substr(low, F.lit(1), at - 1), "\n", -1)
+        return F.when(at > 0, F.concat(before, F.substring_index(F.substr(low, at), "\n", 1)))
 
-    at = F.instr(F.lower(text), accession)
-    line = let(at, lambda a: F.when(a > 0, line_at(a)))
+    line = let(F.lower(text), line_of)
     digits = F.regexp_extract(line, rf"\A[^:]*:{S}*([0-9]{{8}})", 1)
     return F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")
 

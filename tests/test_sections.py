@@ -171,3 +171,9 @@ def test_long_number_is_dropped(spark):
 
 def test_lines_have_no_trailing_one(spark):
     assert spark.range(1).select(lines(F.lit("a\n"))).first()[0] == ["a"]
+
+
+def test_filing_date_after_letters_that_grow_in_lower_case(spark):
+    text = chr(0x130) * 60 + "\n0000000001-07-000001.txt : 20070310\n"
+    df = spark.createDataFrame([(text, "0000000001-07-000001")], "t STRING, a STRING")
+    assert str(df.select(sec.filing_date(F.col("t"), F.col("a")).alias("d")).first().d) == "2007-03-10"
