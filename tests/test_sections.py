@@ -82,31 +82,11 @@ def test_fallback_counts_the_highest_number(spark):
         sec.round_count(F.array(F.lit(1)), rounds="other")
 
 
-def plain_choice(heads):
-    """A plain walk over (label, line) pairs; None where nothing can be chosen."""
-    numbers = [int("".join(c for c in label if c.isdigit())) for label, _ in heads]
-    numbers = [n for n in numbers if n <= 20]
-    if not numbers:
-        return None
-    top = max(numbers)
-    ladder = ["1", "1A", "1B", "1C", "1D", "2", "3", "4", "5", "6", "7", "7A", "8"]
-    ladder += [f"{n}{x}" for n in range(9, top + 1) for x in ("", "A", "B", "C")]
-    position, best, longest = 0, None, 0
-    for _ in range(numbers.count(top - 1)):
-        found = []
-        for label in ladder:
-            line = min((l for x, l in heads if x == label and l > position), default=None)
-            if line is not None:
-                position = line
-                found.append((label, line))
-        if len(found) < 2:
-            return None
-        if found[-1][1] - found[1][1] > longest:
-            best, longest = found, found[-1][1] - found[1][1]
-    return best
-
-
-def test_rounds_agree_with_a_plain_walk(spark):
+def ladder_of(top):
+    return ["1", "1A", "1B", "1C", "1D", "2", "3", "4", "5", "6", "7", "7A", "8"] + [f"{n}{x}" for n in range(9, top + 1) for x in ("", "A", "B", "C")]
+
+
+def test_rounds_and_choice_have_their_properties(spark):
     rng = random.Random(7)
     labels = ["1", "1A", "2", "3", "7", "7A", "8", "9", "9A", "10", "400", "1A:"]
     texts = []
@@ -116,14 +96,30 @@ def test_rounds_agree_with_a_plain_walk(spark):
         for _ in range(rng.randrange(3)):
             body.insert(rng.randrange(len(body)), rng.choice(labels))
         texts.append("\n".join(f"Item {x}. t" + "\nline" * rng.randrange(3) for x in body))
-    rows = outlined(spark, texts).orderBy(F.col("accession").cast("int")).collect()
+    top = F.array_max(sec.plausible_numbers(sec.item_numbers(F.col("headings"))))
+    rounds = sec.build_rounds(F.col("headings"), sec.label_ladder(top), F.col("rounds"))
+    rows = outlined(spark, texts).filter("rounds > 0").withColumns({"top": top, "found": rounds}).collect()
     worked = 0
     for row in rows:
+        ladder = ladder_of(row.top)
         heads = [(h.item_n, h.line_no) for h in row.headings]
-        expected = plain_choice(heads)
-        got = [(h.item_n, h.line_no) for h in row.chosen] if row.chosen else None
-        assert got == expected
-        worked += expected is not None
+        stretches, position = [], 0
+        for taken in row.found:
+            places = [ladder.index(h.item_n) for h in taken]
+            below = [h.line_no for h in taken]
+            assert places == sorted(set(places)) and below == sorted(set(below))
+            # Between two taken labels no label of the ladder had a line left, and each taken line was the next one.
+            steps = [(-1, position), *zip(places, below)]
+            for (place, line), (after, here) in zip(steps, [*steps[1:], (len(ladder), None)]):
+                assert not any(label in ladder[place + 1 : after] and at > line for label, at in heads)
+                assert here is None or here == min(at for label, at in heads if label == ladder[after] and at > line)
+            position = below[-1] if below else position
+            stretches.append(below[-1] - below[1] if len(below) > 1 else None)
+        if None in stretches or max(stretches, default=0) <= 0:
+            assert row.chosen is None
+        else:
+            worked += 1
+            assert row.chosen == row.found[stretches.index(max(stretches))]
     assert worked > 20
 
 
