@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so that a question with other parameters has the same template. Windows of
 template words are hash-joined between documents and benchmark items. Windows that follow each other on both sides form a run; along
-a run the slot values must map one to one, or the run is cut there. A run that is long enough marks the document.
+a run the slot values must map one to one, or the run is cut there. Runs that are long enough mark the document.
 A window with few words besides placeholders says little as a template. Every window is also compared by its exact words in
 lower case, which finds such windows and copies in other letter case.
 
@@ -25,10 +25,10 @@ from filingscope.llm.common import map_batches, saved, shared
 
 WINDOW = 8
 LITERALS = 4  # words besides placeholders that a template window needs
-MIN_RUN = 13  # words of a run that mark a document; shorter items must match as a whole
+MIN_RUN = 13  # words that mark a document; shorter items must match as a whole
 
 BITMAP_BITS = 24  # 2 MB
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 200_000
 NO_ID = -(1 << 63)
 
 # Units of measure and number words.
@@ -152,31 +152,53 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return cells.view(np.uint64)
 
 
-def _judge(windows: list[dict], item_words: int) -> tuple[int, bool] | None:
-    """Words of the longest consistent run if long enough, and whether a slot value differs."""
-    best, run, there, back, changed, previous = None, 0, {}, {}, False, None
+def _runs(windows: list[dict]) -> list[tuple[int, int, bool]]:
+    """Runs of windows that follow each other on one line: first word, end, and whether a slot value differs.
+
+    Along a run the slot values of item and document map one to one. Where that breaks, a new run begins.
+    """
+    out: list[tuple[int, int, bool]] = []
+    there, back, previous = {}, {}, None
     for w in sorted(windows, key=lambda w: (w["item_pos"], len(w["item_slots"]))):  # the exact window first
         if previous is not None and w["item_pos"] == previous:
             continue
         pairs = list(zip(w["item_slots"], w["doc_slots"]))
-        fits = previous is not None and w["item_pos"] == previous + 1 and all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
-        if not fits:
-            run, there, back, changed = 0, {}, {}, False
-            if any(dict(pairs)[a] != b for a, b in pairs) or any({b: a for a, b in pairs}[b] != a for a, b in pairs):
-                previous = None
-                continue
+        if dict(pairs) != {a: b for a, b in reversed(pairs)} or len(set(pairs)) != len({b for _, b in pairs}):
+            previous = None  # no one-to-one map within the window
+            continue
+        follows = previous is not None and w["item_pos"] == previous + 1
+        if not follows or any(there.get(a, b) != b or back.get(b, a) != a for a, b in pairs):
+            there, back = {}, {}
+            out.append((w["item_pos"], 0, False))
         there.update(pairs)
         back.update((b, a) for a, b in pairs)
-        changed |= any(a != b for a, b in pairs)
-        run, previous = run + 1, w["item_pos"]
-        words = run + w["size"] - 1
-        if words >= min(MIN_RUN, item_words) and (best is None or words > best[0]):
-            best = words, changed
-    return best
+        first, _, changed = out[-1]
+        out[-1] = (first, w["item_pos"] + w["size"], changed or any(a != b for a, b in pairs))
+        previous = w["item_pos"]
+    return out
+
+
+def _judge(windows: list[dict], item_words: int) -> tuple[int, bool] | None:
+    """Words of the item that the document holds, and whether a slot value differs; None if they are too few.
+
+    One run of MIN_RUN words is enough, or the whole of a shorter item. So are runs that together cover half of the item and
+    MIN_RUN words, which finds passages with single words changed.
+    """
+    lines: dict[int, list[dict]] = {}
+    for w in windows:
+        lines.setdefault(w["line"], []).append(w)
+    runs = [run for own in lines.values() for run in _runs(own)]
+    covered: set[int] = set()
+    for first, end, _ in runs:
+        covered.update(range(first, end))
+    longest = max((end - first for first, end, _ in runs), default=0)
+    if longest >= min(MIN_RUN, item_words) or len(covered) >= max(MIN_RUN, item_words / 2):
+        return len(covered), any(changed for _, _, changed in runs)
+    return None
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """d, k1 (id and text hash of the row), doc_id, item_id, n_words of the longest run, reparameterised, once for each pair.
+    """doc_id, k1 (hash of the text), item_id, n_words (words of the item found), reparameterised, once for each pair.
 
     Null and empty texts on either side match nothing; a null item_id or doc_id is carried along. Repeated rows give one pair.
     """
@@ -197,6 +219,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.list_(pa.string())]
             columns = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "doc_pos", "size", "hash", "doc_slots"])
+        _WORKER.__init__()  # the worker lives on; what it knew of words would stay in its memory
 
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     found = map_batches(
@@ -205,8 +228,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     joined = found.join(windows, ["size", "hash"])
     line = (F.col("doc_pos") - F.col("item_pos")).alias("line")
-    runs = joined.groupBy("doc_id", "k1", "item_id", line).agg(
-        F.max("item_words").alias("item_words"), F.collect_list(F.struct("item_pos", "size", "item_slots", "doc_slots")).alias("windows")
+    runs = joined.groupBy("doc_id", "k1", "item_id").agg(
+        F.max("item_words").alias("item_words"), F.collect_set(F.struct(line, "item_pos", "size", "item_slots", "doc_slots")).alias("windows")
     )
 
     def judged(batches):
@@ -220,8 +243,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "item_id", "n_words", "reparameterised"])
 
     marked = map_batches(runs.select("doc_id", "k1", "item_id", "item_words", "windows"), judged, "doc_id long, k1 long, item_id long, n_words long, reparameterised boolean")
-    best = marked.groupBy("doc_id", "k1", "item_id").agg(F.max(F.struct("n_words", ~F.col("reparameterised"))).alias("best"))
-    return best.select("doc_id", "k1", "item_id", F.col("best.n_words").alias("n_words"), (~F.col("best.col2")).alias("reparameterised"))
+    return marked
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -142,6 +142,9 @@ def test_repeats_hard_rows(hard_docs, no_docs):
 QUESTION = "Yesterday, Bob bought 3 apples and 4 pears at the market for 9 dollars in total, then left."
 
 
+LONG = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+
+
 def test_decontamination_templates(spark):
     docs = [
         (1, "x y Yesterday, Alice bought 12 apples and 5 pears at the market for 30 dollars in total, then left. bla"),
@@ -150,13 +153,16 @@ def test_decontamination_templates(spark):
         (4, "Yesterday, Alice bought 12 apples and 12 pears at the market for 12 dollars"),
         (5, None),
         (None, "so Bob bought 3 apples"),
+        (6, " ".join("other" if i % 12 == 11 else w for i, w in enumerate(LONG.split()))),
+        (16, " ".join(LONG.split()[:10]) + " and something else altogether"),
     ]
-    items = [(7, QUESTION), (8, None), (9, "Bob bought 3 apples"), (None, "")]
+    items = [(7, QUESTION), (11, LONG), (8, None), (9, "Bob bought 3 apples"), (None, "")]
     docs, items = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["reparameterised"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert got[6, 11][0] >= 20 and (16, 11) not in got  # single words changed; ten words only
     assert got[1, 7] == (18, True) and got[2, 7] == (18, False) and got[None, 9] == (4, False)
     assert (3, 7) not in got and (4, 7) not in got  # other words; one value for two slots that differ
-    assert {r["doc_id"] for r in decontamination.remove_contaminated(docs, items).collect()} == {3, 4, 5}
+    assert {r["doc_id"] for r in decontamination.remove_contaminated(docs, items).collect()} == {3, 4, 5, 16}
 
 
 def test_decontamination_hard_rows(spark, hard_docs, no_docs):
