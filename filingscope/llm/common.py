@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,3 +66,20 @@ def text_key() -> list[Column]:
     """128 bits of the text's content; null counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which remainders of a long column modulo 2 ** bits occur: 2 ** (bits - 3) bytes, however many rows there are."""
+    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    table = df.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    cells = np.zeros(1 << (bits - 6), np.int64)
+    cells[table.column("cell").to_numpy()] = table.column("bits").to_numpy()
+    return cells.view(np.uint64)
+
+
+def in_bitmap(cells: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be in the column of the bitmap; if not, it surely is not."""
+    values = values.view(np.uint64)
+    place = values & np.uint64(64 * len(cells) - 1)
+    return (cells[place >> np.uint64(6)] >> (values & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.llm.common import map_batches, saved, shared
+from filingscope.llm.common import bitmap, in_bitmap, map_batches, saved, shared
 
 WINDOW = 8
 LITERALS = 4  # words besides placeholders that a template window needs
@@ -141,17 +141,6 @@ def benchmark_windows(items: DataFrame, sizes: list[int] | None = None) -> DataF
     return map_batches(items.select(F.col("item_id").cast("long"), "text"), run, schema)
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Which hash remainders occur: at most 2 ** (BITMAP_BITS - 6) rows of 64 bits reach the driver."""
-    place = F.col("hash").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bit = F.expr(f"shiftleft(1L, cast(hash & 63 as int))")
-    rows = windows.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).collect()
-    cells = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for row in rows:
-        cells[row["cell"]] = row["bits"]
-    return cells.view(np.uint64)
-
-
 def _runs(windows: list[dict]) -> list[tuple[int, int, bool]]:
     """Runs of windows that follow each other on one line: first word, end, and whether a slot value differs.
 
@@ -204,11 +193,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     windows = saved(benchmark_windows(items))
     sizes = sorted(row["size"] for row in windows.select("size").distinct().collect())  # at most WINDOW numbers
-    cells = shared(docs.sparkSession, _bitmap(windows))
+    cells = shared(docs.sparkSession, bitmap(windows, "hash", BITMAP_BITS))
 
     def keep(hashes: np.ndarray) -> np.ndarray:
-        place = hashes & np.uint64((1 << BITMAP_BITS) - 1)
-        return (cells.value[place >> np.uint64(6)] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return in_bitmap(cells.value, hashes)
 
     def run(batches):
         for batch in batches:
