@@ -101,6 +101,11 @@ def _window_hash(codes: np.ndarray, size: int) -> np.ndarray:
 _WORKER = Words()
 
 
+def _forget() -> None:
+    """At the end of a task: the worker lives on, and what it knew of words would stay in its memory."""
+    _WORKER.__init__()
+
+
 def _windows(texts: list[str | None], sizes: list[int], keep=None):
     """(row, position, size, hash, slots, number of words in the text) of the windows; `keep` filters by hash."""
     split = [(t or "").encode().split() for t in texts]
@@ -207,7 +212,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.list_(pa.string())]
             columns = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "doc_pos", "size", "hash", "doc_slots"])
-        _WORKER.__init__()  # the worker lives on; what it knew of words would stay in its memory
+        _forget()
 
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     found = map_batches(
