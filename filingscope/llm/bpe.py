@@ -27,7 +27,7 @@ WORD_PATTERN = (
 )
 
 # Words kept by each worker, some 200 bytes each.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 250_000
 
 # Failing words up to so many bytes are merged together, longer ones one by one with a queue.
 TOGETHER_BYTES = 48
@@ -239,6 +239,12 @@ def _sent(docs: DataFrame, vocabulary_path: str):
     return shared(docs.sparkSession, (hash(content), content))
 
 
+def _lists(encoded: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(ids) // 4 for ids in encoded)])
+    flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(encoded))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id and ids (array of int) of every whole text.
 
@@ -251,10 +257,7 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         vocabulary = _vocabulary(sent)
         for batch in batches:
             encoded = vocabulary.encode([t or "" for t in batch.column(1).to_pylist()])
-            offsets = np.cumsum([0, *(len(ids) // 4 for ids in encoded)])
-            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(encoded))])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(encoded)], ["doc_id", "ids"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>")
 
@@ -275,9 +278,23 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     return map_batches(rows, run, "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """doc_id, ids and text, decoded from the ids: `encode` and `decode` by one worker, which holds the vocabulary once."""
+    sent = _sent(docs, vocabulary_path)
+
+    def run(batches):
+        vocabulary = _vocabulary(sent)
+        for batch in batches:
+            encoded = vocabulary.encode([t or "" for t in batch.column(1).to_pylist()])
+            texts = [vocabulary.decode(np.frombuffer(ids, np.int32).tolist()) for ids in encoded]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(encoded), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, text string")
+
+
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the encoded and again decoded texts."""
-    return decode(encode(docs, vocabulary_path), vocabulary_path).select(
+    return round_trip(docs, vocabulary_path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),

@@ -32,7 +32,7 @@ BITS = np.int64(21)  # a code point, shifted by one so that 0 stands for no lett
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code of each code point: its number + 1 for letters, 1 (word end) for the rest."""
-    return np.array([c + 1 if chr(c).isalpha() else 1 for c in range(sys.maxunicode + 1)], np.int64)
+    return np.fromiter((c + 1 if chr(c).isalpha() else 1 for c in range(sys.maxunicode + 1)), np.int64)
 
 
 def grams(text: str) -> np.ndarray:
