@@ -174,7 +174,7 @@ def _repeated_windows(covered: DataFrame, length: int) -> DataFrame:
     left = different.select("h", "c1", "c2", zero.alias("at"), F.col("h").alias("g"), zero.alias("lo"), F.lit(length - GRAM + 1).cast("long").alias("hi"), "off", "data")
     small = []
     while True:
-        sizes = left.groupBy("g").agg(F.count("*").alias("runs")).where("runs > 1")
+        sizes = saved(left.groupBy("g").agg(F.count("*").alias("runs")).where("runs > 1"))
         sized = saved(left.join(sizes, "g"))
         small.append(sized.where(F.col("runs") <= GROUP_RUNS).select(*PART))
         large = sized.where(F.col("runs") > GROUP_RUNS)
@@ -220,7 +220,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     standing = found.where(F.size("runs") > 0).join(texts.select("d", "k1", "k2"), ["d", "k1", "k2"], "left_semi").dropDuplicates(["d", "k1", "k2"])
     each = standing.select("d", "k1", F.explode("runs").alias("r")).select("d", "k1", "r.*")
     each = saved(each)
-    twice = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written, so that the join shuffles both sides itself and Spark can divide a gram with very many places.
+    twice = saved(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     wanted = each.join(twice, "h", "left_semi").groupBy("d", "k1").agg(F.collect_list(F.struct("h", "s0", "s1", "p")).alias("own"))
     covered = saved(_covered(rows, wanted, length))
     ranges = _repeated_windows(covered.select("h", "c1", "c2", "off", "data"), length)
