@@ -158,7 +158,7 @@ def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3) -> D
     found = near_duplicates(docs, shingle_words, max_bits)
     # A component is named by its smallest id, so the kept ids are those that equal their component.
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    with_id = docs.join(kept.withColumnRenamed("doc_id", "kept_doc_id"), F.col("doc_id") == F.col("kept_doc_id"), "left_semi")
+    with_id = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
     nameless = found.where("component_id is null").select("fp").distinct()
     return with_id.dropDuplicates(["doc_id"]).unionByName(_first_nameless(docs, nameless, shingle_words))
 
