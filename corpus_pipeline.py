@@ -28,8 +28,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     replacement characters in a text that was cut. A document stays even if nothing is left of it."""
     found = suffix_array_dedup.remove_repeats(docs, length=400)
     left = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    text = F.when(F.size("spans") > 0, left).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    changed = {"text": left} | ({"n_chars": F.length(left).cast("long")} if "n_chars" in docs.columns else {})
+    new = {name: F.when(F.size("spans") > 0, value).otherwise(F.col(name)) for name, value in changed.items()}
+    return found.withColumns(new).select(*docs.columns)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text, with the hash of their decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.round_trip(docs, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
     )
 
