@@ -43,12 +43,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 10) == 0
-    train = docs.where(~held_out)
-    counts = saved(suffix_tree_lm.word_counts(train))
-    scored = suffix_tree_lm.score(docs, suffix_tree_lm.fit(train, counts), counts)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = suffix_tree_lm.scored(read_table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from filingscope.llm import bpe, html_extraction, language_id, quality_classifier, quality_rules, suffix_tree_lm
@@ -191,21 +192,26 @@ def test_html_hard_rows(spark):
     assert html_extraction.main_text(df.limit(0)).collect() == []
 
 
+def tree_of(docs):
+    counts = suffix_tree_lm.word_counts(docs).cache()
+    tree = suffix_tree_lm.root(counts)
+    return suffix_tree_lm.fit(suffix_tree_lm.encode(docs, tree, F.lit(True)), tree), counts
+
+
 def test_suffix_tree_is_a_distribution(spark):
     """The probabilities of all words after a context, the unknown word included, sum to one."""
     random.seed(6)
     texts = [" ".join(random.choice(["a b c d", "a b c e", "x y", "q"]) for _ in range(30)) for _ in range(60)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    counts = suffix_tree_lm.word_counts(docs).cache()
-    tree = suffix_tree_lm.fit(docs, counts)
+    tree, counts = tree_of(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert len(tree.keys) == suffix_tree_lm.DEPTH + 1 and any((r != 0).any() for r in tree.log_rest)
     words = sorted({w for t in texts for w in t.split()} | {"never"})
-    rows = [(i, f"a b c {w}") for i, w in enumerate(words)]
-    scored = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), tree, counts).collect()}
-    code = suffix_tree_lm.Coder(lambda h: suffix_tree_lm._place(tree.keys[0], h))
+    docs = spark.createDataFrame([(i, f"a b c {w}") for i, w in enumerate(words)], "doc_id long, text string")
+    rows = suffix_tree_lm.score(suffix_tree_lm.encode(docs, tree, F.lit(False)), tree, counts)
+    scored = {r["doc_id"]: r["score"] for r in rows.collect()}
+    code = suffix_tree_lm.Coder(tree.keys[0])
     total = 0.0
     for text in ["a b c", *(f"a b c {w}" for w in words)]:
-        codes, sizes = code([text])
+        _, codes, sizes = code([text])
         part = suffix_tree_lm.token_scores(tree, codes, sizes)
         mass = np.log10(tree.total + 0.1 * (tree.distinct + 1))
         total += 10 ** (part[3] + (np.log10(0.1) - mass if codes[3] < 0 else 0.0))
@@ -214,18 +220,14 @@ def test_suffix_tree_is_a_distribution(spark):
 
 
 def test_suffix_tree_hard_rows(hard_docs, no_docs):
-    counts = suffix_tree_lm.word_counts(hard_docs).cache()
-    tree = suffix_tree_lm.fit(hard_docs, counts)
-    rows = suffix_tree_lm.score(hard_docs, tree, counts).collect()
+    rows = suffix_tree_lm.scored(hard_docs, F.lit(True)).collect()
     assert len(rows) == hard_docs.count() and all(np.isfinite([r["score"], r["base_score"]]).all() for r in rows)
     plain = Counter()
     texts = [(r["doc_id"], [*(r["text"] or "").encode().lower().split(), b""]) for r in hard_docs.collect()]
     for _, words in texts:
         plain.update(words)
     n, v = sum(plain.values()), len(plain)
-    expected = sorted((str(i), len(w), sum(plain[x] > 0 for x in w), n, round(sum(np.log10((plain[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for i, w in texts)
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows) == expected
-    empty = suffix_tree_lm.word_counts(no_docs)
-    untrained = suffix_tree_lm.fit(no_docs, empty)
-    assert all(np.isfinite(r["score"]) for r in suffix_tree_lm.score(hard_docs, untrained, empty).collect())
-    assert suffix_tree_lm.score(no_docs, untrained, empty).collect() == []
+    expected = sorted((str(i), len(w), sum(plain[x] > 0 for x in w), n, round(float(sum(np.log10((plain[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)), 3)) for i, w in texts)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3)) for r in rows) == expected
+    assert all(np.isfinite(r["score"]) for r in suffix_tree_lm.scored(hard_docs, F.lit(False)).collect())
+    assert suffix_tree_lm.scored(no_docs, F.lit(True)).collect() == []
