@@ -219,6 +219,22 @@ def test_suffix_tree_is_a_distribution(spark):
     assert scored[words.index("d")] > scored[words.index("x")] > scored[words.index("never")]
 
 
+def test_suffix_tree_scores_do_not_depend_on_shares(spark, monkeypatch):
+    """A context that occurs often enough counts, however small its share of the corpus is."""
+    random.seed(11)
+    texts = [" ".join(random.choice(["a b c d", "a b c e", "x y", "q", f"r{i % 40} s t"]) for _ in range(30)) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def scores():
+        return {r["doc_id"]: r["score"] for r in suffix_tree_lm.scored(docs, F.col("doc_id") % 4 > 0).collect()}
+
+    expected = scores()
+    for share in (0.01, 1.0):  # some states, or all, are looked up by a join
+        monkeypatch.setattr(suffix_tree_lm, "SHARE", share)
+        got = scores()
+        assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-6 for i in got)
+
+
 def test_suffix_tree_hard_rows(hard_docs, no_docs):
     rows = suffix_tree_lm.scored(hard_docs, F.lit(True)).collect()
     assert len(rows) == hard_docs.count() and all(np.isfinite([r["score"], r["base_score"]]).all() for r in rows)
