@@ -198,6 +198,13 @@ def test_chains_against_all_predecessors():
         assert abs(gain - plain_chain(x, r)) < 1e-9
 
 
+def test_a_long_chain_does_not_hide_nearer_matches():
+    """Two passages of the same texts, too far apart for one chain, are a chain each."""
+    x = np.r_[np.arange(0, 120, 5), np.arange(160, 190, 5)]
+    chains = substring_chaining.best_chains(x, x + 7)
+    assert sorted(len(c) for c in chains) == [6, 24]
+
+
 def test_word_distance_against_table():
     random.seed(9)
     for _ in range(200):
