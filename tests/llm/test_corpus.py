@@ -237,6 +237,22 @@ def test_passages(spark):
     assert spans == sorted([(i, 30, 130 if i % 2 else 85) for i in range(14)] + [(202, 0, 70)] * 2)
 
 
+def test_passages_of_templates(spark):
+    """Equal sections are found although the texts as a whole, with all that differs between the sections, agree too little."""
+    random.seed(7)
+    sections = [[f"s{k}x{random.randint(0, 10**6)}" for _ in range(50)] for k in range(4)]
+    rows = []
+    for i in range(2):
+        text = list(sections[0])
+        for k, section in enumerate(sections[1:]):
+            text += [f"own{i}x{k}x{j}" for j in range(18)] + section
+        rows.append((i, " ".join(text)))
+    got = substring_chaining.passages(spark.createDataFrame(rows, DOC)).collect()
+    for i in range(2):
+        covered = {w for r in got if r["doc_id"] == i for w in range(r["start_word"], r["end_word"])}
+        assert all(set(range(68 * k, 68 * k + 50)) <= covered for k in range(4))
+
+
 def test_passages_hard_rows(hard_docs, no_docs):
     got = sorted({(r["doc_id"], r["start_word"], r["end_word"]) for r in substring_chaining.passages(hard_docs).collect()})
     assert got == [(1, 0, 84), (3, 0, 84)]
