@@ -237,20 +237,36 @@ def test_passages(spark):
     assert spans == sorted([(i, 30, 130 if i % 2 else 85) for i in range(14)] + [(202, 0, 70)] * 2)
 
 
+@pytest.mark.parametrize("every", [5, 6, 8])
+def test_passages_with_evenly_spread_changes(spark, every):
+    """Passages in which every fifth, sixth or eighth word differs are found, to where no end pays any more."""
+    random.seed(every)
+    rows = []
+    for i in range(10):
+        passage = [f"p{i}x{j}" for j in range(60)]
+        changed = [f"c{i}x{j}" if j % every == every // 2 else w for j, w in enumerate(passage)]
+        for k, own in enumerate((passage, changed)):
+            rows.append((2 * i + k, " ".join([*(f"a{i}x{k}x{j}" for j in range(20)), *own, *(f"b{i}x{k}x{j}" for j in range(20))])))
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in substring_chaining.passages(spark.createDataFrame(rows, DOC)).collect())
+    assert [i for i, _, _ in got] == list(range(20))
+    assert all(20 <= start <= 24 and 76 <= end <= 80 for _, start, end in got)
+
+
 def test_passages_of_templates(spark):
     """Equal sections are found although the texts as a whole, with all that differs between the sections, agree too little."""
     random.seed(7)
-    sections = [[f"s{k}x{random.randint(0, 10**6)}" for _ in range(50)] for k in range(4)]
     rows = []
-    for i in range(2):
-        text = list(sections[0])
-        for k, section in enumerate(sections[1:]):
-            text += [f"own{i}x{k}x{j}" for j in range(18)] + section
-        rows.append((i, " ".join(text)))
-    got = substring_chaining.passages(spark.createDataFrame(rows, DOC)).collect()
-    for i in range(2):
-        covered = {w for r in got if r["doc_id"] == i for w in range(r["start_word"], r["end_word"])}
-        assert all(set(range(68 * k, 68 * k + 50)) <= covered for k in range(4))
+    for pair in range(150):
+        sections = [[f"s{k}x{random.randint(0, 10**6)}" for _ in range(50)] for k in range(4)]
+        for i in range(2):
+            text = list(sections[0])
+            for k, section in enumerate(sections[1:]):
+                text += [f"own{pair}x{i}x{k}x{j}" for j in range(18)] + section
+            rows.append((2 * pair + i, " ".join(text)))
+    covered = {i: set() for i, _ in rows}
+    for r in substring_chaining.passages(spark.createDataFrame(rows, DOC)).collect():
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert all(set(range(68 * k, 68 * k + 50)) <= own for own in covered.values() for k in range(4))
 
 
 def test_passages_hard_rows(hard_docs, no_docs):
