@@ -141,26 +141,50 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3)
     than all others: such a row has the component of its fingerprint, null only if no row in it has an id. Repeated rows give
     repeated rows.
     """
+    return _grouped(docs, shingle_words, max_bits).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle_words: int, max_bits: int) -> DataFrame:
+    """doc_id, fp, group (a name of its own for each component) and component_id of every row."""
     rows = saved(fingerprints(docs, shingle_words))
     smallest = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     groups = components(links(smallest.select("fp"), max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     named = smallest.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
     least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    of_fp = named.join(least, "group").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = named.join(least, "group").select("fp", "group", "component_id")
+    return rows.join(of_fp, "fp").select("doc_id", "fp", "group", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of `docs`, one for each component: the one with the smallest doc_id, all columns kept.
 
-    Among repeated rows with that id one stays; rows without id stay only if their component has no row with one.
+    Among repeated rows with that id one stays, for each component if an id is on different texts; rows without id stay only if
+    their component has no row with one.
     """
-    found = near_duplicates(docs, shingle_words, max_bits)
+    found = saved(_grouped(docs, shingle_words, max_bits))
     # A component is named by its smallest id, so the kept ids are those that equal their component.
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = F.col("doc_id") == F.col("component_id")
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(named).alias("named"), (F.min("fp") < F.max("fp")).alias("clashes"))
+    ids = saved(ids.where("named").select("doc_id", "clashes"))
+    kept = ids.where("not clashes").select("doc_id")
     with_id = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
     nameless = found.where("component_id is null").select("fp").distinct()
-    return with_id.dropDuplicates(["doc_id"]).unionByName(_first_nameless(docs, nameless, shingle_words))
+    out = with_id.dropDuplicates(["doc_id"]).unionByName(_first_nameless(docs, nameless, shingle_words))
+    clashing = ids.where("clashes").select("doc_id")
+    if clashing.isEmpty():
+        return out
+    first = found.where(named).join(clashing, "doc_id", "left_semi").groupBy("doc_id", "group").agg(F.min("fp").alias("fp"))
+    return out.unionByName(_first_clashing(docs, first.select("doc_id", "fp"), shingle_words))
+
+
+def _first_clashing(docs: DataFrame, first: DataFrame, shingle_words: int) -> DataFrame:
+    """One row for each doc_id and fp of `first`; ids that are on different texts."""
+    wanted = first.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__fp"))
+    rows = docs.join(wanted.select("__kept"), F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__key", F.xxhash64("text"))
+    of_text = fingerprints(rows.select(F.col("__key").alias("doc_id"), "text"), shingle_words).distinct()
+    rows = rows.join(of_text.select(F.col("doc_id").alias("__key"), F.col("fp").alias("__own")), "__key")
+    rows = rows.join(wanted, (F.col("doc_id") == F.col("__kept")) & (F.col("__own") == F.col("__fp")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
 
 
 def _first_nameless(docs: DataFrame, nameless: DataFrame, shingle_words: int) -> DataFrame:

@@ -81,6 +81,14 @@ def test_simhash_hard_rows(spark, hard_docs, no_docs):
     assert simhash_dedup.one_of_each(nameless).count() == 2
 
 
+def test_simhash_keeps_each_component_of_a_repeated_id(spark):
+    """One id on different texts: each component keeps its row."""
+    one, two = " ".join(f"one{i}" for i in range(40)), " ".join(f"two{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, one), (1, two), (1, two), (2, one), (3, "some other words here")], DOC)
+    kept = sorted(map(tuple, simhash_dedup.one_of_each(docs).collect()))
+    assert kept == sorted([(1, one), (1, two), (3, "some other words here")])
+
+
 def test_fingerprint_by_bits():
     import xxhash
 
