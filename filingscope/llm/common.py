@@ -74,6 +74,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`saved`, and the shuffles it took are removed, not kept until the driver next collects garbage."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        return saved(df)
+    finally:
+        spark.conf.set(name, before)
+
+
 def remainder(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text modulo `parts`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

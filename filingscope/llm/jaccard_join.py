@@ -7,11 +7,13 @@ occurs in enough of them to reach T with the long ones is probed there. What rea
 A task holds the index of a group of sets. The groups come from the sets themselves, without loss:
 
 1. Rows with equal sets are one set with a key. From here on only different sets are compared.
-2. Sets are put in levels by size, so that similar ones are in the same or neighbouring levels. For each level a set's n-grams are cut by hash
-   into a fixed number of segments, three more than the n-grams in which similar sets of that level can differ; so similar sets
-   agree in three segments at least. A segment's hash is its signature. An empty segment is signed only by a set with
+2. Sets are put in levels by size; a set that is similar to one of the next lower level counts there too. For each level a set's n-grams are
+   cut by hash into a fixed number of segments, three more than the n-grams in which similar sets of that level can differ; so similar
+   sets agree in three segments at least. A segment's hash is its signature. An empty segment is signed only by a set with
    three of them; a set with fewer agrees in another one.
-3. Sets with an equal signature are tied to the smallest of them; what is connected is a group, and every link lies within one.
+3. Sets with an equal signature are tied: within a batch of texts at once, so that a signature leaves it with one set, and then in order after one
+   shuffle of signatures. What is connected is a group, and every link lies within one. The n-grams of the sets in groups are
+   taken from the texts again; a bitmap of their keys, BITMAP_BITS at most, spares the other texts the shuffle.
    A group of up to GROUP_SETS sets is one task's index.
 4. A larger group is dealt at random into parts, twice. Their links leave few classes. Then only signatures whose sets are in several classes
    are left; of signatures with the same sets one is kept, and its sets meet, in blocks if they are many. So no pair goes
@@ -29,10 +31,10 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingscope.llm.common import map_batches, saved
+from filingscope.llm.common import bitmap, in_bitmap, map_batches, saved, shared, written
 from filingscope.llm.components import components
 
 WORDS = 3
@@ -41,6 +43,12 @@ NUM, DEN = 90, 100
 # Segments that similar sets have in common at least.
 COMMON = 3
 
+# The largest set of a level is this many times the smallest.
+LEVEL_RATIO = 1.5
+
+# Bits of the bitmap of grouped keys: eight for each key, 32 MB at most.
+BITMAP_BITS = 28
+
 # Sets, and n-grams, of one index; larger groups are dealt.
 GROUP_SETS = 512
 GROUP_GRAMS = 2_000_000
@@ -90,23 +98,25 @@ def grams(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Levels:
-    """Size levels, and the segments of each: sets of neighbouring levels meet in the lower one's."""
+    """Size levels, and the segments of each: a set counts in its own level, and in the lower one if one there can be similar."""
 
     def __init__(self, num: int, den: int) -> None:
         low, self.lows = 1, []
         while low < 1 << 40:
             self.lows.append(low)
-            low = low * den // num + 1
-        differ = [(den - num) * (high - 1) // num for high in [*self.lows[1:], low]]
+            low = max(int(low * LEVEL_RATIO), low * den // num) + 1
+        highs = [n - 1 for n in [*self.lows[1:], low]]
         # Sets that cannot differ have the same key and need no signature.
-        self.segments = [d + COMMON if d else 0 for d in differ]
+        self.segments = [(den - num) * high // num + COMMON if (den - num) * high >= num else 0 for high in highs]
+        self.reach = [high * den // num for high in highs]  # the size of the largest set that is similar to one of the level
 
     def signatures(self, grams_: np.ndarray) -> np.ndarray:
+        """Different hashes, for a set with at least one n-gram."""
         out = []
         own = int(np.searchsorted(self.lows, len(grams_), "right")) - 1
         for level in (own - 1, own):
-            m = self.segments[level] if level >= 0 else 0
-            if not m or not len(grams_):
+            m = self.segments[level] if level >= 0 and len(grams_) <= self.reach[level] else 0
+            if not m:
                 continue
             segment = (grams_ >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
             starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
@@ -182,28 +192,71 @@ def links(sets: list[np.ndarray], classes: list[int], num: int = NUM, den: int =
     return out
 
 
+def _key(grams_: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams_.tobytes()) - (1 << 63)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+
 def gram_sets(docs: DataFrame, width: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, key (a 64-bit hash of the set, null if it is empty), n (its size), grams and signatures of every row."""
+    """doc_id, key (a 64-bit hash of the set, null if it is empty) and n (its size) of every row, and what ties sets together:
+    `signatures`, each with one set of a batch, and `ties`, the keys of sets of the batch with an equal one.
+
+    A set that a task has met before has neither.
+    """
 
     def run(batches):
-        hasher, levels = Hasher(), Levels(num, den)
+        hasher, levels, met = Hasher(), Levels(num, den), set()
         for batch in batches:
-            own = [grams(hasher(t), width) for t in batch.column(1).to_pylist()]
-            signed = [levels.signatures(g) for g in own]
-            keys = [xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None for g in own]
-            lists = []
-            for parts in (own, signed):
-                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))))
-            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(g) for g in own], pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "grams", "signatures"])
+            sets = [grams(hasher(t), width) for t in batch.column(1).to_pylist()]
+            keys = [_key(g) if len(g) else None for g in sets]
+            signed = []
+            for g, k in zip(sets, keys):
+                signed.append(np.zeros(0, np.uint64) if k is None or k in met else levels.signatures(g))
+                met.add(k)
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in signed])
+            values = np.concatenate([np.zeros(0, np.uint64), *signed])
+            order = np.argsort(values, kind="stable")
+            first = np.r_[True, values[order][1:] != values[order][:-1]] if len(order) else np.zeros(0, bool)
+            holder = owner[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else owner
+            tied = np.unique(np.stack([owner[order][~first], holder[~first]]), axis=1)
+            keep = np.sort(order[first])
+            whole = np.array([k or 0 for k in keys], np.int64).view(np.uint64)
+            cut = lambda of, v: np.split(v, np.cumsum(np.bincount(of, minlength=len(sets)))[:-1])
+            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(g) for g in sets], pa.int64())]
+            columns += [_lists(cut(owner[keep], values[keep])), _lists(cut(tied[0], whole[tied[1]]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "signatures", "ties"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, run, "doc_id long, key long, n long, grams array<long>, signatures array<long>")
+    return map_batches(rows, run, "doc_id long, key long, n long, signatures array<long>, ties array<long>")
+
+
+def _grams_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """key and grams of the sets whose key is in `wanted`, of some others, and of some more than once."""
+    bits = min(BITMAP_BITS, max(10, (8 * wanted.count()).bit_length()))
+    sent = shared(docs.sparkSession, bitmap(wanted, "key", bits))
+
+    def run(batches):
+        hasher, met = Hasher(), set()
+        for batch in batches:
+            sets = [g for g in (grams(hasher(t), width) for t in batch.column(0).to_pylist()) if len(g)]
+            keys = [_key(g) for g in sets]
+            asked = in_bitmap(sent.value, np.array(keys, np.int64)).tolist() if keys else []
+            out = {}
+            for k, g, a in zip(keys, sets, asked):
+                if a and k not in met:
+                    met.add(k)
+                    out[k] = g
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), _lists(list(out.values()))], ["key", "grams"])
+
+    return map_batches(docs.select("text"), run, "key long, grams array<long>")
 
 
 def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links a, b (keys) within each `task` of rows with task, key, class and grams."""
+    """Links a, b (keys) within each `task` of rows with task, key, class and grams; a set that is there twice counts once."""
 
     def solve(held):
         keys = [k for k, _, _ in held]
@@ -220,11 +273,12 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
                     yield solve(held)
                     held = []
                 task = t
-                held.append((key, own, values[offsets[i] : offsets[i + 1]].copy()))
+                if not held or held[-1][0] != key:
+                    held.append((key, own, values[offsets[i] : offsets[i + 1]].copy()))
         if held:
             yield solve(held)
 
-    dealt = rows.select("task", "key", "class", "grams").repartition("task").sortWithinPartitions("task")
+    dealt = rows.select("task", "key", "class", "grams").repartition("task").sortWithinPartitions("task", "key")
     return map_batches(dealt, run, "a long, b long")
 
 
@@ -267,25 +321,40 @@ def similar_groups(docs: DataFrame, width: int = WORDS, num: int = NUM, den: int
     Equal sets always link. A null doc_id counts as larger than all others: such a row has the component of its group,
     null only if no row in it has an id. Repeated rows give repeated rows. A text is handled whole; other columns are not read.
     """
-    rows = saved(gram_sets(docs, width, num, den).withColumn("row", F.monotonically_increasing_id()))
-    keyed = saved(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
-    # One row stands for each different set.
-    standing = rows.where("n > 0").join(keyed.select("row"), "row", "left_semi")
-    signed = standing.select("key", F.explode("signatures").alias("signature"))
-    shared = saved(signed.groupBy("signature").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high"))
-    signed = saved(signed.join(shared.select("signature", "low"), "signature"))
-    groups = components(signed.select(F.col("key").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("key"), F.col("component").alias("group"))
-    held = saved(standing.select("key", "row", "n", "grams").join(groups, "key"))
-    sizes = held.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_GRAMS)).alias("parts"))
-    sizes = saved(sizes)
-    small = held.join(sizes.where("parts = 1"), "group").select("key", F.col("key").alias("class"), F.col("group").alias("task"), "grams")
-    found = _linked(small, num, den)
-    large = held.join(sizes.where("parts > 1"), "group").select("key", "group", "parts")
-    if sizes.where("parts > 1").limit(1).count():
-        grams_of = held.select("key", "grams")
-        found = found.unionByName(_large_links(large, lambda tasks: tasks.join(grams_of, "key"), signed.select("key", "signature"), num, den))
+    rows = saved(gram_sets(docs, width, num, den))
+    keyed = written(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    signed = rows.select("key", F.explode("signatures").alias("signature"))
+    before = F.lag("key").over(Window.partitionBy("signature").orderBy("key"))
+    edges = signed.select("key", before.alias("other")).where("key <> other")
+    edges = edges.unionByName(rows.select("key", F.explode("ties").alias("other"))).select(F.col("key").alias("a"), F.col("other").alias("b"))
+    groups = components(written(edges.distinct())).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    grouped = keyed.select("key", "n").join(groups, "key")
+    sizes = grouped.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_GRAMS)).alias("parts"))
+    sized = saved(grouped.join(sizes, "group").select("key", "group", "parts"))
+    sets = _grams_of(docs, sized, width)
+    small = sized.where("parts = 1").select("key", F.col("key").alias("class"), F.col("group").alias("task"))
+    found = written(_linked(sets.join(small, "key"), num, den))
+    large = sized.where("parts > 1")
+    if large.limit(1).count():
+        own = saved(sets.join(large.select("key"), "key", "left_semi"))
+        # A batch gave each signature to one set; what its other sets share with it, only their ties tell. So they are signed anew.
+        found = found.unionByName(_large_links(large, lambda tasks: own.join(tasks, "key"), _signed(own, num, den), num, den))
     tied = _classes(keyed.select("key", "doc_id"), saved(found))
     least = tied.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     of_key = tied.join(least, "class").select("key", "component_id")
     some = rows.where("n > 0").select("doc_id", "n", "key").join(of_key, "key").select("doc_id", F.col("n").alias("n_grams"), "component_id")
     return some.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_grams"), F.col("doc_id").alias("component_id")))
+
+
+def _signed(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """key and signature of all sets, each once."""
+
+    def run(batches):
+        levels = Levels(num, den)
+        for batch in batches:
+            offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64)
+            own = [levels.signatures(values[a:b]) for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], ["key", "signatures"])
+
+    signed = map_batches(sets.select("key", "grams"), run, "key long, signatures array<long>")
+    return signed.select("key", F.explode("signatures").alias("signature")).distinct()
