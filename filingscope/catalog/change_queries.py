@@ -116,7 +116,8 @@ DISTANCE_SQL = """
 query(
     "o1_newest_first",
     lambda t: pr.newest_first(t["doc_sections"]),
-    "SELECT cik, accession, strftime(filed_date, '%Y-%m-%d') AS filed FROM {doc_sections}",
+    """SELECT cik, accession, strftime(filed_date, '%Y-%m-%d') AS filed,
+      row_number() OVER (ORDER BY filed_date DESC, accession DESC, cik DESC) AS place FROM {doc_sections}""",
 )
 query(
     "w2_consecutive_pairs",
@@ -211,6 +212,46 @@ query(
     "m6_compare_sections",
     lambda t: sim.compare_sections(t["doc_sections"], t["doc_pairs"], t["lexicon"]),
 )
+# What an exact distance of whole documents must meet, beside lengths and sentiment in full.
+query(
+    "m6_section_facts",
+    lambda t: sim.compare_sections(t["doc_sections"], t["doc_pairs"], t["lexicon"]).select(
+        "ticker", "date_a", "date_b", "len_a", "len_b", F.round("sentiment", 9).alias("sentiment"),
+        F.col("distance").between(F.abs(F.col("len_a") - F.col("len_b")), F.greatest("len_a", "len_b")).alias("possible"),
+        (F.abs(F.col("similarity") - (1 - F.col("distance") / (F.col("len_a") + F.col("len_b")))) < 1e-12).alias("consistent"),
+    ),
+    f"""
+    SELECT t.cik AS ticker, date_a, date_b, la AS len_a, lb AS len_b, coalesce(sentiment, 0) AS sentiment, TRUE AS possible, TRUE AS consistent
+    FROM {{doc_texts}} t LEFT JOIN ({_sentiment_sql("doc_texts", "longer")}) USING (cik, filing_a, filing_b) WHERE la > 0 AND lb > 0
+    """,
+)
+
+
+def _distance_facts(t):
+    """The tokens that both sides share, repeats counted, bound the distance: at least what the longer side has beyond them."""
+    texts = t["doc_texts"]
+    counts = [
+        texts.select(*sim.PAIR_KEY, F.explode(F.split(f"words_{side}", " ")).alias("word")).groupBy(*sim.PAIR_KEY, "word").agg(F.count("*").alias(side))
+        for side in ("a", "b")
+    ]
+    shared = counts[0].join(counts[1], [*sim.PAIR_KEY, "word"]).groupBy(*sim.PAIR_KEY).agg(F.sum(F.least("a", "b")).alias("shared"))
+    rows = sim.edit_distances(texts).join(shared, sim.PAIR_KEY, "left")
+    least = F.greatest("len_a", "len_b") - F.coalesce("shared", F.lit(0))
+    return rows.select(*sim.PAIR_KEY, "len_a", "len_b", least.alias("least"), F.col("distance").between(least, F.greatest("len_a", "len_b")).alias("possible"))
+
+
+query(
+    "m2_document_facts",
+    _distance_facts,
+    """
+    WITH words AS (SELECT cik, filing_a, filing_b, unnest(ta) AS word, 1 AS a, 0 AS b FROM {doc_texts}
+      UNION ALL SELECT cik, filing_a, filing_b, unnest(tb), 0, 1 FROM {doc_texts}),
+    counts AS (SELECT cik, filing_a, filing_b, word, least(sum(a), sum(b)) AS n FROM words GROUP BY ALL),
+    shared AS (SELECT cik, filing_a, filing_b, sum(n) AS shared FROM counts GROUP BY ALL)
+    SELECT cik, filing_a, filing_b, la AS len_a, lb AS len_b, CAST(greatest(la, lb) - coalesce(shared, 0) AS BIGINT) AS least, TRUE AS possible
+    FROM {doc_texts} LEFT JOIN shared USING (cik, filing_a, filing_b) WHERE la > 0 AND lb > 0
+    """,
+)
 query(
     "m6_compare_turns",
     lambda t: sim.compare_sections(t["turn_sections"], t["turn_pairs"], t["lexicon"])

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from filingscope.catalog.registry import derived, query
 from filingscope.functions import dates
+from filingscope.functions.ordered import stored
 from filingscope.operators import audit
+from filingscope.plans.study import Study
 from filingscope.schemas import RETURNS
+from filingscope.session import shared_folder
 from filingscope.sources import filings, index, tables
 
 derived(
@@ -364,3 +369,127 @@ query(
       WHERE previous IS NULL OR previous <> cik
     """,
 )
+derived(
+    "listed_index",
+    """
+    SELECT o_orderkey AS line_no, o_orderpriority AS cik, 'q' || substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7) AS source_file,
+      CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-K405' ELSE '10-KT' END AS form_type FROM {orders}
+    """,
+)
+query(
+    "a9_step_counts",
+    lambda t: audit.step_counts(
+        t["listed_index"], [("kept", index.keep_forms), ("deduped", lambda kept: index.first_of_each_block(stored(kept)))]
+    ),
+    """
+    WITH kept AS (SELECT * FROM {listed_index} WHERE form_type IN ('10-K', '10KSB', '10-KT'))
+    SELECT 'read' AS step, count(*) AS rows FROM {listed_index}
+    UNION ALL SELECT 'kept', count(*) FROM kept
+    UNION ALL SELECT 'deduped', count(*) FROM (SELECT cik, lag(cik) OVER (ORDER BY source_file, line_no) AS previous FROM kept)
+      WHERE previous IS NULL OR previous <> cik
+    """,
+)
+
+
+def _folder(t, name: str) -> str:
+    """A new folder that all executors reach."""
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _read_quarters(t):
+    """Index files written as text, one of each month, and read in one go."""
+    folder = _folder(t, "index")
+    t["month_files"].repartition("source_file").write.partitionBy("source_file").option("lineSep", "\n").text(folder)
+    files = index.read_index_files(t.spark, folder)
+    return index.parse_index(files).drop("source_file")
+
+
+# An index file for each month: a header and a line for each order.
+derived(
+    "month_files",
+    f"""
+    SELECT 'q' || substr(date_filed, 1, 7) AS source_file, 'Master index' || chr(10) || 'CIK|Company Name|Form Type|Date Filed|Filename' || chr(10)
+      || array_to_string(list(line ORDER BY id), chr(10)) AS body
+    FROM (SELECT id, date_filed, cik || '|' || company_name || '|' || form_type || '|' || date_filed || '|' || filename AS line FROM {{index_rows}})
+    GROUP BY 1, date_filed[1:7]
+    """,
+    lambda t: t["index_rows"]
+    .groupBy(F.concat(F.lit("q"), F.substring("date_filed", 1, 7)).alias("source_file"))
+    .agg(F.sort_array(F.collect_list(F.struct("id", F.concat_ws("|", "cik", "company_name", "form_type", "date_filed", "filename").alias("line")))).alias("of"))
+    .select("source_file", F.concat(F.lit("Master index\nCIK|Company Name|Form Type|Date Filed|Filename\n"), F.array_join("of.line", "\n")).alias("body")),
+)
+query(
+    "s3_index_files",
+    _read_quarters,
+    """
+    SELECT CAST(2 + row_number() OVER (PARTITION BY date_filed[1:7] ORDER BY id) AS INT) AS line_no, cik, company_name, form_type, date_filed, filename
+    FROM {index_rows}
+    """,
+)
+derived(
+    "submissions",
+    """
+    SELECT lpad(CAST(doc_id % 97 AS STRING), 10, '0') AS cik,
+      lpad(CAST(doc_id % 97 AS STRING), 10, '0') || '-07-' || lpad(CAST(doc_id AS STRING), 6, '0') AS accession, text AS body
+    FROM {documents} WHERE length(text) > 0
+    """,
+)
+
+
+def _landed_and_read(t):
+    """Whole documents landed as a tree of submissions and read back."""
+    folder = _folder(t, "html")
+    filings.write_filings(t["submissions"], f"file:{folder}" if folder.startswith("/") else folder)
+    return filings.read_filings(t.spark, folder).select("cik", "form", "accession", F.md5(F.col("body")).alias("digest"))
+
+
+query("s4_landed_filings", _landed_and_read, "SELECT cik, '10-K' AS form, accession, md5(body) AS digest FROM {submissions}")
+derived(
+    "return_rows",
+    """
+    SELECT lpad(CAST(o_custkey AS STRING), 10, '0') AS cik, 'Firm, "' || o_clerk_name || '"' AS company_name, CAST(o_orderdate AS DATE) AS date,
+      CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 89 AS DOUBLE) / 100 END AS ret
+    FROM (SELECT *, o_orderpriority AS o_clerk_name FROM {orders})
+    """,
+)
+
+
+def _written_csv(t):
+    folder = _folder(t, "returns")
+    tables.write_csv(t["return_rows"], folder)
+    return tables.read_csv(t.spark, folder, RETURNS)
+
+
+query("s7_csv_written", _written_csv, "SELECT * FROM {return_rows}")
+
+
+def _cleaned(t):
+    """The study's cleaning stage over landed documents, read back with its declared schema."""
+    study = Study(t.spark, _folder(t, "study"))
+    raw = t["submissions"].withColumn("form", F.lit("10-K")).withColumn("path", F.col("accession"))
+    marked = raw.withColumn("body", F.concat(F.lit("<html><body><p>"), F.translate("body", "<>&\r\xa0", ""), F.lit("</p></body></html>")))
+    return study.clean(marked).select("cik", "accession", F.length(F.regexp_replace("text", r"[^A-Za-z0-9]", "")).alias("n"), F.col("filed_date").isNull().alias("undated"))
+
+
+query(
+    "s8_cleaned_filings",
+    _cleaned,
+    "SELECT cik, accession, length(regexp_replace(body, '[^A-Za-z0-9]', '', 'g')) AS n, TRUE AS undated FROM {submissions}",
+)
+
+
+def _items_written(t):
+    """Items written with one folder for each label; only that of the asked label is read."""
+    folder = _folder(t, "items")
+    tables.write_sections(t["labelled_items"], folder)
+    return t.spark.read.schema("cik STRING, accession STRING, text STRING, item_n STRING").parquet(folder).filter("item_n = '1A'")
+
+
+derived(
+    "labelled_items",
+    """
+    SELECT cik, accession, body AS text, CASE CAST(right(accession, 6) AS INT) % 4 WHEN 0 THEN '1A' WHEN 1 THEN '7' WHEN 2 THEN '1' ELSE '10' END AS item_n
+    FROM {submissions}
+    """,
+)
+query("s9_items_written", _items_written, "SELECT cik, accession, text, item_n FROM {labelled_items} WHERE item_n = '1A'")

@@ -10,7 +10,7 @@ from filingscope.catalog.registry import query
 from filingscope.operators import evaluation as ev
 from filingscope.operators import panel as pn
 from filingscope.operators import quantiles as qt
-from filingscope.plans import models
+from filingscope.plans import bagging, models
 
 U_SQL = "CAST(('0x' || substr(md5(CAST(%s AS STRING) || '|42'), 1, 8)) AS BIGINT) / 4294967296.0"
 
@@ -100,6 +100,52 @@ query(
         "cv_r2", F.lit(models.cross_validated_r2(models.regressor(), _regression_rows(t), F.col("id")))
     ),
 )
+
+
+def _bagged(t):
+    """Training rows scored by the trees whose bag lacks them."""
+    rows = models.with_test_flag(pn.with_features(t["ready_panel"]), F.col("id")).select("id", "is_test", models.LABEL, *models.REGRESSION_FEATURES)
+    forest = bagging.fit_forest(rows, F.col("id"), models.REGRESSION_FEATURES, models.LABEL)
+    return forest.score(rows, F.col("id"))
+
+
+# The same bags, bins and cuts in plain SQL, a block of steps for each level of the trees.
+AT_MOST_SQL = " + ".join(f"(u >= {p!r})::INT" for p in bagging.AT_MOST)
+BAG_U_SQL = "CAST(('0x' || substr(md5(id || '|' || t // 4 || '|42'), t % 4 * 8 + 1, 8)) AS BIGINT) / 4294967296.0"
+EDGES_SQL = f"quantile_cont(x, [{', '.join(f'{k}/{bagging.BINS}.0' for k in range(1, bagging.BINS))}])"
+
+
+def _level_sql(level: int) -> str:
+    return f"""
+    counts{level} AS MATERIALIZED (SELECT t, node, f, b, count(*) AS n, sum(w)::BIGINT AS w, sum(w * y)::BIGINT AS s
+      FROM nodes{level} JOIN bags USING (id, t) JOIN binned USING (id) WHERE w > 0 AND NOT is_test AND node >= {2**level - 1} GROUP BY ALL),
+    sides{level} AS (SELECT t, node, f, b, sum(n) OVER p AS n0, sum(w) OVER p AS w0, sum(s) OVER p AS s0, sum(n) OVER q AS n1, sum(w) OVER q AS w1, sum(s) OVER q AS s1
+      FROM counts{level} WINDOW p AS (PARTITION BY t, node, f), q AS (PARTITION BY t, node, f ORDER BY b ROWS UNBOUNDED PRECEDING)),
+    gains{level} AS (SELECT *, s1::DOUBLE * s1::DOUBLE / w1::DOUBLE + (s0 - s1)::DOUBLE * (s0 - s1)::DOUBLE / (w0 - w1)::DOUBLE - s0::DOUBLE * s0::DOUBLE / w0::DOUBLE AS gain
+      FROM sides{level} WHERE n1 >= {models.MIN_LEAF} AND n0 - n1 >= {models.MIN_LEAF}),
+    cuts{level} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, node ORDER BY gain DESC, f, b) AS place FROM gains{level} WHERE gain > 0) WHERE place = 1),
+    nodes{level + 1} AS MATERIALIZED (SELECT id, t, is_test, CASE WHEN c.f IS NULL THEN node ELSE 2 * node + 1 + (x.b > c.b)::INT END AS node
+      FROM nodes{level} LEFT JOIN cuts{level} c USING (t, node) LEFT JOIN binned x USING (id, f))"""
+
+
+def _bagged_sql() -> str:
+    depth = models.REGRESSION_DEPTH
+    names = ", ".join(models.REGRESSION_FEATURES)
+    values = [f"SELECT t, 2 * node + 1 AS node, s1::DOUBLE / w1 / 1000000 AS value FROM cuts{d} UNION ALL SELECT t, 2 * node + 2, (s0 - s1)::DOUBLE / (w0 - w1) / 1000000 FROM cuts{d}" for d in range(depth)]
+    return f"""
+    WITH full_rows AS MATERIALIZED (SELECT id, {U_SQL % "id"} < 0.2 AS is_test, CAST(round(ret_18 * 1000000) AS BIGINT) AS y, ret_18, {names} FROM ({FEATURES_SQL}) WHERE {COMPLETE}),
+    long_rows AS MATERIALIZED (SELECT id, is_test, y, list_position({models.REGRESSION_FEATURES!r}, name) - 1 AS f, x FROM
+      (UNPIVOT (SELECT id, is_test, y, {", ".join(f"{n}::DOUBLE AS {n}" for n in models.REGRESSION_FEATURES)} FROM full_rows) ON {names} INTO NAME name VALUE x)),
+    edges AS (SELECT f, list_distinct({EDGES_SQL}) AS e FROM long_rows WHERE NOT is_test GROUP BY f),
+    binned AS MATERIALIZED (SELECT id, y, f, len(list_filter(e, lambda v: v < x)) AS b FROM long_rows JOIN edges USING (f)),
+    bags AS MATERIALIZED (SELECT id, t, {AT_MOST_SQL} AS w FROM (SELECT id, t, {BAG_U_SQL} AS u FROM full_rows, range({models.TREES}) AS r(t))),
+    nodes0 AS (SELECT id, t, is_test, 0 AS node FROM full_rows, range({models.TREES}) AS r(t)),
+    {",".join(_level_sql(d) for d in range(depth))},
+    node_values AS (SELECT t, 0 AS node, sum(s0)::DOUBLE / sum(w0) / 1000000 AS value FROM (SELECT DISTINCT t, s0, w0 FROM sides0) GROUP BY t UNION ALL {" UNION ALL ".join(values)}),
+    scored AS (SELECT id, is_test, ret_18, count(*) FILTER (w = 0 AND NOT is_test) AS oob_trees, avg(value) FILTER (w = 0 AND NOT is_test) AS oob_pred, avg(value) AS y_pred
+      FROM nodes{depth} JOIN node_values USING (t, node) JOIN bags USING (id, t) JOIN (SELECT id, ret_18 FROM full_rows) USING (id) GROUP BY ALL)"""
+
+
 query(
     "f11_scored_panel",
     lambda t: _scored(_regression_rows(t), models.regressor()).select("id", "is_test", "ret_18", "y_pred"),
@@ -261,3 +307,16 @@ query(
     FROM (FEATURES) WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*models.REGRESSION_FEATURES, "ret_18"])}
     """.replace("FEATURES", FEATURES_SQL),
 )
+
+query(
+    "f10_oob_predictions",
+    lambda t: _bagged(t).select("id", "oob_trees", F.round("oob_pred", 6).alias("oob_pred"), F.round("y_pred", 6).alias("y_pred")),
+    _bagged_sql() + " SELECT id, oob_trees, round(oob_pred, 6) AS oob_pred, round(y_pred, 6) AS y_pred FROM scored",
+)
+query(
+    "f10_oob_r2",
+    lambda t: bagging.oob_r2(_bagged(t), models.LABEL).withColumn("oob_r2", F.round("oob_r2", 6)),
+    _bagged_sql()
+    + """ SELECT count(*) AS rows, count(oob_pred) AS oob_rows, round(1 - sum((ret_18 - oob_pred) ** 2)
+      / (var_pop(ret_18) FILTER (oob_pred IS NOT NULL) * count(oob_pred)), 6) AS oob_r2 FROM scored WHERE NOT is_test""",
+)

@@ -103,6 +103,18 @@ query(
     lambda t: pr.close_enough(t["pair_rows"]),
     "SELECT * FROM {pair_rows} WHERE date_a - date_b < 500",
 )
+# One date a row in eleven ways of writing; kind 3 has the month first, kind 8 the day, kind 10 is no date.
+_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d", "%m/%d/%Y", "%Y%m%d", "%d %b %Y", "%B %d, %Y", "%b %d, %Y", "%d/%m/%Y", "%d %B %Y", "%Y-13-%d"]
+_SPARK_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "yyyyMMdd", "dd MMM yyyy", "MMMM dd, yyyy", "MMM dd, yyyy", "dd/MM/yyyy", "dd MMMM yyyy", "yyyy-13-dd"]
+derived(
+    "written_dates",
+    "SELECT o_orderkey AS id, o_orderkey % 11 AS kind, o_orderdate AS d, CASE o_orderkey % 11 "
+    + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(_FORMATS)) + " END AS written FROM {orders}",
+    lambda t: t["orders"].select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 11).alias("kind"),
+        F.coalesce(*[F.when(F.col("o_orderkey") % 11 == i, F.date_format("o_orderdate", f.replace("-13-", "'-13-'"))) for i, f in enumerate(_SPARK_FORMATS)]).alias("written"),
+    ),
+)
 PARSED = """
     SELECT id, CASE id % 4 WHEN 1 THEN strptime(date_a, '%d/%m/%Y') WHEN 2 THEN strptime(date_a, '%d.%m.%Y')
       ELSE CAST(date_a AS TIMESTAMP) END::DATE AS date_a, TRY_CAST(date_b AS DATE) AS date_b,
@@ -118,6 +130,15 @@ query(
     lambda t: t["pair_texts_dated"].select("id", dates.parse_iso_date(F.col("date_b")).alias("date_b")),
     f"SELECT id, date_b FROM ({PARSED})",
 )
+query(
+    "p14_coerced_formats",
+    lambda t: t["written_dates"].select("id", *[dates.parse_date(F.col("written"), first).alias(name) for name, first in (("month_first", False), ("day_first", True))]),
+    """
+    SELECT id, CASE kind WHEN 8 THEN CASE WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d)) ELSE d END WHEN 10 THEN NULL ELSE d END AS month_first,
+      CASE kind WHEN 3 THEN CASE WHEN day(d) <= 12 THEN make_date(year(d), day(d), month(d)) ELSE d END WHEN 10 THEN NULL ELSE d END AS day_first
+    FROM (SELECT id, kind, CAST(date_trunc('day', d) AS DATE) AS d FROM {written_dates})
+    """,
+)
 query(
     "p13_clean_pairs",
     lambda t: pr.clean_pairs(t["pair_texts_dated"]),
@@ -234,7 +255,8 @@ query(
     lambda t: pn.sorted_panel(_panel(t)).withColumn("ret_18", F.round("ret_18", 6)).withColumn(
         "ret_prev_12m", F.round("ret_prev_12m", 6)
     ),
-    "SELECT * REPLACE (round(ret_18, 6) AS ret_18, round(ret_prev_12m, 6) AS ret_prev_12m) FROM {panel_check}",
+    """SELECT * REPLACE (round(ret_18, 6) AS ret_18, round(ret_prev_12m, 6) AS ret_prev_12m),
+      row_number() OVER (ORDER BY ticker, date_a, date_b) AS place FROM {panel_check}""",
 )
 
 # A ready panel, so that the checks of the features do not repeat those of the joins.

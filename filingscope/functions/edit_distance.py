@@ -3,12 +3,15 @@
 Spark's built-in `levenshtein` fills the whole table cell by cell, and needs tokens re-encoded as
 characters first, which bounds the vocabulary. The Arrow UDF below processes one table column per
 step on a machine integer as wide as the pattern (the bit-vector method of Myers, 1999, and Hyyro,
-2003), so one step costs len/64 word operations instead of len cell updates.
+2003), so one step costs len/64 word operations instead of len cell updates. Similar texts need a band around
+the diagonal only: its width starts from what the tokens alone show to differ and doubles until the distance lies within it.
 """
 
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
+from collections import Counter
 from itertools import filterfalse
 
 import pandas as pd
@@ -21,6 +24,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Match masks kept in memory per pair; masks beyond it are rebuilt when needed.
 MASK_BUDGET_BYTES = 256 << 20
+# Edits that the narrowest band allows for, and columns that share a window at least.
+LEAST_BAND = 64
+BLOCK = 512
 
 
 def _mask(positions: list[int], width: int) -> int:
@@ -45,30 +51,80 @@ def token_distance(left: list[str], right: list[str]) -> int:
     if not left or not right:
         return len(left) + len(right)
 
-    width = len(left)
-    full = (1 << width) - 1
-    wanted = set(right)
+    shorter, longer = sorted((left, right), key=len)
+    # Every edit removes at most one token from what the sides do not share, so this many edits are needed.
+    limit = len(longer) - sum((Counter(shorter) & Counter(longer)).values())
+    limit = max(LEAST_BAND, limit + limit // 4)
     places: dict[str, list[int]] = {}
-    for i, token in enumerate(left):
+    wanted = set(longer)
+    for i, token in enumerate(shorter):
         if token in wanted:
             places.setdefault(token, []).append(i)
+    # A band that is not much narrower than the whole would only be paid for in addition.
+    while 8 * limit + BLOCK < len(shorter):
+        found = _banded(places, len(shorter), longer, limit)
+        if found <= limit:
+            return found
+        limit *= 4
+    return _whole(places, len(shorter), longer)
+
+
+def _whole(places: dict[str, list[int]], width: int, columns: list[str]) -> int:
+    """The distance from whole columns."""
+    full = (1 << width) - 1
     keep = MASK_BUDGET_BYTES // ((width >> 3) + 1)
     masks: dict[str, int] = {}
-
-    # Vertical differences of the current column: up has +1 rows, down has -1 rows.
     up, down = full, 0
-    for token in right:
+    for token in columns:
         match = masks.get(token, 0)
         if not match and token in places:
             match = _mask(places[token], width)
             if len(masks) < keep:
                 masks[token] = match
+        # Vertical differences of the next column: up has +1 rows, down has -1 rows.
         diagonal = ((((match & up) + up) ^ up) | match | down) & full
         rise = ((down | (full ^ (diagonal | up))) << 1) | 1
-        fall = (diagonal & up) << 1
-        up = (fall & full) | (full ^ ((diagonal | rise) & full))
-        down = rise & diagonal
-    return len(right) + up.bit_count() - down.bit_count()
+        up, down = ((diagonal & up) << 1 & full) | (full ^ ((diagonal | rise) & full)), rise & diagonal
+    return len(columns) + up.bit_count() - down.bit_count()
+
+
+def _banded(places: dict[str, list[int]], width: int, columns: list[str], limit: int) -> int:
+    """The distance from the rows within `limit` of the diagonal: exact if at most `limit`, otherwise more than it.
+
+    Columns are taken in blocks; in a block the rows that any of its columns may need form a window. Above the
+    window each column is taken to cost one more, and rows that enter below it too: both are the cost of some
+    edits, so no value is too low, and the path of a distance within the limit never leaves the window.
+    """
+    up, down, base, low, high = 0, 0, 0, 0, 0
+    step = max(limit, BLOCK)
+    for start in range(0, len(columns), step):
+        block = columns[start : start + step]
+        new_low, new_high = max(0, start - limit), min(width, start + len(block) + limit)
+        if new_low > low:
+            gone = (1 << min(new_low, high) - low) - 1
+            # Rows that the window skips altogether would enter and leave at once; each costs one.
+            base += (up & gone).bit_count() - (down & gone).bit_count() + max(0, new_low - high)
+            up, down = up >> new_low - low, down >> new_low - low
+            low, high = new_low, max(high, new_low)
+        if new_high > high:
+            up |= ((1 << new_high - high) - 1) << high - low
+            high = new_high
+        size = high - low
+        full = (1 << size) - 1
+        masks: dict[str, int] = {}
+        for token in block:
+            match = masks.get(token)
+            if match is None:
+                of = places.get(token, ())
+                match = _mask([p - low for p in of[bisect_left(of, low) : bisect_left(of, high)]], size) if of else 0
+                masks[token] = match
+            diagonal = ((((match & up) + up) ^ up) | match | down) & full
+            rise = ((down | (full ^ (diagonal | up))) << 1) | 1
+            up, down = ((diagonal & up) << 1 & full) | (full ^ ((diagonal | rise) & full)), rise & diagonal
+        base += len(block)
+    if high < width:
+        return limit + 1
+    return base + up.bit_count() - down.bit_count()
 
 
 @F.pandas_udf(T.IntegerType())

@@ -2,10 +2,60 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from filingscope.session import shared_folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: later jobs neither recompute it nor need the executors that made it."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_rank(df: DataFrame, order: list[Column], into: str = "rank") -> DataFrame:
+    """Add each row's place from 1 in the order of the whole table, without a task that sees all rows.
+
+    Rows are dealt by ranges of the order, sorted and written. A row's place is that in its range plus the rows of the ranges
+    before; only one count for each range reaches the driver. Rows that are equal in the order take their places as they come.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    offsets, before = [], 0
+    for part in placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).orderBy("_part").collect():
+        offsets.append((part["_part"], before - part["first"] + 1))
+        before += part["n"]
+    table = df.sparkSession.createDataFrame(offsets, "_part INT, _offset BIGINT")
+    return placed.join(F.broadcast(table), "_part").withColumn(into, F.col("_at") + F.col("_offset")).drop("_part", "_at", "_offset")
+
+
+def packed(df: DataFrame, key: list[str], cost: Column, parts: int, task_cost: float, into: str = "part") -> tuple[DataFrame, int]:
+    """Number the rows by partitions of about equal cost, and the number of partitions: `parts`, more if one would cost over `task_cost`.
+
+    Costs are cumulated bucket by bucket (buckets by hash of the unique `key`, one sum for each reaches the driver) and
+    cut into equal ranges by where a row's cost begins. So a partition costs less than the mean plus its dearest row.
+    """
+    buckets = max(1, parts)
+    keyed = df.withColumns({"_cost": cost.cast("double"), "_bucket": F.pmod(F.xxhash64(*key), F.lit(buckets))})
+    sums = {r["_bucket"]: r["total"] for r in keyed.groupBy("_bucket").agg(F.sum("_cost").alias("total")).collect()}
+    total = sum(sums.values())
+    parts = max(parts, int(total // task_cost) + 1)
+    offsets, before = [], 0.0
+    for bucket in sorted(sums):
+        offsets.append((bucket, before))
+        before += sums[bucket]
+    table = df.sparkSession.createDataFrame(offsets, "_bucket BIGINT, _before DOUBLE")
+    earlier = F.coalesce(F.sum("_cost").over(W.partitionBy("_bucket").orderBy(*key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    place = F.floor((F.col("_before") + F.col("_earlier")) / F.lit(max(total, 1.0)) * parts)
+    numbered = keyed.withColumn("_earlier", earlier).join(F.broadcast(table), "_bucket")
+    numbered = numbered.withColumn(into, F.least(place, F.lit(parts - 1)).cast("int"))
+    return numbered.drop("_cost", "_bucket", "_before", "_earlier"), parts
+
 
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: Column, into: str

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -49,3 +52,18 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Count the rows that pass `df` while the next action runs, without a pass of its own."""
     watch = Observation(name)
     return df.observe(watch, F.count(F.lit(1)).alias("rows")), watch
+
+
+def step_counts(rows: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """How many rows are read and how many pass each step, counted while the steps run: step, rows.
+
+    The rows are read once and nothing is counted in a pass of its own. A step that reads its input more than once should store it.
+    """
+    spark = rows.sparkSession
+    df, watch = observed(rows, f"read-{uuid.uuid4().hex}")
+    watches = [("read", watch)]
+    for name, step in steps:
+        df, watch = observed(step(df), f"{name}-{uuid.uuid4().hex}")
+        watches.append((name, watch))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(name, watch.get["rows"]) for name, watch in watches], "step STRING, rows BIGINT")

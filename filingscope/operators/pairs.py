@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingscope.functions.dates import parse_mixed_date
-from filingscope.functions.ordered import with_previous
+from filingscope.functions.ordered import with_previous, with_rank
 
 MIN_TOKENS = 75
 MAX_GAP_DAYS = 500
 
 
 def newest_first(filings: DataFrame) -> DataFrame:
-    """Filings from newest to oldest with an ISO date text; same-day filings by accession."""
-    return filings.select("cik", "accession", F.date_format("filed_date", "yyyy-MM-dd").alias("filed")).orderBy(
-        F.desc("filed"), F.desc("accession")
-    )
+    """Filings with an ISO date text and their place from 1, newest first; same-day filings by accession, the last one first."""
+    dated = filings.select("cik", "accession", F.date_format("filed_date", "yyyy-MM-dd").alias("filed"))
+    return with_rank(dated, [F.desc("filed"), F.desc("accession"), F.desc("cik")], into="place")
 
 
 def with_section(filings: DataFrame, sections: DataFrame, item: str = "1A") -> DataFrame:

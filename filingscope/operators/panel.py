@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.ordered import with_previous
+from filingscope.functions.ordered import with_previous, with_rank
 from filingscope.operators.returns import attach, window_means, with_anchors
 
 # The thresholds below which a similarity counts as low, in either unit.
@@ -38,7 +38,8 @@ def with_old_similarity(rows: DataFrame) -> DataFrame:
 
 
 def sorted_panel(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("ticker", "date_a")
+    """The panel with each row's place from 1 by firm and date of the newer filing, then of the older one."""
+    return with_rank(rows, [F.asc("ticker"), F.asc("date_a"), F.asc("date_b")], into="place")
 
 
 def build_panel(similarity: DataFrame, returns: DataFrame) -> DataFrame:

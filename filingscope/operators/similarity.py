@@ -11,9 +11,11 @@ from filingscope.functions.edit_distance import (
     token_line_difference,
     token_line_distance,
 )
-from filingscope.functions.ordered import broadcast_if_small
+from filingscope.functions.ordered import broadcast_if_small, packed, stored
 
 BASES = ("longer", "newer")
+# Table cells, in tokens by tokens, that one task should have at most: about half a minute for unlike texts.
+TASK_COST = 2e10
 # A word list of up to this many rows is broadcast; a larger one is joined by shuffling.
 LEXICON_BROADCAST_ROWS = 200_000
 # Fixed value: the normaliser of a valence sum, valence / sqrt(valence^2 + 15).
@@ -54,23 +56,25 @@ def similarity(distance: Column, len_a: Column, len_b: Column) -> Column:
 
 
 def pair_texts(sections: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with the token lines of both sides, words_a and words_b.
+    """The pairs with the token lines of both sides, words_a and words_b, in partitions of about equal work.
 
-    Filing keys are unique, so neither join has a hot key, and both read the same shuffle of the
-    tokenised sections. Its partition count is fixed: the work that follows grows faster than
-    the bytes, so partitions must not be merged by size.
+    The work of a pair grows with the product of its lengths, not with its bytes. So pairs, keys and lengths only, are first packed into
+    partitions by cumulated cost; then both texts are fetched by filing key, which is unique, and moved to the pair's partition.
+    Texts are tokenised once.
     """
-    partitions = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = sections.select("cik", "accession", token_line(F.col("text")).alias("words")).repartition(
-        partitions, "cik", "accession"
-    )
-    a = words.select("cik", F.col("accession").alias("filing_a"), F.col("words").alias("words_a"))
-    b = words.select("cik", F.col("accession").alias("filing_b"), F.col("words").alias("words_b"))
-    return (
-        pairs.join(a, ["cik", "filing_a"])
-        .join(b, ["cik", "filing_b"])
-        .select(*pairs.columns, "words_a", "words_b")
-    )
+    spark = sections.sparkSession
+    words = stored(sections.select("cik", "accession", token_line(F.col("text")).alias("words")).withColumn("_n", token_count(F.col("words"))))
+    costed = pairs
+    for side in ("a", "b"):
+        lengths = words.select("cik", F.col("accession").alias(f"filing_{side}"), F.col("_n").alias(f"_n_{side}"))
+        costed = costed.join(lengths, ["cik", f"filing_{side}"])
+    cost = (F.col("_n_a") + 1.0) * (F.col("_n_b") + 1.0)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered, parts = packed(stored(costed), PAIR_KEY, cost, least, TASK_COST, into="_part")
+    for side in ("a", "b"):
+        texts = words.select("cik", F.col("accession").alias(f"filing_{side}"), F.col("words").alias(f"words_{side}"))
+        numbered = numbered.join(texts, ["cik", f"filing_{side}"])
+    return numbered.repartitionById(parts, "_part").select(*pairs.columns, "words_a", "words_b")
 
 
 def with_tokens(sections: DataFrame) -> DataFrame:

@@ -118,12 +118,11 @@ def cross_validated_r2(estimator, rows: DataFrame, key: Column, folds: int = FOL
 
 
 def feature_importances(model: Model, features: list[str], rows: DataFrame) -> DataFrame:
-    """Feature names with their importance, highest first. One row per feature."""
-    spark = rows.sparkSession
-    pairs = list(zip(features, [float(x) for x in model.featureImportances.toArray()]))
-    return spark.createDataFrame(pairs, "feature STRING, importance DOUBLE").orderBy(
-        F.desc("importance"), "feature"
-    )
+    """Feature names with their importance and place from 1, highest first, equal ones by name. One row per feature."""
+    pairs = zip(features, [float(x) for x in model.featureImportances.toArray()])
+    ordered = sorted(pairs, key=lambda pair: (-pair[1], pair[0]))
+    table = [(name, value, place) for place, (name, value) in enumerate(ordered, 1)]
+    return rows.sparkSession.createDataFrame(table, "feature STRING, importance DOUBLE, place INT").orderBy("place")
 
 
 def tree_rules(model: Model, features: list[str]) -> str:

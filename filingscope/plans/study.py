@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingscope import schemas
 from filingscope.functions.dates import accession_year
-from filingscope.functions.ordered import latest_per_key
+from filingscope.functions.ordered import latest_per_key, stored
+from filingscope.operators import evaluation
 from filingscope.operators import similarity as sim
 from filingscope.operators.audit import coverage_gaps
 from filingscope.operators.headings import repair_headings
 from filingscope.operators.html_text import html_to_text
 from filingscope.operators.pairs import clean_pairs, consecutive_pairs
-from filingscope.operators.panel import build_panel, with_features
+from filingscope.operators.panel import build_panel, labelled, with_features
+from filingscope.operators.quantiles import QUINTILE_LABELS, with_quintiles
 from filingscope.operators.returns import link_returns
 from filingscope.operators.sections import filing_date, rejects, sections, split_items
+from filingscope.plans import bagging, models
 from filingscope.session import shared_folder
 from filingscope.sources.filings import FIRST_YEAR, START_DATE, filed_from, landing_rejects, usable_filings
-from filingscope.sources.index import filer_list
+from filingscope.sources.index import filer_list, only_filers
 from filingscope.sources.tables import write_parquet
 
 RISK_ITEM = "1A"
@@ -72,8 +76,12 @@ class Study:
         """The expected filers of parsed index rows, one row each, for `coverage` and `returns`."""
         return self._write("filers", filer_list(index_rows))
 
-    def clean(self, raw: DataFrame, first_year: int = FIRST_YEAR, latest: int | None = None) -> DataFrame:
-        """Cleaned filings; `latest` keeps only so many of each filer, the newest by accession year and number."""
+    def clean(
+        self, raw: DataFrame, first_year: int = FIRST_YEAR, latest: int | None = None, ciks: Sequence[str] | None = None
+    ) -> DataFrame:
+        """Cleaned filings; `latest` keeps only so many of each filer, the newest by accession year and number, `ciks` only these filers."""
+        if ciks is not None:
+            raw = only_filers(raw, ciks)
         self._write("landing_rejects", landing_rejects(raw, first_year))
         kept = usable_filings(raw, first_year)
         if latest is not None:
@@ -125,3 +133,24 @@ class Study:
         rows = build_panel(clean_pairs(self.table("similarity")), returns)
         self._write("panel", rows)
         return with_features(self.table("panel"))
+
+    def model(self, panel: DataFrame, key: Column, trees: int = models.TREES, min_leaf: int = models.MIN_LEAF) -> DataFrame:
+        """Fit on the panel and keep what the fit says: tables `predictions`, `metrics`, `report`, `confusion` and `importances`.
+
+        Returns are predicted by a forest with known bags, so metrics are of the test rows and of rows out of the bag; return classes, quintiles
+        of the panel, by a classification forest, reported on its test rows. `key` names a row and decides where it falls.
+        """
+        rows = models.with_test_flag(panel, key)
+        forest = bagging.fit_forest(rows, key, models.REGRESSION_FEATURES, models.LABEL, trees, min_leaf=min_leaf)
+        scored = self._write("predictions", forest.score(rows, key))
+        tests = evaluation.regression_metrics(scored.filter("is_test"), models.LABEL, "y_pred")
+        self._write("metrics", tests.crossJoin(F.broadcast(bagging.oob_r2(scored, models.LABEL))))
+        classed = labelled(with_quintiles(panel))
+        classed = models.assemble(models.with_stratified_test_flag(classed, key, models.CLASS_LABEL), models.CLASSIFICATION_FEATURES, models.CLASS_LABEL)
+        fitted = models.fit(models.classifier(trees=trees, min_leaf=min_leaf), classed)
+        tested = models.score(fitted, classed.filter("is_test")).withColumn(models.CLASS_LABEL, F.col(models.CLASS_LABEL).cast("int"))
+        tested = stored(tested.select(models.CLASS_LABEL, F.col("y_pred").cast("int").alias("y_pred")))
+        self._write("report", evaluation.classification_report(tested, models.CLASS_LABEL, "y_pred", QUINTILE_LABELS))
+        self._write("confusion", evaluation.confusion_matrix(tested, models.CLASS_LABEL, "y_pred", list(range(len(QUINTILE_LABELS)))))
+        self._write("importances", models.feature_importances(fitted, models.CLASSIFICATION_FEATURES, classed))
+        return scored

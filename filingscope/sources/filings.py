@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filingscope.functions.dates import accession_year, normalise_cik
-from filingscope.functions.ordered import latest_per_key
+from filingscope.functions.ordered import latest_per_key, stored
 
 TREE_KEYS = r"([^/]+)/([^/]+)/([^/]+)/[^/]+$"
 # The study's first filing date and year, and filings kept per filer.
@@ -41,6 +46,29 @@ def read_filings(spark: SparkSession, paths: str | list[str], file_name: str = S
     return with_tree_keys(files).select("cik", "form", "accession", "path", "body")
 
 
+def write_filings(filings: DataFrame, root: str, form: str = "10-K", file_name: str = SUBMISSION) -> DataFrame:
+    """Land each filing as <root>/<cik>/<form>/<accession>/<file_name>, written by the tasks: the paths, once written.
+
+    A file is written under a name of its own and then moved, so a task that is run again leaves whole files only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(root)
+        for batch in batches:
+            paths = []
+            for cik, accession, body in zip(*(column.to_pylist() for column in batch.columns)):
+                folder = f"{base.rstrip('/')}/{cik}/{form}/{accession}"
+                store.create_dir(folder, recursive=True)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write((body or "").encode())
+                store.move(part, f"{folder}/{file_name}")
+                paths.append(f"{folder}/{file_name}")
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return stored(filings.select("cik", "accession", "body").mapInArrow(run, "path STRING"))
+
+
 def from_year(filings: DataFrame, first: int = FIRST_YEAR) -> DataFrame:
     """Filings whose accession year is `first` or later."""
     return filings.filter(accession_year(F.col("accession")) >= first)

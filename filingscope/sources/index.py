@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filingscope.functions.dates import normalise_cik, parse_iso_date
-from filingscope.functions.ordered import with_previous
+from filingscope.functions.ordered import with_previous, with_rank
 from filingscope.functions.text import let, lines
 
 # Fixed values.
@@ -106,7 +105,8 @@ def filing_urls(rows: DataFrame, base: str) -> DataFrame:
 def first_of_each_block(rows: DataFrame) -> DataFrame:
     """Keep a row unless the row just before it, in file and line order, has the same cik.
 
-    Files are windowed chunk by chunk. Across files only one row per file is needed: its last cik.
+    Files are windowed chunk by chunk. Across files one row per file is needed, its last cik: files are numbered in order by
+    ranges, and each takes its carry from the file with the number before, so no task sees all files.
     """
     linked = with_previous(
         rows,
@@ -117,9 +117,9 @@ def first_of_each_block(rows: DataFrame) -> DataFrame:
         into="_previous",
     )
     last = rows.groupBy("source_file").agg(F.max_by(F.struct("cik"), "line_no").alias("_last"))
-    carried = last.select(
-        "source_file", F.lag("_last").over(W.orderBy("source_file")).alias("_carried")
-    ).filter(F.col("_carried").isNotNull())
+    files = with_rank(last, [F.col("source_file")], into="_file")
+    ahead = files.select((F.col("_file") + 1).alias("_file"), F.col("_last").alias("_carried"))
+    carried = files.select("source_file", "_file").join(ahead, "_file").select("source_file", "_carried")
     before = F.coalesce("_previous", "_carried")
     return (
         linked.join(carried, "source_file", "left")

@@ -152,10 +152,11 @@ def test_quantiles_with_a_hot_value_and_groups(spark):
         assert got[g] == pytest.approx(list(np.quantile(part.v, (0.2, 0.61))), abs=1e-12)
 
 
-def test_quantiles_widen_a_wrong_bracket(spark, monkeypatch):
+def test_quantiles_narrow_brackets(spark, monkeypatch):
     values = np.random.default_rng(8).normal(size=2000)
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
     monkeypatch.setattr(qt, "SKETCH", 10)
+    monkeypatch.setattr(qt, "BRACKET_ROWS", 100)
     assert qt.exact_quantiles(df, "v", (0.5, 0.9))[0] == pytest.approx(list(np.quantile(values, (0.5, 0.9))), abs=1e-12)
 
 

@@ -117,3 +117,23 @@ def test_contract(spark):
     df = contract.entry(spark)
     assert df.columns == ["ticker", "date_a", "date_b", "distance", "similarity", "len_a", "len_b", "sentiment"]
     assert df.count() > 0
+
+
+def test_models_of_a_panel(spark, tmp_path):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from filingscope.plans import models
+
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({name: rng.normal(size=400) for name in models.REGRESSION_FEATURES} | {"id": range(400)})
+    frame["ret_18"] = frame.similarity + rng.normal(size=400) / 10
+    kept = Study(spark, str(tmp_path))
+    scored = kept.model(spark.createDataFrame(frame), F.col("id"), trees=6, min_leaf=10)
+    assert scored.count() == 400 and kept.table("predictions").filter("y_pred is null").count() == 0
+    metrics = kept.table("metrics").first()
+    assert metrics.r2 > 0.3 and metrics.oob_r2 > 0.3 and metrics.oob_rows <= metrics.rows < 400
+    assert {"accuracy", "macro avg", "weighted avg", "very_negative"} <= {r["class"] for r in kept.table("report").collect()}
+    assert kept.table("confusion").count() == 5
+    assert [r.feature for r in kept.table("importances").orderBy("place").limit(1).collect()] == ["similarity"]
