@@ -15,16 +15,17 @@ A task holds the index of a group of sets. The groups come from the sets themsel
    shuffle of signatures. What is connected is a group, and every link lies within one. The n-grams of the sets in groups are
    taken from the texts again; a bitmap of their keys, BITMAP_BITS at most, spares the other texts the shuffle.
    A group of up to GROUP_SETS sets is one task's index.
-4. A larger group is dealt at random into parts, twice. Their links leave few classes. Then only signatures whose sets are in several classes
-   are left; of signatures with the same sets one is kept, and its sets meet, in blocks if they are many. So no pair goes
-   unseen, and a large group whose sets are all alike costs as much as its size.
+4. A larger group is dealt at random into parts, twice, which leaves few classes of sets that are all alike. What is left has to share one
+   of its rarest n-grams, as many as similar sets need not share and one more. N-grams are ordered by a sketch of their number in
+   the large groups and by hash; any order that is the same for all sets finds every pair, this one leaves out what a template
+   makes common. Only n-grams whose sets are in several classes count; of those with the same sets one is kept, and its
+   sets meet, in blocks if they are many. So no pair goes unseen.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Callable
 from itertools import chain
 from math import log2
 
@@ -53,6 +54,9 @@ BITMAP_BITS = 28
 GROUP_SETS = 512
 GROUP_GRAMS = 2_000_000
 
+# Cells of the sketch of n-gram numbers: 8 MB.
+CELL_BITS = 20
+
 # Weight of a long list's probe in DivideSkip's number of long lists.
 PROBE_WEIGHT = 0.01
 
@@ -287,21 +291,60 @@ def _classes(members: DataFrame, edges: DataFrame) -> DataFrame:
     return members.join(components(edges).select(F.col("node").alias("key"), F.col("component").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
 
 
-def _large_links(large: DataFrame, sets: Callable[[DataFrame], DataFrame], signed: DataFrame, num: int, den: int) -> DataFrame:
-    """All links needed within groups that no task can hold. `large` has key, group and parts; `sets` adds grams by key."""
-    found, classed = None, large.withColumn("class", F.col("key"))
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many n-grams of the sets fall on each of 2 ** CELL_BITS cells, by hash: never too low for an n-gram."""
+
+    def run(batches):
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            cells += np.bincount((values & np.uint64(len(cells) - 1)).astype(np.int64), minlength=len(cells))
+        met = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(cells[met])], ["cell", "n"])
+
+    table = map_batches(sets.select("grams"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def rarest(grams_: np.ndarray, cells: np.ndarray, num: int, den: int) -> np.ndarray:
+    """So many n-grams, rarest first, that similar sets have one of them in common: all but those they must share at least, and one."""
+    n = len(grams_)
+    order = np.lexsort((grams_, cells[(grams_ & np.uint64(len(cells) - 1)).astype(np.int64)]))
+    return grams_[order[: n + num * -n // den + 1]]
+
+
+def _rare(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """key and signature: each of the set's rarest n-grams among the sets."""
+    sent = shared(sets.sparkSession, _frequencies(sets))
+
+    def run(batches):
+        for batch in batches:
+            offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64)
+            own = [rarest(values[a:b], sent.value, num, den) for a, b in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], ["key", "rare"])
+
+    return map_batches(sets.select("key", "grams"), run, "key long, rare array<long>").select("key", F.explode("rare").alias("signature"))
+
+
+def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All links needed within groups that no task can hold. `sets` has key, group, parts and grams."""
+    members = sets.select("key", "group", "parts")
+    found, classed = None, members.withColumn("class", F.col("key"))
     for turn in range(2):
         part = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("parts"))
-        more = saved(_linked(sets(classed.select("key", "class", F.xxhash64("group", part).alias("task"))), num, den))
+        dealt = classed.select("key", "class", F.xxhash64("group", part).alias("task"))
+        more = written(_linked(sets.select("key", "grams").join(dealt, "key"), num, den))
         found = more if found is None else saved(found.unionByName(more))
-        classed = saved(_classes(large, found))
-    # What may still be linked has a signature in common and is in another class.
-    left = saved(signed.join(classed.select("key", "class"), "key"))
+        classed = written(_classes(members, found))
+    # What may still be linked shares one of its rarest n-grams and is in another class.
+    left = written(_rare(sets, num, den).join(classed.select("key", "class"), "key"))
     seen = left.groupBy("signature").agg(
         F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
     )
     seen = seen.where("low < high").groupBy("n", "x", "y").agg(F.min("signature").alias("signature"))
-    seen = saved(seen.select("signature", F.ceil(F.col("n") / (GROUP_SETS // 2)).cast("int").alias("blocks")))
+    seen = written(seen.select("signature", F.ceil(F.col("n") / (GROUP_SETS // 2)).cast("int").alias("blocks")))
     if seen.limit(1).count() == 0:
         return found
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -310,7 +353,8 @@ def _large_links(large: DataFrame, sets: Callable[[DataFrame], DataFrame], signe
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own"))
     met = F.transform(others, lambda o: F.xxhash64("signature", F.least("own", o), F.greatest("own", o)))
     met = F.when(F.col("blocks") == 1, F.array(F.xxhash64("signature"))).otherwise(met)
-    return found.unionByName(_linked(sets(rows.select("key", "class", F.explode(met).alias("task"))), num, den))
+    tasks = rows.select("key", "class", F.explode(met).alias("task"))
+    return found.unionByName(written(_linked(sets.select("key", "grams").join(tasks, "key"), num, den)))
 
 
 def similar_groups(docs: DataFrame, width: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -331,30 +375,13 @@ def similar_groups(docs: DataFrame, width: int = WORDS, num: int = NUM, den: int
     grouped = keyed.select("key", "n").join(groups, "key")
     sizes = grouped.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_GRAMS)).alias("parts"))
     sized = saved(grouped.join(sizes, "group").select("key", "group", "parts"))
-    sets = _grams_of(docs, sized, width)
-    small = sized.where("parts = 1").select("key", F.col("key").alias("class"), F.col("group").alias("task"))
-    found = written(_linked(sets.join(small, "key"), num, den))
-    large = sized.where("parts > 1")
-    if large.limit(1).count():
-        own = saved(sets.join(large.select("key"), "key", "left_semi"))
-        # A batch gave each signature to one set; what its other sets share with it, only their ties tell. So they are signed anew.
-        found = found.unionByName(_large_links(large, lambda tasks: own.join(tasks, "key"), _signed(own, num, den), num, den))
+    sets = written(_grams_of(docs, sized, width).join(sized, "key"))
+    found = written(_linked(sets.where("parts = 1").select("key", F.col("key").alias("class"), F.col("group").alias("task"), "grams"), num, den))
+    if sized.where("parts > 1").limit(1).count():
+        large = saved(sets.where("parts > 1").dropDuplicates(["key"]))
+        found = found.unionByName(_large_links(large, num, den))
     tied = _classes(keyed.select("key", "doc_id"), saved(found))
     least = tied.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     of_key = tied.join(least, "class").select("key", "component_id")
     some = rows.where("n > 0").select("doc_id", "n", "key").join(of_key, "key").select("doc_id", F.col("n").alias("n_grams"), "component_id")
     return some.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_grams"), F.col("doc_id").alias("component_id")))
-
-
-def _signed(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """key and signature of all sets, each once."""
-
-    def run(batches):
-        levels = Levels(num, den)
-        for batch in batches:
-            offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            own = [levels.signatures(values[a:b]) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], ["key", "signatures"])
-
-    signed = map_batches(sets.select("key", "grams"), run, "key long, signatures array<long>")
-    return signed.select("key", F.explode("signatures").alias("signature")).distinct()
