@@ -182,6 +182,68 @@ def test_html_consensus_reads_short_pages_like_long_ones(spark):
     assert {r["page_id"]: r["text"] for r in rows}[9] == "short"
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://h.example/{i}", html) for i, html in enumerate(pages)]
+    return [r["text"] for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).orderBy("page_id").collect()]
+
+
+LONG = "A sentence of the article that goes on for a while, as articles do. " * 9
+
+
+@pytest.mark.parametrize("name", ["with-sidebar", "has-header", "comments-open", "sidebar", "page-header"])
+def test_html_body_with_a_class_word(name):
+    page = f"<html><body class='{name}'><nav>menu</nav><div class='{name}'><div class=text><p>{LONG}</p></div></div><footer>foot</footer></body></html>"
+    assert html_extraction.extract(page) == LONG.strip()
+    assert html_extraction.vote(page).endswith("/div.text")
+
+
+def test_html_parts_of_an_article_stay():
+    page = f"<body><article><p>{LONG}</p><section class='related-work'><p>Earlier work.</p></section><div class='ad-box'>Buy</div><div class=related-posts>More</div><div class='social share'>Share</div></article></body>"
+    assert html_extraction.extract(page) == f"{LONG.strip()}\n\nEarlier work."
+
+
+def test_html_host_with_many_templates(spark):
+    """Twenty templates on one host, rare ones too; all pages have the teaser that a common template's article has."""
+    pages, expected = [], []
+    for kind in range(20):
+        for i in range(30 if kind == 0 else 2):
+            text = f"{kind} {i} {LONG}".strip()
+            main = f"<article class='story'><p>{text}</p></article>" if kind == 0 else f"<div class='t{chr(97 + kind)}-body'><p>{text}</p></div><article class='story'><p>Tiny teaser</p></article>"
+            pages.append(f"<html><body><div class=top>menu words</div>{main}</body></html>")
+            expected.append(text)
+    assert texts_of(spark, pages) == expected
+
+
+def test_html_menu_voted_down(spark):
+    """The menu is longer than some articles; the host's other pages have it and do not vote for it."""
+    menu = "menu words " * 20
+    pages = [f"<body><div class=top>{menu}</div><div class=text><p>{LONG if i % 4 else 'short'}</p></div></body>" for i in range(20)]
+    assert texts_of(spark, pages) == [LONG.strip() if i % 4 else "short" for i in range(20)]
+
+
+def test_html_votes_against_a_plain_count(spark):
+    import random as r
+
+    r.seed(8)
+    pages = [f"<body><div class='{r.choice('abc')}'><p>{LONG if r.random() < 0.7 else 'x'}</p></div><section><p>{LONG if r.random() < 0.5 else 'y'}</p></section></body>" for _ in range(60)]
+    rows = [(i, r.choice(["http://A/1", "http://a/2", "http://b/", None]), html) for i, html in enumerate(pages)]
+    got = {(x["host"], x["path"]): (x["votes"], x["pages"]) for x in html_extraction.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {}
+    for host in ("a", "b", ""):
+        own = [html for _, url, html in rows if (url or "").lower().rstrip("/12").replace("http://", "") == host]
+        for path in {html_extraction.vote(h) for h in own}:
+            have = sum(any(p.path(i) == path and e.tag in html_extraction.CONTAINERS for i, e in enumerate(p.elements)) for p in map(html_extraction.parse, own))
+            want[host, path] = (sum(html_extraction.vote(h) == path for h in own), have)
+    assert got == want
+
+
+def test_html_paths_of_deep_pages():
+    deep = "<div>" * 40
+    page = html_extraction.parse(f"<body>{deep}<p>x</p>{'</div>' * 40}{deep}</body>")
+    keys = [e.key for e in page.elements if e.tag == "div"]
+    assert len(set(keys)) == 40 and page.path(40) == "/body" + "/div" * 39
+
+
 def test_html_hard_rows(spark):
     pages = [(1, None, None), (None, "no url", ""), (2, "http://[bad", "<p>x"), (3, "http://a/", "plain &amp text"), (4, "http://a/", "<"), (5, "http://a/", "<div>" * 3000 + "deep"), (6, "http://a/", "<!-- open <p>a</p>"), (1, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'z' AS text", "'z' AS host", "1 AS salt", "'z' AS paths")
