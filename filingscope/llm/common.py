@@ -85,6 +85,18 @@ def written(df: DataFrame) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Helper names that no column of `df` has, whatever its letter case."""
+    taken = {name.lower() for name in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text modulo `parts`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

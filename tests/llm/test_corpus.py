@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from filingscope.llm import decontamination, simhash_dedup, substring_chaining, suffix_array_dedup
@@ -173,6 +174,41 @@ def test_decontamination_templates(spark):
     assert {r["doc_id"] for r in decontamination.remove_contaminated(docs, items).collect()} == {3, 4, 5, 16}
 
 
+def test_dense_question_with_other_numbers(spark):
+    """Few words, many numbers: the whole run is weighed. Numbers or names alone in the same order are no question."""
+    question = "If 31 * 4 = 124 , then 31 * 7 = 217 and 31 * 9 = 279 , so what is 31 * 12 ?"
+    other = "zz If 17 * 4 = 68 , then 17 * 8 = 136 and 17 * 6 = 102 , so what is 17 * 15 ? zz"
+    mixed = "zz If 17 * 4 = 68 , then 18 * 8 = 136 and 19 * 6 = 102 , so what is 16 * 15 ? zz"
+    items = spark.createDataFrame([(1, question), (2, "Rome Paris Bonn Oslo Bern Riga and Kyiv Baku Lima Quito Cairo Delhi Tokyo or Seoul Hanoi Dakar")], "item_id long, text string")
+    names = " ".join(f"{w}a" if w[0].isupper() else w for w in "Rome Paris Bonn Oslo Bern Riga and Kyiv Baku Lima Quito Cairo Delhi Tokyo of Seoul Hanoi Dakar".split())
+    docs = spark.createDataFrame([(1, other), (2, mixed), (3, " ".join(str(i) for i in range(500))), (4, names), (5, question.lower())], DOC)
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 1, True), (5, 1, False)}
+
+
+def test_template_windows_against_all_windows():
+    """Windows of a batch, with the ones of placeholders alone kept only near others, against each text by itself."""
+    random.seed(21)
+    texts = [" ".join(random.choice(["the", "of", "Rome", "Oslo", "7", "12", "km", "--"]) for _ in range(random.randint(0, 60))) for _ in range(40)]
+    got = {(r, pos, size, bool(slots)): len(slots) for r, pos, size, _, slots, *_ in decontamination._windows(texts, [3, 8], lambda h: np.ones(len(h), bool), 2)}
+    for r, text in enumerate(texts):
+        kinds = [decontamination.slot_kind(w) for w in text.split() if w != "--"]
+        for size in (3, 8):
+            n = max(0, len(kinds) - size + 1)
+            bare = [all(kinds[i : i + size]) for i in range(n)]
+            for i in range(n):
+                assert (r, i, size, False) in got
+                ahead = [j for j in range(n) if not bare[j] and abs(i - j) <= 2 and all(bare[min(i, j) + 1 : max(i, j)])]
+                slots = sum(k is not None for k in kinds[i : i + size])
+                assert ((r, i, size, True) in got) == (slots > 0 and (not bare[i] or bool(ahead)))
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, QUESTION), (2, "clean")], DOC).withColumns({n: F.lit(n) for n in ("d", "K1", "d_", "line", "windows", "hash")})
+    left = decontamination.remove_contaminated(docs, spark.createDataFrame([(7, QUESTION)], "item_id long, text string"))
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [2]
+
+
 def test_decontamination_hard_rows(spark, hard_docs, no_docs):
     no_items = spark.createDataFrame([], "item_id long, text string")
     items = spark.createDataFrame([(1, None), (2, ""), (3, "the lazy dog were in the house of the old man that was by the river")], "item_id long, text string")
