@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.llm.common import map_batches, saved
+from filingscope.llm.common import free_names, map_batches, saved
 from filingscope.llm.components import components
 
 SEED = 42
@@ -166,8 +166,9 @@ def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3) -> D
     named = F.col("doc_id") == F.col("component_id")
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(named).alias("named"), (F.min("fp") < F.max("fp")).alias("clashes"))
     ids = saved(ids.where("named").select("doc_id", "clashes"))
-    kept = ids.where("not clashes").select("doc_id")
-    with_id = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    (own,) = free_names(docs, "kept_id")
+    kept = ids.where("not clashes").select(F.col("doc_id").alias(own))
+    with_id = docs.join(kept, F.col("doc_id") == F.col(own), "left_semi")
     nameless = found.where("component_id is null").select("fp").distinct()
     out = with_id.dropDuplicates(["doc_id"]).unionByName(_first_nameless(docs, nameless, shingle_words))
     clashing = ids.where("clashes").select("doc_id")
@@ -179,18 +180,20 @@ def one_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3) -> D
 
 def _first_clashing(docs: DataFrame, first: DataFrame, shingle_words: int) -> DataFrame:
     """One row for each doc_id and fp of `first`; ids that are on different texts."""
-    wanted = first.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__fp"))
-    rows = docs.join(wanted.select("__kept"), F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__key", F.xxhash64("text"))
-    of_text = fingerprints(rows.select(F.col("__key").alias("doc_id"), "text"), shingle_words).distinct()
-    rows = rows.join(of_text.select(F.col("doc_id").alias("__key"), F.col("fp").alias("__own")), "__key")
-    rows = rows.join(wanted, (F.col("doc_id") == F.col("__kept")) & (F.col("__own") == F.col("__fp")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    of, fp, key, own = free_names(docs, "kept_id", "kept_fp", "text_key", "own_fp")
+    wanted = first.select(F.col("doc_id").alias(of), F.col("fp").alias(fp))
+    rows = docs.join(wanted.select(of), F.col("doc_id") == F.col(of), "left_semi").withColumn(key, F.xxhash64("text"))
+    of_text = fingerprints(rows.select(F.col(key).alias("doc_id"), "text"), shingle_words).distinct()
+    rows = rows.join(of_text.select(F.col("doc_id").alias(key), F.col("fp").alias(own)), key)
+    rows = rows.join(wanted, (F.col("doc_id") == F.col(of)) & (F.col(own) == F.col(fp)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def _first_nameless(docs: DataFrame, nameless: DataFrame, shingle_words: int) -> DataFrame:
     """One row for each fingerprint of components in which no row has an id."""
+    (key,) = free_names(docs, "text_key")
     without = docs.where("doc_id is null")
-    keyed = without.withColumn("__key", F.xxhash64("text"))
+    keyed = without.withColumn(key, F.xxhash64("text"))
     first = fingerprints(without.select(F.xxhash64("text").alias("doc_id"), "text"), shingle_words)
-    first = first.join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("__key")).select("__key")
-    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    first = first.join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias(key)).select(key)
+    return keyed.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -15,13 +15,15 @@ machine, so the corpus is cut into small pieces that never part two equal string
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.llm.common import map_batches, saved
+from filingscope.llm.common import free_names, map_batches, saved
 from filingscope.llm.suffix_index import shared_starts
 
 LENGTH = 400
@@ -250,38 +252,57 @@ def _merged(spans: str):
     )
 
 
-def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All columns of `docs`, and `spans` (empty if none), `kept` (the remaining bytes) and `n_bytes`.
+NAMES = ("spans", "kept", "n_bytes")
+
 
-    Columns of `docs` with one of these names are replaced. A null text counts as empty.
+def cut(docs: DataFrame, spans: DataFrame, least_words: int = 0, names: Sequence[str] = NAMES) -> DataFrame:
+    """All columns of `docs`, and under `names` the spans (empty if none), the remaining bytes and the number of bytes there were.
+
+    Spans with fewer than `least_words` words, words cut at an end included, stay in the text. Columns of `docs` with one of the names are
+    replaced. A null text counts as empty.
     """
+    taken, kept, n_bytes = names
+    d, k1, own_spans = free_names(docs, "d", "k1", "own_spans")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
-    own = docs.drop("spans", "kept", "n_bytes").withColumns({"__d": key[0], "__k1": key[1]})
-    marked = own.join(spans.select(F.col("d").alias("__d"), F.col("k1").alias("__k1"), "spans"), ["__d", "__k1"], "left").drop("__d", "__k1")
-    empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    n = F.length(data)
-    marked = marked.withColumns({"spans": F.coalesce("spans", empty), "n_bytes": n.cast("long")})
-    return marked.withColumn("kept", F.when(F.size("spans") == 0, data).otherwise(_pieces(data)))
+    found = spans.select(F.col("d").alias(d), F.col("k1").alias(k1), F.col("spans").alias(own_spans))
+    marked = docs.drop(*names).withColumns({d: key[0], k1: key[1]}).join(found, [d, k1], "left").drop(d, k1)
+    listed = F.coalesce(F.col(own_spans), F.array().cast("array<struct<start: bigint, end: bigint>>"))
+    if least_words:
+        listed = F.filter(listed, lambda s: _words_in(data, s) >= least_words)
+    marked = marked.withColumns({taken: listed, n_bytes: F.length(data).cast("long")}).drop(own_spans)
+    return marked.withColumn(kept, F.when(F.size(taken) == 0, data).otherwise(_pieces(data, F.col(taken), F.col(n_bytes))))
+
 
+def _words_in(data: Column, span: Column) -> Column:
+    inside = F.substring(data, span["start"].cast("int") + 1, (span["end"] - span["start"]).cast("int"))
+    return F.size(F.filter(F.split(F.make_valid_utf8(inside.cast("string")), "[\\x20\\x09-\\x0D]+"), lambda word: word != ""))
 
-def _pieces(data):
+
+def _pieces(data: Column, spans: Column, n_bytes: Column) -> Column:
     """The bytes between the spans, joined."""
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.col("n_bytes")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(n_bytes))
     between = F.transform(F.arrays_zip(starts.alias("x"), ends.alias("y")), lambda z: F.hex(F.substring(data, z["x"].cast("int") + 1, (z["y"] - z["x"]).cast("int"))))
     return F.unhex(F.array_join(between, ""))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of `docs`, and spans, kept and n_bytes as in `cut`, with every repeated byte string of `length` removed."""
-    return cut(docs, repeated_spans(docs, length))
+def remove_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0, names: Sequence[str] = NAMES) -> DataFrame:
+    """All columns of `docs`, and what `cut` adds, with every repeated byte string of `length` removed."""
+    return cut(docs, repeated_spans(docs, length), least_words, names)
+
+
+def readable(kept: Column) -> Column:
+    """Remaining bytes as text; bytes of a character that was cut through go, and so do replacement characters."""
+    return F.translate(F.make_valid_utf8(kept.cast("string")), "\ufffd", "")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; null and empty texts have zeros and the hash of no bytes.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left) of every row; null and empty texts have zeros
+    and the hash of no bytes.
 
-    Repeated rows are occurrences of their own, so each removes the other if it has `length` bytes.
+    Repeated rows are occurrences of their own, so each removes the other if it has `length` bytes. A very long text is cut into runs like any
+    other, but its own bytes are held by one task.
     """
     return remove_repeats(docs, length).select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -289,4 +310,5 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        readable(F.col("kept")).alias("text"),
     )

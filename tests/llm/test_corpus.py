@@ -112,7 +112,7 @@ def test_interval_expansion_against_counting():
             assert flags.tolist() == [count[text[i : i + length]] > 1 for i in range(len(text) - length + 1)]
 
 
-def plain_removal(rows, length):
+def plain_removal(rows, length, least_words=0):
     texts = [(t or "").encode() for _, t in rows]
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
@@ -121,6 +121,15 @@ def plain_removal(rows, length):
         for i in range(len(text) - length + 1):
             if count[text[i : i + length]] > 1:
                 covered[i : i + length] = b"\x01" * length
+        if least_words:
+            start = None
+            for i, c in enumerate([*covered, 0]):
+                if c and start is None:
+                    start = i
+                elif not c and start is not None:
+                    if len(text[start:i].split()) < least_words:
+                        covered[start:i] = bytes(i - start)
+                    start = None
         spans = sum(c and not (i and covered[i - 1]) for i, c in enumerate(covered))
         kept = bytes(b for b, c in zip(text, covered) if not c)
         out.append((doc_id, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
@@ -137,13 +146,13 @@ def test_repeats_against_counting(spark, group, monkeypatch):
         parts = [random.choice(passages)[random.randint(0, 30) : random.randint(50, 90)] + "".join(random.choice("xyz") for _ in range(random.randint(0, 30))) for _ in range(random.randint(0, 4))]
         rows.append((i if i % 11 else None, "".join(parts) if i % 13 else None))
     rows += rows[:5] + [(100, "a" * 200), (101, ""), (102, rows[3][1])]
-    got = [tuple(r) for r in suffix_array_dedup.digests(spark.createDataFrame(rows, DOC), 40).collect()]
+    got = [tuple(r)[:5] for r in suffix_array_dedup.digests(spark.createDataFrame(rows, DOC), 40).collect()]
     assert sorted(got, key=str) == plain_removal(rows, 40)
 
 
 def test_repeats_hard_rows(hard_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in hard_docs.collect()]
-    got = [tuple(r) for r in suffix_array_dedup.digests(hard_docs).collect()]
+    got = [tuple(r)[:5] for r in suffix_array_dedup.digests(hard_docs).collect()]
     assert sorted(got, key=str) == plain_removal(rows, 400)
     assert suffix_array_dedup.digests(no_docs).collect() == []
 
@@ -333,10 +342,38 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     spark.createDataFrame([(1, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(out) == [*range(8), 20, 21]
-    removed = {d[0]: d for d in plain_removal([(r[0], r[1]) for r in rows if r[0] in out], 400)}
+    removed = {d[0]: d for d in plain_removal([(r[0], r[1]) for r in rows if r[0] in out], corpus_pipeline.REPEATED_BYTES, corpus_pipeline.REPEATED_WORDS)}
     assert all(out[i]["decoded_sha256"] == removed[i][4] for i in out) and removed[20][2] > 400
 
 
+def test_pipeline_removes_passages_and_leaves_lines(spark):
+    """Passages of 51 and more words go, whatever their bytes above 200; shorter repeated lines and clean texts stay; clashing columns too."""
+    random.seed(14)
+
+    def text(n):
+        return " ".join(random.choice("abcdefghijklmnop") + random.choice(["en", "ar", "ion", "est", "a"]) + random.choice("bcdfgh") for _ in range(n))
+
+    passages = [text(n) for n in (51, 55, 60, 90, 200)]
+    line = text(45)
+    rows = [(10 * k + i, f"{text(30)} {p} {text(30)}") for k, p in enumerate(passages) for i in range(4)]
+    rows += [(100 + i, f"{text(40)}\n{line}\n{text(40)}") for i in range(5)] + [(200 + i, text(300)) for i in range(10)]
+    docs = spark.createDataFrame(rows, DOC).withColumns({n: F.lit(n) for n in ("spans", "kept", "n_bytes", "d", "k1", "own_spans", "kept_id", "text_key")})
+    out = corpus_pipeline.repeats(spark, docs, "")
+    assert out.columns == docs.columns and {r["kept"] for r in out.collect()} == {"kept"}
+    left, before = {r["doc_id"]: r["text"] for r in out.collect()}, dict(rows)
+    assert all(left[i] == before[i] for i in before if i >= 100)
+    assert all(passages[i // 10][3:-3] not in left[i] and len(left[i].split()) in (59, 60, 61) for i in before if i < 100)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    assert corpus_pipeline.contamination.__doc__
+
+
+def test_one_of_each_keeps_clashing_columns(spark, hard_docs):
+    named = hard_docs.withColumns({n: F.lit(n) for n in ("__key", "__kept", "__fp", "__own", "text_key", "kept_id", "KEPT_FP", "own_fp")})
+    kept = simhash_dedup.one_of_each(named)
+    assert kept.columns == named.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 7, 8, 9, 10]
+
+
 def test_pipeline_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
