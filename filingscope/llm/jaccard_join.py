@@ -375,7 +375,8 @@ def similar_groups(docs: DataFrame, width: int = WORDS, num: int = NUM, den: int
     grouped = keyed.select("key", "n").join(groups, "key")
     sizes = grouped.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_GRAMS)).alias("parts"))
     sized = saved(grouped.join(sizes, "group").select("key", "group", "parts"))
-    sets = written(_grams_of(docs, sized, width).join(sized, "key"))
+    # Both sides grow with the input, so the join is a shuffle at every size.
+    sets = written(_grams_of(docs, sized, width).join(sized.hint("merge"), "key"))
     found = written(_linked(sets.where("parts = 1").select("key", F.col("key").alias("class"), F.col("group").alias("task"), "grams"), num, den))
     if sized.where("parts > 1").limit(1).count():
         large = saved(sets.where("parts > 1").dropDuplicates(["key"]))
