@@ -281,6 +281,69 @@ def test_suffix_tree_is_a_distribution(spark):
     assert scored[words.index("d")] > scored[words.index("x")] > scored[words.index("never")]
 
 
+def plain_suffix_scores(rows, depth, least, discount, divergence):
+    """Scores by a suffix tree in dictionaries; rows are (doc_id, text, learn)."""
+    import math
+
+    cut = lambda t: [*(t or "").lower().split(), ""]
+    learnt = [cut(t) for _, t, learn in rows if learn]
+    counts = Counter(tuple(w[i : i + n]) for w in learnt for n in range(1, depth + 2) for i in range(len(w) - n + 1))
+    total, distinct = sum(len(w) for w in learnt), len({x for w in learnt for x in w})
+    mass = total + 0.1 * (distinct + 1)
+    root = lambda w: (counts.get((w,), 0) + 0.1) / mass
+    p = {s: root(s[0]) for s, n in counts.items() if len(s) == 1 and n >= least}
+    rest = {}  # of kept contexts
+    for d in range(1, depth + 1):
+        seen = {}
+        for s, n in counts.items():
+            if len(s) == d + 1 and n >= least:
+                seen.setdefault(s[:-1], []).append(s)
+        for context, own in seen.items():
+            times = counts[context]
+            free = max(1e-12, 1 - sum((counts[s] - discount) / times for s in own))
+            left = max(0.0, 1 - sum(p[s[1:]] for s in own))
+            smooth = {s: (counts[s] - discount) / times + free * p[s[1:]] for s in own}
+            won = sum(q * math.log(q / p[s[1:]]) for s, q in smooth.items()) + free * left * math.log(free)
+            if times * won > divergence:
+                rest[context] = free
+            p.update(smooth if context in rest else {s: p[s[1:]] for s in own})
+
+    def prob(context, word):
+        s = (*context, word)
+        if not context:
+            return root(word)
+        if s in p:
+            return p[s]
+        return rest.get(context, 1.0) * prob(context[1:], word)
+
+    return [sum(math.log10(prob(tuple(w[max(0, i - depth) : i]), w[i])) for i in range(len(w))) for w in (cut(t) for _, t, _ in rows)]
+
+
+def test_suffix_tree_against_a_plain_one(spark):
+    random.seed(23)
+    rows = [(i, " ".join(random.choice(["a b c d", "a b c e", "x y", "Q", f"r{i % 9} s t", "u"]) for _ in range(random.randint(0, 25))) if i % 17 else None, i % 4 > 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.scored(docs.select("doc_id", "text"), F.col("doc_id") % 4 > 0).collect()}
+    want = plain_suffix_scores(rows, suffix_tree_lm.DEPTH, suffix_tree_lm.LEAST, suffix_tree_lm.DISCOUNT, suffix_tree_lm.DIVERGENCE)
+    assert [got[i] for i, _, _ in rows] == pytest.approx(want, abs=1e-9)
+
+
+def test_packed_counts(spark):
+    from filingscope.llm import packed
+
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 1), (1, 1 << 60), (5000, 400), (5000, 1 << 63), (70000, 1 << 40)):
+        keys = np.unique(rng.integers(0, top, n).astype(np.uint64))
+        counts = rng.integers(1, 400, len(keys))
+        back = packed.unpack(packed.pack(keys, counts))
+        assert (back[0] == keys).all() and (back[1] == counts).all()
+    values = [[random.choice([random.getrandbits(63) - (1 << 62), random.randrange(50), -7]) for _ in range(random.randint(0, 200))] for _ in range(30)]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<long>").repartition(5)
+    for expected in (1, 100_000_000):
+        got = packed.counted(rows, lambda b: b.column(0).flatten().to_numpy(zero_copy_only=False), expected, 2)
+        assert {r["key"]: r["n"] for r in got.collect()} == {k: n for k, n in Counter(x for v in values for x in v).items() if n >= 2}
+
+
 def test_suffix_tree_scores_do_not_depend_on_shares(spark, monkeypatch):
     """A context that occurs often enough counts, however small its share of the corpus is."""
     random.seed(11)
