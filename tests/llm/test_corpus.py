@@ -251,6 +251,74 @@ def test_chains_against_all_predecessors():
         assert abs(gain - plain_chain(x, r)) < 1e-9
 
 
+def test_fenwick_reach_against_all_places():
+    random.seed(31)
+    reach, items = substring_chaining._Reach(), []
+    for i in range(400):
+        r = random.randrange(200)
+        best = max((v for p, v in items if r - substring_chaining.LARGEST_GAP <= p < r), default=None)
+        assert reach.best(r) == best
+        items.append((r, (random.random(), i)))
+        reach.put(*items[-1])
+
+
+def test_a_passage_whose_phrases_are_in_earlier_texts(spark):
+    """Sixteen earlier texts hold eight words each of an 80-word passage; two later ones share all of it, one with single words changed."""
+    random.seed(33)
+
+    def text(n):
+        return [f"w{random.randrange(10**6)}" for _ in range(n)]
+
+    passage = text(80)
+    rows = [(i, " ".join(text(30) + passage[5 * i : 5 * i + 8] + text(30))) for i in range(15)]
+    changed = [f"v{i}" if i % 7 == 6 else w for i, w in enumerate(passage)]
+    rows += [(100, " ".join(text(20) + passage + text(20))), (101, " ".join(text(40) + passage + text(10))), (102, " ".join(text(10) + changed + text(20)))]
+    found = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in substring_chaining.passages(spark.createDataFrame(rows, DOC)).collect()}
+    assert set(found) == {100, 101, 102}
+    for doc_id, start in ((100, 20), (101, 40), (102, 10)):
+        assert found[doc_id][0] <= start + 7 and found[doc_id][1] >= start + 73
+
+
+def agreeing(a, b):
+    """Places of stretches of 50 words or more of either text that agree to 80 % with the other one, word for word."""
+    out = set()
+    for shift in range(-len(b) + 1, len(a)):
+        lo, hi = max(0, shift), min(len(a), len(b) + shift)
+        equal = np.array([a[i] == b[i - shift] for i in range(lo, hi)], int)
+        if len(equal) < 50:
+            continue
+        sums = np.cumsum(np.r_[0, equal])
+        for i in range(len(equal) - 49):
+            if equal[i] and equal[i + 49] and sums[i + 50] - sums[i] >= 40:
+                out |= set(range(lo + i, lo + i + 50))
+    return out
+
+
+def test_passages_against_all_pairs(spark):
+    """Texts that share passages with words replaced, at random places or evenly spread: recall and precision by words."""
+    random.seed(35)
+
+    def text(n):
+        return [f"w{random.randrange(3000)}" for _ in range(n)]
+
+    sources, rows = [text(70) for _ in range(6)], []
+    for i in range(30):
+        words = text(random.randint(5, 40))
+        own = list(random.choice(sources))
+        for at in random.choice([[], range(5, 70, 6), random.sample(range(70), 8)]):
+            own[at] = f"x{random.randrange(10**6)}"
+        rows.append((i, " ".join(words + own + text(random.randint(5, 40)))))
+    found = {}
+    for r in substring_chaining.passages(spark.createDataFrame(rows, DOC)).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    split, wanted = [t.split() for _, t in rows], {}
+    for i, a in enumerate(split):
+        wanted[i] = set().union(*(agreeing(a, b) for j, b in enumerate(split) if j != i))
+    hit = sum(len(found.get(i, set()) & w) for i, w in wanted.items())
+    assert hit >= 0.9 * sum(map(len, wanted.values())) > 1000
+    assert hit >= 0.85 * sum(map(len, found.values()))
+
+
 def test_a_long_chain_does_not_hide_nearer_matches():
     """Two passages of the same texts, too far apart for one chain, are a chain each."""
     x = np.r_[np.arange(0, 120, 5), np.arange(160, 190, 5)]
