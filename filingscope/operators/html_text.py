@@ -1,4 +1,4 @@
-"""HTML filings to plain text: one projection of native column expressions, no shuffle.
+"""HTML filings to plain text: a projection of native column expressions and one scan for nested empty elements, no shuffle.
 
 Every step takes and returns a text column, so steps can be used alone. Each pattern starts with a
 case-sensitive sign or a small class, so that the search passes over ordinary text quickly; `[^>]`
@@ -8,13 +8,21 @@ rescans a long run of blanks.
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filingscope.functions.text import S, let, lines, lstrip, rstrip, strip, sub, unlines, with_once
 
+# Ship the scan with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A tag is recognised at a line's end if its "<" lies in the last 300 characters.
 TAG_WINDOW = 300
 DOCUMENT_START = "<SEC-DOCUMENT>"
@@ -71,7 +79,8 @@ TAG_IN_TAG = r"<[^<>]*+<"
 XBRLI_BLOCK = (r"<(?iu:xbrli:(NAMES)[^>]*>(?s:.*?)</xbrli:\1)>", "")
 XBRLI_CLOSING = r"</(?iu:xbrli:([a-zA-Z0-9_:]+))>"
 EMPTY_ELEMENT = rf"<(?iu:p>{S}*+</p|div>{S}*+</div)>"
-EMPTY_ELEMENT_END = r"</(?iu:p|div)>"
+SHALLOW = 4  # levels of empty elements that are removed round by round
+ELEMENT_TAG = re.compile(r"</?(?:p|div)>", re.IGNORECASE)
 PARAGRAPH = (r"<(?iu:p)[^>\n]*>", "\n$0")
 ANY_TAG = (r"<[^>\n]*>", "")
 NUMERIC_ENTITY = (r"&#(?:\p{Nd}{1,8}|[xX][0-9A-Fa-f]{1,8});", "")
@@ -222,17 +231,38 @@ def drop_xbrli_blocks(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(XBRLI_CLOSING)), let(longest_first, drop)).otherwise(text)
 
 
-def drop_empty_elements(text: Column) -> Column:
-    """Remove empty p and div elements until none is left, however deep they nest.
-
-    Two matches never overlap, so the result does not depend on the order of removal and both tags
-    can go in one pass. Each round that changes something removes a closing tag, so their
-    number bounds the rounds; once a round changes nothing the rest only pass the state on. Texts
-    without an empty element pay for one search.
-    """
-    rounds = let(text, lambda t: F.when(
-        F.rlike(t, F.lit(EMPTY_ELEMENT)), F.sequence(F.lit(1), F.regexp_count(t, F.lit(EMPTY_ELEMENT_END)))
-    ).otherwise(F.array().cast("array<int>")))
+def without_empty_elements(text: str) -> str:
+    """One scan: an opening tag waits as long as only blanks and removed elements follow it; its closing tag then takes it away."""
+    out: list[str] = []
+    waiting: list[tuple[int, str]] = []  # place in `out` and kind of opening tags
+    at = 0
+    for tag in ELEMENT_TAG.finditer(text):
+        between = text[at : tag.start()]
+        at = tag.end()
+        if between:
+            out.append(between)
+            if not between.isspace():
+                waiting.clear()
+        mark = tag.group()
+        kind = "p" if len(mark.strip("</>")) == 1 else "div"
+        if mark[1] != "/":
+            waiting.append((len(out), kind))
+            out.append(mark)
+        elif waiting and waiting[-1][1] == kind:
+            del out[waiting.pop()[0] :]
+        else:
+            out.append(mark)
+            waiting.clear()
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def _scanned(texts: pd.Series) -> pd.Series:
+    return texts.map(without_empty_elements, na_action="ignore")
+
+
+def drop_shallow_elements(text: Column) -> Column:
+    """The text after up to SHALLOW rounds of removing empty elements; a text without one pays for one search."""
 
     def one_round(state: Column, _: Column) -> Column:
         changed = let(
@@ -241,8 +271,18 @@ def drop_empty_elements(text: Column) -> Column:
         )
         return F.when(state["done"], state).otherwise(changed)
 
-    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
-    return F.aggregate(rounds, start, one_round, lambda state: state["text"])
+    rounds = F.when(F.rlike(text, F.lit(EMPTY_ELEMENT)), F.sequence(F.lit(1), F.lit(SHALLOW))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, F.struct(text.alias("text"), F.lit(False).alias("done")), one_round, lambda state: state["text"])
+
+
+def drop_empty_elements(text: Column) -> Column:
+    """Remove empty p and div elements until none is left, however deep they nest.
+
+    Two matches never overlap, so the result does not depend on the order of removal. In the chain ordinary texts are done after a few
+    native rounds; what nests deeper is scanned once with a stack, which no built-in function can keep.
+    """
+    found = F.rlike(text, F.lit(EMPTY_ELEMENT))
+    return F.when(found, _scanned(F.when(found, text))).otherwise(text)
 
 
 def break_before_paragraphs(text: Column) -> Column:
@@ -303,6 +343,7 @@ CLEANING_STEPS = (
     blank_three_digit_references,
     unwrap_tags,
     drop_xbrli_blocks,
+    drop_shallow_elements,
     drop_empty_elements,
     break_before_paragraphs,
     strip_tags,
