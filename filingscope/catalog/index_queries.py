@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from filingscope.catalog.registry import derived, query
@@ -12,7 +10,7 @@ from filingscope.functions.ordered import stored
 from filingscope.operators import audit
 from filingscope.plans.study import Study
 from filingscope.schemas import RETURNS
-from filingscope.session import shared_folder
+from filingscope.session import work_folder
 from filingscope.sources import filings, index, tables
 
 derived(
@@ -391,14 +389,9 @@ query(
 )
 
 
-def _folder(t, name: str) -> str:
-    """A new folder that all executors reach."""
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _read_quarters(t):
     """Index files written as text, one of each month, and read in one go."""
-    folder = _folder(t, "index")
+    folder = work_folder(t.spark)
     t["month_files"].repartition("source_file").write.partitionBy("source_file").option("lineSep", "\n").text(folder)
     files = index.read_index_files(t.spark, folder)
     return index.parse_index(files).drop("source_file")
@@ -438,7 +431,7 @@ derived(
 
 def _landed_and_read(t):
     """Whole documents landed as a tree of submissions and read back."""
-    folder = _folder(t, "html")
+    folder = work_folder(t.spark)
     filings.write_filings(t["submissions"], f"file:{folder}" if folder.startswith("/") else folder)
     return filings.read_filings(t.spark, folder).select("cik", "form", "accession", F.md5(F.col("body")).alias("digest"))
 
@@ -455,7 +448,7 @@ derived(
 
 
 def _written_csv(t):
-    folder = _folder(t, "returns")
+    folder = work_folder(t.spark)
     tables.write_csv(t["return_rows"], folder)
     return tables.read_csv(t.spark, folder, RETURNS)
 
@@ -465,7 +458,7 @@ query("s7_csv_written", _written_csv, "SELECT * FROM {return_rows}")
 
 def _cleaned(t):
     """The study's cleaning stage over landed documents, read back with its declared schema."""
-    study = Study(t.spark, _folder(t, "study"))
+    study = Study(t.spark, work_folder(t.spark))
     raw = t["submissions"].withColumn("form", F.lit("10-K")).withColumn("path", F.col("accession"))
     marked = raw.withColumn("body", F.concat(F.lit("<html><body><p>"), F.translate("body", "<>&\r\xa0", ""), F.lit("</p></body></html>")))
     return study.clean(marked).select("cik", "accession", F.length(F.regexp_replace("text", r"[^A-Za-z0-9]", "")).alias("n"), F.col("filed_date").isNull().alias("undated"))
@@ -480,7 +473,7 @@ query(
 
 def _items_written(t):
     """Items written with one folder for each label; only that of the asked label is read."""
-    folder = _folder(t, "items")
+    folder = work_folder(t.spark)
     tables.write_sections(t["labelled_items"], folder)
     return t.spark.read.schema("cik STRING, accession STRING, text STRING, item_n STRING").parquet(folder).filter("item_n = '1A'")
 

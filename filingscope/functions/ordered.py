@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from filingscope.session import shared_folder
+from filingscope.session import work_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: later jobs neither recompute it nor need the executors that made it."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = work_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 SESSION_DEFAULTS = {
@@ -28,6 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the one all executors can reach, for a table that lasts as long as the driver.
+
+    A local session without spark.checkpoint.dir uses its warehouse folder. Everything a driver has put there is deleted when it ends.
+    """
+    context = spark.sparkContext
+    base = getattr(context, "_filingscope_work", None)
+    if base is None:
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        root = spark.conf.get("spark.sql.warehouse.dir") if local and not spark.conf.get("spark.checkpoint.dir", None) else shared_folder(spark)
+        base = f"{root.rstrip('/')}/filingscope-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._filingscope_work = base
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
