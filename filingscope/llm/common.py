@@ -6,7 +6,6 @@ Every operator selects the columns it needs by name, so further columns of its i
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from filingscope.session import work_folder
+
 # Rows of one Arrow batch: texts are some KB in general and some MB at worst.
 BATCH_ROWS = 512
 
@@ -55,20 +56,11 @@ def shared(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(value)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors reach: below spark.checkpoint.dir, or a local one in a local session without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.gettempdir()
-        if spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: later jobs neither recompute it nor need its executors."""
+    """Write a table to the shared folder and read it back: later jobs neither recompute it nor need its executors.
+
+    It is deleted when the driver ends.
+    """
     path = work_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -83,7 +83,9 @@ def profiles(docs: DataFrame, length: int = PROFILE_LENGTH) -> DataFrame:
     known = docs.select("lang", "text").where("lang is not null and text is not null")
     counts = map_batches(known, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(by_count) - 1).where(F.col("rank") < length).select("lang", "gram", "rank")
+    # The filter is on the row number itself: so Spark drops what is no candidate before the shuffle to one task for each language.
+    first = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= length)
+    return first.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def fit(docs: DataFrame, length: int = PROFILE_LENGTH) -> dict[str, list[int]]:
@@ -120,7 +122,8 @@ def predict(docs: DataFrame, model: dict[str, list[int]], length: int = PROFILE_
     """doc_id, lang_pred and score of every row.
 
     The score is 1 less the distance as a share of the largest possible. Texts that are null or have no letter, and all texts if
-    there is no profile, are `und` with score 0. Equally near languages: the first by name. Repeated rows are scored each.
+    there is no profile, are `und` with score 0. Equally near languages: the first by name. Repeated rows are scored each. A very long text is
+    counted whole by one task. Other columns are not read.
     """
     sent = shared(docs.sparkSession, _Nearest(model, length))
 

@@ -82,6 +82,27 @@ def test_language_profiles_rank_by_frequency_and_code(spark):
     assert {r["lang"] for r in rows} == {"en"}
 
 
+def test_language_by_out_of_place_distance(spark):
+    """Ranks and distances by dictionaries; candidates are cut before the shuffle."""
+    random.seed(41)
+    rows = [(i, " ".join(random.choice(words) for _ in range(random.randint(1, 40))), lang) for i, (lang, words) in enumerate([("xx", ["abra", "cad", "bra"]), ("yy", ["zot", "kip", "abr"])] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where("doc_id < 20"), 30)
+
+    def order(counts):
+        return [g for g, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))][:30]
+
+    profiles = {lang: order(Counter(g for i, t, own in rows if own == lang and i < 20 for g in language_id.grams(t).tolist())) for lang in ("xx", "yy")}
+    assert model == profiles
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model, 30).collect()}
+    for i, text, _ in rows:
+        own = order(Counter(language_id.grams(text).tolist()))
+        apart = {lang: sum(abs(own.index(g) - p.index(g)) if g in p else 30 for g in own) for lang, p in profiles.items()}
+        best = min(apart, key=lambda lang: (apart[lang], lang))
+        assert got[i][0] == best and abs(got[i][1] - (1 - apart[best] / (30 * len(own)))) < 1e-12
+    assert "WindowGroupLimit" in language_id.profiles(docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_language_hard_rows(hard_docs, no_docs):
     model = language_id.fit(hard_docs.where("doc_id in (1, 2)"))
     got = {r["doc_id"]: r for r in language_id.predict(hard_docs, model).where("doc_id is not null").collect()}
