@@ -101,7 +101,8 @@ def holds(rule: tuple[Condition, ...]) -> Column:
 def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Rules:
     """Rules from rows of `stats` with a label; labels has doc_id and quality (0 or 1, others and null left out).
 
-    Without rows, or with one class only, the score is a constant: the smoothed share of class 1.
+    Without rows, or with one class only, the score is a constant: the smoothed share of class 1. A repeated document or label counts
+    each time they meet, other labels of the same document too. Equal cuts and weights are what the forest and the lasso make of them.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label")).where("label in (0, 1)")
     rows = stats.join(known, "doc_id")

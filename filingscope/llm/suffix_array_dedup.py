@@ -33,7 +33,7 @@ GRAM = 32
 GROUP_RUNS = 512
 
 # Bytes put into one suffix order, a group at least.
-ORDER_BYTES = 700_000
+ORDER_BYTES = 250_000
 
 # Parts of an offset range in one round of division.
 DIVISION = 4

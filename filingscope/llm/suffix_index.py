@@ -6,16 +6,19 @@ import numpy as np
 
 
 def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the suffixes in order, and the place of each start. Symbols are below 50,000; no two suffixes are equal."""
-    n, base = len(symbols), np.int64(symbols.max()) + 2
-    padded = np.concatenate([symbols + 1, np.zeros(4, np.int64)])
-    key = ((padded[:n] * base + padded[1 : n + 1]) * base + padded[2 : n + 2]) * base + padded[3 : n + 3]
-    order = np.argsort(key, kind="stable")
+    """Starts of the suffixes in order, and the place of each start. No two suffixes are equal."""
+    n, base = len(symbols), int(symbols.max()) + 2
+    known = max(1, int(62 / np.log2(base)))  # symbols that one number holds
+    padded = np.concatenate([symbols + 1, np.zeros(known, np.int64)])
+    key = padded[:n].copy()
+    for k in range(1, known):
+        key *= base
+        key += padded[k : n + k]
+    order = np.argsort(key)
     first = np.r_[True, key[order][1:] != key[order][:-1]]
     starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = starts
-    known = 4
     while True:
         alone = first & np.r_[first[1:], True]
         tied = np.flatnonzero(~alone)
@@ -25,7 +28,7 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         behind = sub + known
         further = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
         key = rank[sub] << 32 | further
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         sub, key = sub[by], key[by]
         order[tied] = sub
         new = np.r_[True, key[1:] != key[:-1]]
