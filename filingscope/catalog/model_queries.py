@@ -320,3 +320,16 @@ query(
     + """ SELECT count(*) AS rows, count(oob_pred) AS oob_rows, round(1 - sum((ret_18 - oob_pred) ** 2)
       / (var_pop(ret_18) FILTER (oob_pred IS NOT NULL) * count(oob_pred)), 6) AS oob_r2 FROM scored WHERE NOT is_test""",
 )
+
+
+def _order_facts(t):
+    """Importances fall from place to place, and places count up from 1 without a gap."""
+    pairs = F.array_sort(F.collect_list(F.struct("place", "importance")))
+    return _tree_importances(t).agg(
+        F.count("*").alias("features"),
+        (F.transform(pairs, lambda p: p["importance"]) == F.sort_array(F.collect_list("importance"), asc=False)).alias("descending"),
+        (F.sort_array(F.collect_list("place")) == F.sequence(F.lit(1), F.count("*").cast("int"))).alias("placed"),
+    )
+
+
+query("o3_order_facts", _order_facts, f"SELECT {len(models.REGRESSION_FEATURES)} AS features, TRUE AS descending, TRUE AS placed")

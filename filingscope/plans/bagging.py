@@ -9,12 +9,14 @@ at most trees * 2 ** depth rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, factorial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from filingscope.operators.panel import complete_cases
 from filingscope.operators.quantiles import exact_quantiles
 from filingscope.plans import models
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BINS = 32
 UNITS = 1_000_000  # of a label
 BATCH_ROWS = 2048
@@ -45,6 +49,17 @@ def _bins(values: Column, edges: list[float]) -> Column:
     return sum((F.when(values > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("byte")
 
 
+def nodes(feature: np.ndarray, cut: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each row (rows of bin numbers) in each tree, `depth` levels down at most."""
+    at = np.zeros((len(bins), len(feature)), np.int64)
+    tree, row = np.arange(len(feature))[None, :], np.arange(len(bins))[:, None]
+    for _ in range(depth):
+        own = feature[tree, at]
+        right = bins[row, np.maximum(own, 0)] > cut[tree, at]
+        at = np.where(own >= 0, 2 * at + 1 + right, at)
+    return at
+
+
 @dataclass
 class BaggedForest:
     """Nodes are numbered from the root, 0; the children of n are 2 n + 1 and 2 n + 2. `feature` is -1 at a leaf."""
@@ -62,28 +77,19 @@ class BaggedForest:
     def trees(self) -> int:
         return len(self.feature)
 
-    def nodes(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        """The node of each row (rows of bin numbers) in each tree, `depth` levels down at most."""
-        at = np.zeros((len(bins), self.trees), np.int64)
-        tree, row = np.arange(self.trees)[None, :], np.arange(len(bins))[:, None]
-        for _ in range(depth):
-            feature = self.feature[tree, at]
-            right = bins[row, np.maximum(feature, 0)] > self.cut[tree, at]
-            at = np.where(feature >= 0, 2 * at + 1 + right, at)
-        return at
-
     def binned(self, rows: DataFrame) -> Column:
         return F.array(*[_bins(F.col(name).cast("double"), e) for name, e in zip(self.features, self.edges)])
 
     def score(self, rows: DataFrame, key: Column) -> DataFrame:
         """Complete rows with y_pred, and for training rows oob_trees and oob_pred, from the trees whose bag lacks the row."""
-        forest, columns = self, rows.columns
+        # Workers get arrays only, so they need no copy of this package.
+        feature, cut, value, depth, columns = self.feature, self.cut, self.value, self.depth, rows.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = np.arange(forest.trees)[None, :]
-            for batch in batches:
+            tree = np.arange(len(feature))[None, :]
+            for batch in _slices(batches):
                 bins, bags = (_matrix(batch.column(name)) for name in ("_bins", "_bag"))
-                values = forest.value[tree, forest.nodes(bins, forest.depth)]
+                values = value[tree, nodes(feature, cut, bins, depth)]
                 unseen = (bags == 0) & ~np.asarray(batch.column("is_test").to_numpy(zero_copy_only=False), bool)[:, None]
                 n = unseen.sum(1)
                 mean = np.divide((values * unseen).sum(1), n, out=np.full(len(n), np.nan), where=n > 0)
@@ -97,6 +103,13 @@ class BaggedForest:
         return ready.mapInArrow(run, schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of BATCH_ROWS rows at most: a row takes some kilobytes for all trees."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
+
+
 def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.int64)
 
@@ -104,14 +117,14 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 def _counts(rows: DataFrame, forest: BaggedForest, level: int) -> DataFrame:
     """tree, node, f, b, n (different rows), w (with repeats) and s (their labels) of the nodes of a level."""
     first, width = 2**level - 1, 2**level
+    feature, cut, features, trees = forest.feature, forest.cut, len(forest.features), forest.trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, trees = len(forest.features), forest.trees
         shape = (features, trees, width, BINS)
         sums = np.zeros((3, *shape), np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             bins, bags, y = _matrix(batch.column(0)), _matrix(batch.column(1)), batch.column(2).to_numpy()
-            at = forest.nodes(bins, level)
+            at = nodes(feature, cut, bins, level)
             row, tree = np.nonzero((bags > 0) & (at >= first))
             weight, node = bags[row, tree], at[row, tree] - first
             cell = (tree * width + node) * BINS

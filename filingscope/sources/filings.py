@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 from filingscope.functions.dates import accession_year, normalise_cik
 from filingscope.functions.ordered import latest_per_key, stored
 
+# Ship the writer with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREE_KEYS = r"([^/]+)/([^/]+)/([^/]+)/[^/]+$"
 # The study's first filing date and year, and filings kept per filer.
 START_DATE = "2006-01-01"
