@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.llm.common import free_names, map_batches, saved
+from filingscope.llm.common import free_names, map_batches, written
 from filingscope.llm.suffix_index import shared_starts
 
 LENGTH = 400
@@ -170,20 +170,20 @@ def _repeats_in_groups(parts: DataFrame, length: int) -> DataFrame:
 def _repeated_windows(covered: DataFrame, length: int) -> DataFrame:
     """h, c1, c2, a, b: ranges of repeated windows of every different run, counted from the run's first window."""
     last = F.length("data") - length
-    different = saved(covered.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.first("data").alias("data"), F.first("off").alias("off")))
+    different = written(covered.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.first("data").alias("data"), F.first("off").alias("off")))
     ranges = [different.where("n > 1").select("h", "c1", "c2", F.lit(0).cast("long").alias("a"), last.cast("long").alias("b"))]
     zero = F.lit(0).cast("long")
     left = different.select("h", "c1", "c2", zero.alias("at"), F.col("h").alias("g"), zero.alias("lo"), F.lit(length - GRAM + 1).cast("long").alias("hi"), "off", "data")
     small = []
     while True:
-        sizes = saved(left.groupBy("g").agg(F.count("*").alias("runs")).where("runs > 1"))
-        sized = saved(left.join(sizes, "g"))
+        sizes = written(left.groupBy("g").agg(F.count("*").alias("runs")).where("runs > 1"))
+        sized = written(left.join(sizes, "g"))
         small.append(sized.where(F.col("runs") <= GROUP_RUNS).select(*PART))
         large = sized.where(F.col("runs") > GROUP_RUNS)
         if large.limit(1).count() == 0:
             break
-        cut = saved(_divided(large, length).withColumns({"p1": F.xxhash64("data"), "p2": F.xxhash64("data", F.lit(1))}))
-        equal = saved(cut.groupBy("g", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("h", "c1", "c2", "at")).alias("one")))
+        cut = written(_divided(large, length).withColumns({"p1": F.xxhash64("data"), "p2": F.xxhash64("data", F.lit(1))}))
+        equal = written(cut.groupBy("g", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("h", "c1", "c2", "at")).alias("one")))
         twice = cut.join(equal.where("n > 1").select("g", "p1", "p2"), ["g", "p1", "p2"], "left_semi")
         ranges.append(twice.select("h", "c1", "c2", F.col("at").alias("a"), (F.col("at") + last).cast("long").alias("b")))
         one = equal.select("g", "p1", "p2", "one.*")
@@ -215,17 +215,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeated as a whole if it has `length` bytes.
     """
     rows = _keyed(docs)
-    found = saved(_run_table(rows, length))
+    found = written(_run_table(rows, length))
     long_enough = found.where(F.size("runs") > 0).withColumn("bytes", F.get("runs", F.size("runs") - 1)["s1"] + length)
-    texts = saved(long_enough.groupBy("k1", "k2").agg(F.min("d").alias("d"), F.count("*").alias("copies"), F.max("bytes").alias("bytes")))
+    texts = written(long_enough.groupBy("k1", "k2").agg(F.min("d").alias("d"), F.count("*").alias("copies"), F.max("bytes").alias("bytes")))
     # Of each text one row stands for all; a text that several rows have is repeated as a whole.
     standing = found.where(F.size("runs") > 0).join(texts.select("d", "k1", "k2"), ["d", "k1", "k2"], "left_semi").dropDuplicates(["d", "k1", "k2"])
     each = standing.select("d", "k1", F.explode("runs").alias("r")).select("d", "k1", "r.*")
-    each = saved(each)
+    each = written(each)
     # Written, so that the join shuffles both sides itself and Spark can divide a gram with very many places.
-    twice = saved(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    twice = written(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     wanted = each.join(twice, "h", "left_semi").groupBy("d", "k1").agg(F.collect_list(F.struct("h", "s0", "s1", "p")).alias("own"))
-    covered = saved(_covered(rows, wanted, length))
+    covered = written(_covered(rows, wanted, length))
     ranges = _repeated_windows(covered.select("h", "c1", "c2", "off", "data"), length)
     places = covered.select("d", "k1", "h", "c1", "c2", "s0").join(ranges, ["h", "c1", "c2"])
     spans = places.select("d", "k1", (F.col("s0") + F.col("a")).alias("start"), (F.col("s0") + F.col("b") + length).alias("end"))
