@@ -356,12 +356,14 @@ def test_packed_counts(spark):
     for n, top in ((0, 1), (1, 1 << 60), (5000, 400), (5000, 1 << 63), (70000, 1 << 40)):
         keys = np.unique(rng.integers(0, top, n).astype(np.uint64))
         counts = rng.integers(1, 400, len(keys))
-        back = packed.unpack(packed.pack(keys, counts))
-        assert (back[0] == keys).all() and (back[1] == counts).all()
+        back = packed.unpack(packed.pack(keys, counts, counts - 7))
+        assert (back[0] == keys).all() and (back[1] == counts).all() and (back[2] == counts - 7).all()
     values = [[random.choice([random.getrandbits(63) - (1 << 62), random.randrange(50), -7]) for _ in range(random.randint(0, 200))] for _ in range(30)]
     rows = spark.createDataFrame([(v,) for v in values], "v array<long>").repartition(5)
     for expected in (1, 100_000_000):
         got = packed.counted(rows, lambda b: b.column(0).flatten().to_numpy(zero_copy_only=False), expected, 2)
+        valued = packed.counted(rows, lambda b: (v := b.column(0).flatten().to_numpy(zero_copy_only=False), v ^ 5), expected, 2, valued=True)
+        assert {(r["key"], r["n"]) for r in got.collect()} == {(r["key"], r["n"]) for r in valued.collect() if r["value"] == r["key"] ^ 5}
         assert {r["key"]: r["n"] for r in got.collect()} == {k: n for k, n in Counter(x for v in values for x in v).items() if n >= 2}
 
 
