@@ -12,7 +12,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, factorial
+from math import ceil, exp, factorial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from filingscope.functions.ordered import stored
+from filingscope.functions.ordered import dealt, stored
 from filingscope.operators.panel import complete_cases
 from filingscope.operators.quantiles import exact_quantiles
 from filingscope.plans import models
@@ -31,33 +31,49 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BINS = 32
 UNITS = 1_000_000  # of a label
 BATCH_ROWS = 2048
+# Trees that are counted together: what they need stays in a core's cache.
+BLOCK_TREES = 32
+# Rows that one task draws bags for.
+TASK_ROWS = 200_000
 
 # The chance of at most k copies of a row in a bag.
 AT_MOST = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(9)]
 
 
-def bag(key: Column, trees: int, seed: int = models.SEED) -> Column:
-    """How often a row is in the bag of each tree; 32 bits of a digest decide for one tree."""
-    digests = F.transform(F.sequence(F.lit(0), F.lit((trees - 1) // 4)), lambda i: F.md5(F.concat_ws("|", key.cast("string"), i.cast("string"), F.lit(str(seed)))))
-    parts = F.transform(digests, lambda d: F.array(*[F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("double") / float(2**32) for k in range(4)]))
-    u = F.slice(F.flatten(parts), 1, trees)
-    return F.transform(u, lambda x: sum((F.when(x >= p, 1).otherwise(0) for p in AT_MOST), F.lit(0)).cast("byte"))
+def digests(key: Column, trees: int, seed: int = models.SEED) -> Column:
+    """32 hexadecimal digits for every four trees: digests of key, block of trees and seed."""
+    return F.concat(*[F.md5(F.concat_ws("|", key.cast("string"), F.lit(f"{i}|{seed}"))) for i in range(-(-trees // 4))])
 
 
-def _bins(values: Column, edges: list[float]) -> Column:
-    """The number of edges below a value; a cut after bin b sends values up to edge b to the left."""
-    return sum((F.when(values > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("byte")
+def _bags(column: pa.Array, trees: int) -> np.ndarray:
+    """How often each row is in the bag of each tree (trees, rows): 32 bits of its digests decide for one tree."""
+    drawn = bytes.fromhex("".join(column.to_pylist()))
+    u = np.frombuffer(drawn, ">u4").reshape(len(column), -(-trees // 4) * 4)[:, :trees].T.astype(np.uint32, order="C")
+    out = np.zeros(u.shape, np.uint8)
+    for p in AT_MOST:
+        out += u >= ceil(p * 2**32)
+    return out
+
+
+def _bins(batch: pa.RecordBatch, features: list[str], edges: list[list[float]]) -> np.ndarray:
+    """The number of edges below each value (features, rows); a cut after bin b sends values up to edge b to the left."""
+    values = (batch.column(name).to_numpy(zero_copy_only=False) for name in features)
+    return np.array([np.searchsorted(e, x) for e, x in zip(edges, values)], np.uint8).reshape(len(features), -1)
 
 
 def nodes(feature: np.ndarray, cut: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
-    """The node of each row (rows of bin numbers) in each tree, `depth` levels down at most."""
-    at = np.zeros((len(bins), len(feature)), np.int64)
-    tree, row = np.arange(len(feature))[None, :], np.arange(len(bins))[:, None]
+    """The node of each row in each tree (trees, rows), `depth` levels down at most; `bins` is (features, rows)."""
+    trees, size = feature.shape
+    root, leaf = np.arange(trees)[:, None] * size, feature < 0
+    # Cells of a flat table, and the flat place of the left child: a leaf is its own left child and sends no row to the right.
+    left = (root + np.where(leaf, np.arange(size), 2 * np.arange(size) + 1)).ravel()
+    own, most = (np.maximum(feature, 0) * bins.shape[1]).ravel(), np.where(leaf, BINS, cut).astype(np.uint8).ravel()
+    flat, row, values = np.broadcast_to(root, (trees, bins.shape[1])), np.arange(bins.shape[1]), bins.ravel()
     for _ in range(depth):
-        own = feature[tree, at]
-        right = bins[row, np.maximum(own, 0)] > cut[tree, at]
-        at = np.where(own >= 0, 2 * at + 1 + right, at)
-    return at
+        right = values.take(own.take(flat) + row) > most.take(flat)
+        flat = left.take(flat)
+        flat += right
+    return flat - root
 
 
 @dataclass
@@ -77,26 +93,28 @@ class BaggedForest:
     def trees(self) -> int:
         return len(self.feature)
 
-    def binned(self, rows: DataFrame) -> Column:
-        return F.array(*[_bins(F.col(name).cast("double"), e) for name, e in zip(self.features, self.edges)])
-
     def score(self, rows: DataFrame, key: Column) -> DataFrame:
         """Complete rows with y_pred, and for training rows oob_trees and oob_pred, from the trees whose bag lacks the row."""
         # Workers get arrays only, so they need no copy of this package.
         feature, cut, value, depth, columns = self.feature, self.cut, self.value, self.depth, rows.columns
+        edges, inputs = self.edges, [f"_f{i}" for i in range(len(self.features))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = np.arange(len(feature))[None, :]
+            tree = np.arange(len(feature))[:, None]
             for batch in _slices(batches):
-                bins, bags = (_matrix(batch.column(name)) for name in ("_bins", "_bag"))
-                values = value[tree, nodes(feature, cut, bins, depth)]
-                unseen = (bags == 0) & ~np.asarray(batch.column("is_test").to_numpy(zero_copy_only=False), bool)[:, None]
-                n = unseen.sum(1)
-                mean = np.divide((values * unseen).sum(1), n, out=np.full(len(n), np.nan), where=n > 0)
-                added = [pa.array(values.mean(1)), pa.array(n.astype(np.int64)), pa.array(mean, mask=n == 0)]
+                values = value[tree, nodes(feature, cut, _bins(batch, inputs, edges), depth)]
+                drawn = batch.column("_digests")
+                unseen = np.zeros(values.shape, bool)
+                unseen[:, drawn.is_valid().to_numpy(zero_copy_only=False)] = _bags(drawn.drop_null(), len(feature)) == 0
+                n = unseen.sum(0)
+                mean = np.divide((values * unseen).sum(0), n, out=np.full(len(n), np.nan), where=n > 0)
+                added = [pa.array(values.mean(0)), pa.array(n.astype(np.int64)), pa.array(mean, mask=n == 0)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], [*columns, "y_pred", "oob_trees", "oob_pred"])
 
-        ready = complete_cases(rows, [*self.features, self.label]).withColumns({"_bins": self.binned(rows), "_bag": bag(key, self.trees, self.seed)})
+        ready = dealt(complete_cases(rows, [*self.features, self.label]), TASK_ROWS)
+        # Rows flagged as test rows have no bag.
+        drawn = F.when(~F.coalesce("is_test", F.lit(False)), digests(key, self.trees, self.seed)).alias("_digests")
+        ready = ready.select("*", drawn, *[F.col(name).cast("double").alias(f) for name, f in zip(self.features, inputs)])
         schema = ready.select(*columns, F.lit(0.0).alias("y_pred"), F.lit(0).cast("long").alias("oob_trees"), F.lit(0.0).alias("oob_pred")).schema
         for name in ("y_pred", "oob_pred"):
             schema[name].nullable = True
@@ -110,8 +128,25 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, BATCH_ROWS)
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.int64)
+def _pack(matrix: np.ndarray) -> pa.Array:
+    """A column of small numbers (values, rows) as one binary value a row."""
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(matrix.T)], pa.binary())
+
+
+def _unpack(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).T)
+
+
+def _drawn(rows: DataFrame, inputs: list[str], edges: list[list[float]], trees: int, seed: int) -> DataFrame:
+    """_bins, _bag and _y of each row, once for all levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            bags = _bags(batch.column("_digests"), trees)
+            yield pa.RecordBatch.from_arrays([_pack(_bins(batch, inputs, edges)), _pack(bags), batch.column("_y")], ["_bins", "_bag", "_y"])
+
+    drawn = rows.select(digests(F.col("_key"), trees, seed).alias("_digests"), "_y", *inputs)
+    return drawn.mapInArrow(run, "_bins binary, _bag binary, _y long")
 
 
 def _counts(rows: DataFrame, forest: BaggedForest, level: int) -> DataFrame:
@@ -120,23 +155,28 @@ def _counts(rows: DataFrame, forest: BaggedForest, level: int) -> DataFrame:
     feature, cut, features, trees = forest.feature, forest.cut, len(forest.features), forest.trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = (features, trees, width, BINS)
-        sums = np.zeros((3, *shape), np.int64)
+        sums = np.zeros((3, features, trees, width, BINS), np.int64)
         for batch in _slices(batches):
-            bins, bags, y = _matrix(batch.column(0)), _matrix(batch.column(1)), batch.column(2).to_numpy()
-            at = nodes(feature, cut, bins, level)
-            row, tree = np.nonzero((bags > 0) & (at >= first))
-            weight, node = bags[row, tree], at[row, tree] - first
-            cell = (tree * width + node) * BINS
-            for f in range(features):
-                place, size = cell + bins[row, f], trees * width * BINS
-                for k, stat in enumerate((None, weight, weight * y[row])):
-                    sums[k, f] += np.rint(np.bincount(place, stat, size)).astype(np.int64).reshape(shape[1:])
+            bins, bags, y = _unpack(batch.column(0)), _unpack(batch.column(1)), batch.column(2).to_numpy().astype(np.float64)
+            for start in range(0, trees, BLOCK_TREES):
+                block = slice(start, start + BLOCK_TREES)
+                bag, at = bags[block], nodes(feature[block], cut[block], bins, level)
+                tree, row = np.nonzero((bag > 0) & (at >= first))
+                weight = bag[tree, row].astype(np.float64)
+                cell, labels = (tree * width + at[tree, row] - first) * BINS, weight * y.take(row)
+                # Rows and weights are counted in one number: a batch has less than 2 ** 16 rows.
+                both, shape = weight * 2**16 + 1, (len(bag), width, BINS)
+                for f in range(features):
+                    place, size = cell + bins[f].take(row), len(bag) * width * BINS
+                    counted = np.bincount(place, both, size).astype(np.int64).reshape(shape)
+                    sums[0, f, block] += counted & 2**16 - 1
+                    sums[1, f, block] += counted >> 16
+                    sums[2, f, block] += np.bincount(place, labels, size).astype(np.int64).reshape(shape)
         f, t, node, b = np.nonzero(sums[0])
         keys = [pa.array(v.astype(np.int32)) for v in (t, node + first, f, b)]
         yield pa.RecordBatch.from_arrays([*keys, *(pa.array(s[f, t, node, b]) for s in sums)], ["tree", "node", "f", "b", "n", "w", "s"])
 
-    counted = rows.select("_bins", "_bag", "_y").mapInArrow(run, "tree int, node int, f int, b int, n long, w long, s long")
+    counted = rows.mapInArrow(run, "tree int, node int, f int, b int, n long, w long, s long")
     return counted.groupBy("tree", "node", "f", "b").agg(*[F.sum(c).alias(c) for c in ("n", "w", "s")])
 
 
@@ -164,14 +204,17 @@ def fit_forest(
     Cuts are tried at the exact 32-quantiles of each feature; the best one of all features wins, the first one among equals.
     """
     train = complete_cases(rows, [*features, label]).filter(~F.col("is_test"))
+    inputs = [f"_f{i}" for i in range(len(features))]
+    units = F.round(F.col(label) * UNITS).cast("long").alias("_y")
+    plain = train.select(key.cast("string").alias("_key"), units, *[F.col(name).cast("double").alias(f) for name, f in zip(features, inputs)])
+    plain = stored(dealt(plain, TASK_ROWS))
     probs = tuple(k / BINS for k in range(1, BINS))
-    edges = [sorted(set(exact_quantiles(train, name, probs).get(0, []))) for name in features]
+    edges = [sorted(set(exact_quantiles(plain, name, probs).get(0, []))) for name in inputs]
     size = 2 ** (depth + 1) - 1
     forest = BaggedForest(
         features, label, edges, np.full((trees, size), -1, np.int64), np.zeros((trees, size), np.int64), np.full((trees, size), np.nan), depth, seed
     )
-    units = F.round(F.col(label) * UNITS).cast("long").alias("_y")
-    table = stored(train.select(forest.binned(train).alias("_bins"), bag(key, trees, seed).alias("_bag"), units))
+    table = stored(_drawn(plain, inputs, edges, trees, seed))
     for level in range(depth):
         found = _cuts(_counts(table, forest, level), min_leaf).collect()
         for r in found:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from filingscope.functions import dates
 from filingscope.functions import edit_distance as ed
-from filingscope.functions.ordered import packed, with_rank
+from filingscope.functions.ordered import dealt, packed, with_rank
 from filingscope.operators import audit
 from filingscope.operators import quantiles as qt
 from filingscope.operators import similarity as sim
@@ -199,3 +199,21 @@ def test_forest_of_few_rows_and_gaps(spark):
     forest = bagging.fit_forest(rows, F.col("id"), ["x"], "y", 8, 2, 1)
     got = {r.id: r for r in forest.score(rows, F.col("id")).collect()}
     assert set(got) == {1, 4} and got[4].oob_pred is None
+
+
+def test_bags_come_from_one_digest_for_every_four_trees(spark):
+    keys = pd.DataFrame({"id": [7, 123456, None], "x": [1.0, 2.0, 3.0]}).astype({"id": "Int64"})
+    rows = spark.createDataFrame([(None if pd.isna(k) else int(k), x) for k, x in zip(keys.id, keys.x)], "id LONG, x DOUBLE")
+    drawn = rows.select(bagging.digests(F.col("id"), 10).alias("d")).toArrow().column("d").combine_chunks()
+    got = bagging._bags(drawn, 10)
+    assert got[:, :2].T.tolist() == [[bag_of(k, t) for t in range(10)] for k in (7, 123456)]
+    empty = [sum(int(hashlib.md5(f"{t // 4}|42".encode()).hexdigest()[t % 4 * 8 : t % 4 * 8 + 8], 16) / 2**32 >= p for p in bagging.AT_MOST) for t in range(10)]
+    assert got[:, 2].tolist() == empty
+
+
+def test_tables_of_many_rows_are_dealt_by_their_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1000, 1, 2)
+    assert dealt(rows, 1000) is rows
+    parts = dealt(rows, 1000 // (3 * cores)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 3 * cores and max(r["count"] for r in parts) < 2 * 1000 / (3 * cores)
