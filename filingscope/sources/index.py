@@ -30,7 +30,8 @@ def _after_header(all_lines: Column) -> Column:
     def cut(parts: Column) -> Column:
         numbered = F.transform(parts, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
         header = F.array_position(F.transform(parts, lambda l: F.startswith(l, F.lit(HEADER_START))), True)
-        return F.when(header > 0, F.filter(numbered, lambda r: r["line_no"] > header))
+        # Bound once: inside the filter it would look for the header again at every line.
+        return let(header, lambda at: F.when(at > 0, F.filter(numbered, lambda r: r["line_no"] > at)))
 
     return let(all_lines, cut)
 

@@ -1,6 +1,7 @@
 """Readers, index parsing, sinks, audits and row offsets."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,13 @@ def test_every_landed_filing_is_usable_or_rejected(spark):
     landed = spark.createDataFrame(rows, "cik STRING, accession STRING, path STRING, body STRING")
     assert [r.path for r in fl.usable_filings(landed).collect()] == ["a"]
     assert sorted(r.reason for r in fl.landing_rejects(landed).collect()) == ["bad_accession", "before_first_year", "duplicate_filing"]
+
+
+def test_the_header_of_a_long_index_file_is_looked_for_once(spark):
+    n = 40_000
+    body = "Master index\nCIK|Company Name|Form Type|Date Filed|Filename\n" + "\n".join(f"{i}|x|10-K|2006-01-01|f" for i in range(n))
+    files = spark.createDataFrame([("q1", body)], "source_file STRING, body STRING")
+    start = time.monotonic()
+    got = ix.parse_index(files).agg(F.count("*").alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi")).first()
+    assert tuple(got) == (n, 3, n + 2)
+    assert time.monotonic() - start < 15
