@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from filingscope.functions.ordered import dealt, packed, with_rank
 from filingscope.operators import audit
 from filingscope.operators import quantiles as qt
 from filingscope.operators import similarity as sim
-from filingscope.plans import bagging
+from filingscope.plans import bagging, models
 from filingscope.sources import index as ix
 
 
@@ -217,3 +218,11 @@ def test_tables_of_many_rows_are_dealt_by_their_rows(spark):
     assert dealt(rows, 1000) is rows
     parts = dealt(rows, 1000 // (3 * cores)).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) >= 3 * cores and max(r["count"] for r in parts) < 2 * 1000 / (3 * cores)
+
+
+def test_a_fit_deals_its_rows(spark, monkeypatch):
+    rows = spark.range(0, 2000, 1, 2).select((F.col("id") % 5 == 0).alias("is_test"), "id")
+    monkeypatch.setattr(models, "TASK_ROWS", 1600 // (2 * spark.sparkContext.defaultParallelism))
+    asked = SimpleNamespace(fit=lambda train: (train.count(), train.rdd.getNumPartitions()))
+    n, parts = models.fit(asked, rows)
+    assert n == 1600 and parts >= 2 * spark.sparkContext.defaultParallelism
