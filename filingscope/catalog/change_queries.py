@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filingscope.catalog.registry import derived, query
+from filingscope.functions.edit_distance import token_line_shared
+from filingscope.functions.ordered import stored
 from filingscope.operators import pairs as pr
 from filingscope.operators import similarity as sim
 
@@ -227,15 +229,26 @@ query(
 )
 
 
-def _distance_facts(t):
-    """The tokens that both sides share, repeats counted, bound the distance: at least what the longer side has beyond them."""
-    texts = t["doc_texts"]
+def _shared_by_word(texts):
     counts = [
         texts.select(*sim.PAIR_KEY, F.explode(F.split(f"words_{side}", " ")).alias("word")).groupBy(*sim.PAIR_KEY, "word").agg(F.count("*").alias(side))
         for side in ("a", "b")
     ]
-    shared = counts[0].join(counts[1], [*sim.PAIR_KEY, "word"]).groupBy(*sim.PAIR_KEY).agg(F.sum(F.least("a", "b")).alias("shared"))
-    rows = sim.edit_distances(texts).join(shared, sim.PAIR_KEY, "left")
+    return counts[0].join(counts[1], [*sim.PAIR_KEY, "word"]).groupBy(*sim.PAIR_KEY).agg(F.sum(F.least("a", "b")).alias("shared"))
+
+
+def _distance_facts(t):
+    """The tokens that both sides share, repeats counted, bound the distance: at least what the longer side has beyond them."""
+    texts = t["doc_texts"]
+    # Taken inside the row; only keys that stand in several rows are counted word by word over all of them.
+    alone = token_line_shared("words_a", "words_b").alias("alone")
+    rows = stored(sim.edit_distances(texts.select("*", alone), [*sim.PAIR_KEY, "alone"]))
+    repeated = rows.groupBy(*sim.PAIR_KEY).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    if repeated.isEmpty():
+        rows = rows.withColumnRenamed("alone", "shared")
+    else:
+        shared = _shared_by_word(texts.join(repeated, sim.PAIR_KEY, "left_semi"))
+        rows = rows.join(shared, sim.PAIR_KEY, "left").withColumn("shared", F.coalesce("shared", "alone"))
     least = F.greatest("len_a", "len_b") - F.coalesce("shared", F.lit(0))
     return rows.select(*sim.PAIR_KEY, "len_a", "len_b", least.alias("least"), F.col("distance").between(least, F.greatest("len_a", "len_b")).alias("possible"))
 

@@ -175,3 +175,20 @@ def test_plan_reuses_the_shuffled_text(spark, filings, tmp_path):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "ReusedExchange" in plan
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_document_facts_shuffle_no_words(spark, monkeypatch):
+    from filingscope.catalog import change_queries as cq
+
+    key = {"cik": "1", "filing_b": "b"}
+    once = [key | {"filing_a": "x", "words_a": "a b b c", "words_b": "b b b d"}, key | {"filing_a": "y", "words_a": "p", "words_b": "q"}]
+    texts = spark.createDataFrame(once, "cik STRING, filing_a STRING, filing_b STRING, words_a STRING, words_b STRING")
+    by_word = []
+    whole = cq._shared_by_word
+    monkeypatch.setattr(cq, "_shared_by_word", lambda t: by_word.append(1) or whole(t))
+    got = {r.filing_a: (r.least, r.possible) for r in cq._distance_facts({"doc_texts": texts}).collect()}
+    assert got == {"x": (2, True), "y": (1, True)} and not by_word
+    # A key in two rows: a has b three times in all, b twice.
+    twice = texts.limit(0).union(spark.createDataFrame([("1", "x", "b", "a b b", "a"), ("1", "x", "b", "b", "b b"), ("1", "z", "b", "a", "a")]))
+    got = sorted((r.filing_a, r.least) for r in cq._distance_facts({"doc_texts": twice}).collect())
+    assert got == [("x", -1), ("x", 0), ("z", 0)] and by_word
