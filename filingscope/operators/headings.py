@@ -10,73 +10,58 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import NOT_S, S, digit_class, let, lines, lstrip, strip, sub, unlines, with_once
+from filingscope.functions.text import BLANK, NOT_S, digit_class, plain_breaks, sub, with_once
 
 NOT_WORD = r"(?![\p{L}\p{N}_])"
-# Heading words, in this spelling only.
-SPACE_AFTER_ITEM = rf"(?<![\p{{L}}\p{{N}}_])(Items?){NOT_WORD}(?={NOT_S})"
-ITEM_WORDS = ("Item", "Items")
-ITEM_NUMBER = rf"\AItem{S}+\p{{Nd}}+\z"
-LETTER_DOT = r"\A[A-Za-z]?\."
+# Heading words, in this spelling only. The pattern starts with a sign, so the search skips ordinary text.
+SPACE_AFTER_ITEM = rf"I(?<![\p{{L}}\p{{N}}_]I)(tems?){NOT_WORD}(?={NOT_S})"
+ITEM_NUMBER = rf"Item{BLANK}+\p{{Nd}}+"
+LETTER_DOT = r"[A-Za-z]?\."
 
 
-def _merge_with_next(
-    text: Column, heads: Callable[[Column], Column], tails: Callable[[Column], Column], glue: str
-) -> Column:
-    """Append a line to the one before it where `heads` and `tails` hold, both on stripped lines."""
+def _merge_with_next(head: str, tail: str, glue: str) -> Callable[[Column], Column]:
+    """Append a line to the one before it if the first is `head` and the second starts with `tail`, blanks around them left out.
 
-    def rebuild(parts: Column) -> Column:
-        def test(line: Column, i: Column) -> Column:
-            following = lstrip(F.coalesce(F.get(parts, i + 1), F.lit("")))
-            return heads(strip(line)) & tails(following)
+    Works on a text whose lines all stand behind a line feed.
+    """
+    pattern = rf"\n{BLANK}*+({head}){BLANK}*+\n{BLANK}*+(?={tail})"
+    return lambda text: sub(text, pattern, f"\n$1{glue}")
 
-        def collect(merged: Column) -> Column:
-            def piece(line: Column, i: Column) -> Column:
-                swallowed = F.when(i > 0, F.get(merged, i - 1)).otherwise(False)
-                pair = F.concat(strip(line), F.lit(glue), lstrip(F.get(parts, i + 1)))
-                return F.when(swallowed, F.lit(None)).when(F.get(merged, i), pair).otherwise(line)
 
-            return F.filter(F.transform(parts, piece), lambda line: line.isNotNull())
+_SPLIT_WORD = _merge_with_next("I", "tem", "")
+_NUMBER_LINE = _merge_with_next("Items?", f"[{digit_class()}]", " ")
+_SUFFIX_LINE = _merge_with_next(ITEM_NUMBER, LETTER_DOT, "")
 
-        return unlines(let(F.transform(parts, test), collect))
 
-    return let(lines(text), rebuild)
+def _on_lines(text: Column, *steps: Callable[[Column], Column], merges: int = 1) -> Column:
+    """Apply steps to a text with plain line feeds; each merge drops one final line break."""
+    text = F.concat(F.lit("\n"), plain_breaks(text))
+    for step in steps:
+        text = step(text)
+    return F.substr(sub(text, rf"\n{{1,{merges}}}\z", ""), F.lit(2))
 
 
 def merge_split_word(text: Column) -> Column:
     """A line `I` and a line starting `tem` become one."""
-    return _merge_with_next(text, lambda s: s == "I", lambda n: F.startswith(n, F.lit("tem")), "")
+    return _on_lines(text, _SPLIT_WORD)
 
 
 def space_after_item(text: Column) -> Column:
     """One blank between `Item` or `Items` and a directly following sign; `Item1` is one word and stays."""
-    return sub(text, SPACE_AFTER_ITEM, "$1 ")
+    return sub(text, SPACE_AFTER_ITEM, "I$1 ")
 
 
 def merge_number_line(text: Column) -> Column:
     """A line `Item` and a line starting with a digit become one."""
-    return _merge_with_next(
-        text,
-        lambda s: s.isin(*ITEM_WORDS),
-        lambda n: F.rlike(n, F.lit(rf"\A[{digit_class()}]")),
-        " ",
-    )
+    return _on_lines(text, _NUMBER_LINE)
 
 
 def merge_suffix_line(text: Column) -> Column:
     """A line `Item 1` and a line starting `A.` or `.` become one."""
-    return _merge_with_next(
-        text,
-        lambda s: F.rlike(s, F.lit(ITEM_NUMBER)),
-        lambda n: F.rlike(n, F.lit(LETTER_DOT)),
-        "",
-    )
-
-
-REPAIR_STEPS = (merge_split_word, space_after_item, merge_number_line, merge_suffix_line)
+    return _on_lines(text, _SUFFIX_LINE)
 
 
 def repair_headings(df: DataFrame, text: str = "text") -> DataFrame:
-    for step in REPAIR_STEPS:
-        df = df.withColumn(text, step(F.col(text)))
-    return with_once(df, text, F.col(text))
+    """All repairs in this order, on the whole text: it is not cut into lines."""
+    steps = (_SPLIT_WORD, space_after_item, _NUMBER_LINE, _SUFFIX_LINE)
+    return with_once(df, text, _on_lines(F.col(text), *steps, merges=3))

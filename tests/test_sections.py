@@ -1,11 +1,13 @@
 """Item sections: the quirks of headings, rounds and slices on hand-written filings."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import lines
+from filingscope.functions.text import LINE_BREAK, SPACE_CHARS, lines
+from filingscope.operators import headings as hd
 from filingscope.operators import sections as sec
 
 ACCESSION = "0000000000-06-000001"
@@ -173,3 +175,33 @@ def test_filing_date_after_letters_that_grow_in_lower_case(spark):
     text = chr(0x130) * 60 + "\n0000000001-07-000001.txt : 20070310\n"
     df = spark.createDataFrame([(text, "0000000001-07-000001")], "t STRING, a STRING")
     assert str(df.select(sec.filing_date(F.col("t"), F.col("a")).alias("d")).first().d) == "2007-03-10"
+
+
+def merged(text, head, tail, glue):
+    """Line by line: a line that is all `head` before one that starts with `tail`."""
+    parts = re.split(LINE_BREAK, text)
+    parts, out = parts[:-1] if parts[-1] == "" else parts, []
+    for line in parts:
+        following = line.lstrip(SPACE_CHARS)
+        if out and re.fullmatch(head, out[-1].strip(SPACE_CHARS)) and re.match(tail, following):
+            out[-1] = out[-1].strip(SPACE_CHARS) + glue + following
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+def test_headings_are_repaired_without_cutting_lines(spark):
+    random.seed(7)
+    signs = ["I", "tem 1", "Item", "Items", "Item 12", "A.", ".", " B. x", "2. P", " ", "\xa0", "\n", "\n", "\n", "\r\n", "\r", "\x0b", "\x85", "\u2028", "-", "_Item."]
+    texts = [None, "", "\n", "\n\n", "\n\n\n\n", "I\ntem\n\n\n\n\n"] + ["".join(random.choices(signs, k=random.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
+    repaired = hd.repair_headings(df)
+    assert "lambda" not in repaired._jdf.queryExecution().optimizedPlan().toString()
+    for r in repaired.collect():
+        if texts[r.i] is None:
+            assert r.text is None
+            continue
+        text = merged(texts[r.i], "I", "tem", "")
+        text = re.sub(r"(?<!\w)(Items?)(?!\w)(?=\S)", r"\1 ", text)
+        text = merged(merged(text, "Items?", r"\d", " "), r"Item\s+\d+", r"[A-Za-z]?\.", "")
+        assert r.text == text, texts[r.i]
