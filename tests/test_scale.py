@@ -226,3 +226,10 @@ def test_a_fit_deals_its_rows(spark, monkeypatch):
     asked = SimpleNamespace(fit=lambda train: (train.count(), train.rdd.getNumPartitions()))
     n, parts = models.fit(asked, rows)
     assert n == 1600 and parts >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_long_texts_reach_python_in_small_batches(spark):
+    """A worker holds a batch several times over: 4,000 texts of 20,000 letters come in batches of 4 MB."""
+    size = F.pandas_udf(lambda s: pd.Series([int(s.str.len().sum())] * len(s)), "long")
+    df = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 2000).alias("t"))
+    assert df.select(size("t").alias("n")).agg(F.max("n")).first()[0] <= (4 << 20) + 20_000
