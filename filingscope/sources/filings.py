@@ -5,9 +5,10 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,6 +27,11 @@ FIRST_YEAR = 2006
 LATEST_FILINGS = 20
 # Fixed value: the file name of a landed submission.
 SUBMISSION = "full-submission.txt"
+# Bytes of filings that one task reads, and that it holds at once beside its largest filing.
+TASK_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
+# Signs of a path that its URI holds as they are.
+PATH_SIGNS = "/-_.!~*'(),;:$&+=@"
 
 
 def with_tree_keys(files: DataFrame, path: str = "path") -> DataFrame:
@@ -37,17 +43,107 @@ def with_tree_keys(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumns({"cik": normalise_cik(part(1)), "form": part(2), "accession": part(3)})
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    marked = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+    return marked and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder, given as root and a path below it."""
+    for batch in batches:
+        for root, place in zip(*(column.to_pylist() for column in batch.columns)):
+            store, base = FileSystem.from_uri(root)
+            inside = [e for e in store.get_file_info(FileSelector(base.rstrip("/") + place)) if not _hidden(e.base_name)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([root] * len(inside), pa.string()),
+                    pa.array([f"{place}/{e.base_name}" for e in inside], pa.string()),
+                    pa.array([e.type == FileType.Directory for e in inside], pa.bool_()),
+                    pa.array([e.size or 0 for e in inside], pa.int64()),
+                ],
+                ["root", "place", "folder", "bytes"],
+            )
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path and whole content of each file; a batch ends with the file that fills it."""
+
+    def packed(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        paths, bodies = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], ["path", "value"])
+
+    rows, held = [], 0
+    for batch in batches:
+        for root, place in zip(*(column.to_pylist() for column in batch.columns)):
+            store, base = FileSystem.from_uri(root)
+            with store.open_input_stream(base.rstrip("/") + place) as file:
+                rows.append((_uri(root, place), file.read()))
+            held += len(rows[-1][1])
+            if held >= BATCH_BYTES:
+                yield packed(rows)
+                rows, held = [], 0
+    if rows:
+        yield packed(rows)
+
+
+def _uri(root: str, place: str) -> str:
+    """A file's path as Spark names it."""
+    signs = (c if c.isalnum() or ord(c) > 127 or c in PATH_SIGNS else f"%{ord(c):02X}" for c in place)
+    return root.rstrip("/").replace("file:///", "file:/", 1) + "".join(signs)
+
+
+def _roots(spark: SparkSession, paths: list[str]) -> list[str] | None:
+    """The folders' URIs, or None unless all are folders of a store that the tasks can list."""
+    conf, roots = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for text in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+        files = path.getFileSystem(conf)
+        if not files.exists(path) or not files.getFileStatus(path).isDirectory():
+            return None
+        roots.append(files.makeQualified(path).toUri().toString())
+        try:
+            FileSystem.from_uri(roots[-1])
+        except (pa.ArrowException, OSError):
+            return None
+    # A folder below another one adds nothing.
+    return [b for b in roots if not any(a != b and b.startswith(a.rstrip("/") + "/") for a in roots)]
+
+
+def _listed(spark: SparkSession, roots: list[str], file_name: str) -> DataFrame:
+    """root, place and bytes of every file below the roots whose name matches: tasks list a level of the tree at a time."""
+    cores = spark.sparkContext.defaultParallelism
+    level, files = spark.createDataFrame([(root, "") for root in dict.fromkeys(roots)], "root STRING, place STRING"), []
+    while not level.isEmpty():
+        found = stored(level.repartition(4 * cores).mapInArrow(_entries, "root STRING, place STRING, folder BOOLEAN, bytes LONG"))
+        files.append(found.filter("NOT folder AND bytes > 0").drop("folder"))
+        level = found.filter("folder").select("root", "place")
+    name = F.substring_index("place", "/", -1)
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern.compile(file_name).pattern()
+    return reduce(DataFrame.union, files).filter(F.rlike(name, F.lit(rf"\A(?:{pattern})\z")) & ~F.startswith(name, F.lit("_metadata")))
+
+
 def read_filings(spark: SparkSession, paths: str | list[str], file_name: str = SUBMISSION) -> DataFrame:
-    """Every landed filing below the paths as one row, without a listing loop on the driver.
+    """Every landed filing below the paths as one row; an empty file is none.
 
-    The tree may also hold split items and cleaned copies under other file names.
+    The tree may also hold split items and cleaned copies under other file names. Tasks list it and read it, so the driver never holds
+    the names of its files. Paths with wildcards, single files and stores that only Spark reads go through Spark's own listing on the driver.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", file_name)
-        .text(paths, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
-    )
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    roots = _roots(spark, paths)
+    if roots is None:
+        files = (
+            spark.read.option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", file_name)
+            .text(paths, wholetext=True)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+        )
+    else:
+        listed = _listed(spark, roots, file_name)
+        size = listed.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+        read = listed.select("root", "place").repartition(tasks).mapInArrow(_bodies, "path STRING NOT NULL, value BINARY")
+        files = read.select("path", F.col("value").cast("string").alias("body"))
     return with_tree_keys(files).select("cik", "form", "accession", "path", "body")
 
 

@@ -156,3 +156,24 @@ def test_the_header_of_a_long_index_file_is_looked_for_once(spark):
     got = ix.parse_index(files).agg(F.count("*").alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi")).first()
     assert tuple(got) == (n, 3, n + 2)
     assert time.monotonic() - start < 15
+
+
+def test_landed_filings_are_listed_by_tasks(spark, tmp_path):
+    """The driver's own listing would hold every file; hidden and empty files are passed over, bytes and names stay as they are."""
+    rows = {"1/10-K/a": b"x\ny", "2/10-K/b 2%": b"\xff\xfe", "3/10-K/c": b"", "_h/10-K/d": b"no", "4/_x=1/e": b"yes", "5/6/10-K/g/h": b"deep"}
+    for place, body in rows.items():
+        folder = tmp_path / "html tree" / place
+        folder.mkdir(parents=True)
+        (folder / "full-submission.txt").write_bytes(body)
+        (folder / "full-other.txt").write_bytes(b"other")
+    root = str(tmp_path / "html tree")
+    read = fl.read_filings(spark, root)
+    assert "FileScan" not in read._jdf.queryExecution().executedPlan().toString().replace("FileScan parquet", "")
+    got = {r.accession: (bytes(r.b), r.path) for r in read.select("accession", "path", F.col("body").cast("binary").alias("b")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": b"x\ny", "b%202%25": b"\xff\xfe", "e": b"yes", "h": b"deep"}
+    assert got["b%202%25"][1] == f"file:{tmp_path}/html%20tree/2/10-K/b%202%25/full-submission.txt"
+    listed = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "full-submission.txt").text(root, wholetext=True)
+    assert {v[1] for v in got.values()} == {r.p for r in listed.select(F.col("_metadata.file_path").alias("p")).collect()}
+    assert fl.read_filings(spark, [root, f"{root}/1"], "full-{sub,oth}*.tx?").count() == 4 + 5
+    assert fl.read_filings(spark, str(tmp_path / "html tree" / "3")).collect() == []
+    assert fl.read_filings(spark, f"{root}/[12]").count() == 2
