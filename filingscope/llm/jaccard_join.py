@@ -1,8 +1,8 @@
 """Groups of texts whose sets of word n-grams have a Jaccard similarity of num / den or more: T-occurrence search by DivideSkip.
 
 A query set and an indexed set can only be similar if they share T n-grams, and T follows from their sizes. The inverted lists of the
-query's n-grams are divided: the longest ones are only probed by binary search, the others are merged through a heap, and a set that
-occurs in enough of them to reach T with the long ones is probed there. What reaches the overlap its size asks for is a link.
+query's n-grams are divided: the others are merged by counting, and only a set that occurs in enough of them to reach T with the longest
+ones is looked up in these. What reaches the overlap its size asks for is a link.
 
 A task holds the index of a group of sets. The groups come from the sets themselves, without loss:
 
@@ -24,9 +24,6 @@ A task holds the index of a group of sets. The groups come from the sets themsel
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
-from itertools import chain
 from math import log2
 
 import numpy as np
@@ -138,61 +135,51 @@ def links(sets: list[np.ndarray], classes: list[int], num: int = NUM, den: int =
 
     Sets with the same number in `classes` count as tied before.
     """
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    first: dict[int, int] = {}
-    for i, c in enumerate(classes):
-        parent[i] = first.setdefault(c, i)
+    if not sets:
+        return []
     # Smaller sets are indexed first, so that partners of a query that are large enough end every list.
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = [len(sets[i]) for i in order]
-    listed: dict[int, list[int]] = {}
-    indexed: dict[int, int] = {}  # sets of each class in the index
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    ends = np.cumsum(np.r_[0, sizes])
+    gram = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    # The inverted lists, one after the other. An n-gram's list as its set meets it ends where the set itself stands.
+    listed = np.argsort(gram, kind="stable")
+    place = np.empty_like(listed)
+    place[listed] = np.arange(len(listed))
+    starts = np.cumsum(np.r_[0, np.bincount(gram)])[gram]
+    lists = np.repeat(np.arange(len(sets)), sizes)[listed]
+    tied = np.unique(np.array([classes[i] for i in order]), return_inverse=True)[1]
+    probed = np.zeros(len(listed), bool)
     out = []
     for at, number in enumerate(order):
-        query, size = sets[number].tolist(), sizes[at]
-        least = bisect_left(sizes, -(-num * size // den), 0, at)
-        own = root(number)
-        others = at - indexed.get(own, 0)
-        found = [of for g in query if (of := listed.get(g)) is not None and of[-1] >= least] if others and least < at else []
-        needed = -(-num * (size + sizes[least]) // (num + den)) if found else 1
-        if len(found) >= needed:
-            found.sort(key=len, reverse=True)
-            long = min(needed - 1, int(needed / (PROBE_WEIGHT * log2(len(found[0]) + 1) + 1)))
-            probed, merged = found[:long], found[long:]
-            if least:
-                merged = [of[bisect_left(of, least) :] for of in merged]
-            count, before = 0, -1
-            for hit in chain(heapq.merge(*merged), (-1,)):
-                if hit == before:
-                    count += 1
-                    continue
-                if count >= needed - long and before >= 0:
-                    other = root(order[before])
-                    if other != own:
-                        wanted, left = -(-num * (size + sizes[before]) // (num + den)), long
-                        for of in probed:
-                            if count + left < wanted:
-                                break
-                            place = bisect_left(of, before)
-                            count += place < len(of) and of[place] == before
-                            left -= 1
-                        if count >= wanted:
-                            out.append((order[before], number))
-                            tied = indexed.pop(other, 0) + indexed.pop(own, 0)
-                            parent[other] = own
-                            indexed[own] = tied
-                            if tied == at:
-                                break
-                count, before = 1, hit
-        for g in query:
-            listed.setdefault(g, []).append(at)
-        indexed[own] = indexed.get(own, 0) + 1
+        size, own = int(sizes[at]), slice(ends[at], ends[at + 1])
+        least = int(np.searchsorted(sizes[:at], -(-num * size // den)))
+        if not (tied[least:at] != tied[at]).any():
+            continue
+        lengths = place[own] - starts[own]
+        found = np.flatnonzero(lengths)
+        found = found[lists[place[own][found] - 1] >= least]
+        needed = -(-num * (size + int(sizes[least])) // (num + den))
+        if not len(found) or len(found) < needed:
+            continue
+        found = found[np.argsort(-lengths[found], kind="stable")]
+        long = max(0, min(needed - 1, int(needed / (PROBE_WEIGHT * log2(int(lengths[found[0]]) + 1) + 1))))
+        merged, n = found[long:], lengths[found[long:]]
+        hits = lists[np.arange(n.sum()) + np.repeat(starts[own][merged] - np.r_[0, np.cumsum(n)[:-1]], n)]
+        counts = np.bincount(hits, minlength=at)
+        others = np.flatnonzero(counts[least:at] >= needed - long) + least
+        others = others[tied[others] != tied[at]]
+        if not len(others):
+            continue
+        # The long lists are probed by the n-grams of the sets that may reach the overlap.
+        probed[gram[own][found[:long]]] = True
+        of = np.arange(sizes[others].sum()) + np.repeat(ends[others] - np.r_[0, np.cumsum(sizes[others])[:-1]], sizes[others])
+        counts = counts[others] + np.add.reduceat(probed[gram[of]], np.r_[0, np.cumsum(sizes[others])[:-1]], dtype=np.int64)
+        probed[gram[own]] = False
+        for other in others[counts >= -(-num * (size + sizes[others]) // (num + den))].tolist():
+            if tied[other] != tied[at]:
+                out.append((order[other], number))
+                tied[tied == tied[other]] = tied[at]
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -113,6 +114,14 @@ def test_divide_skip_against_all_pairs():
         assert joined(edges, 25) == joined(found + same, 25)
 
 
+def test_sets_that_share_much_and_are_not_similar_are_counted_at_once():
+    rng = np.random.default_rng(15)
+    sets = [np.sort(rng.choice(4000, 2000, replace=False)) for _ in range(400)]
+    before = time.process_time()
+    assert jaccard_join.links(sets, list(range(400))) == []
+    assert time.process_time() - before < 5
+
+
 def joined(edges, n):
     parent = list(range(n))
 
