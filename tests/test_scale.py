@@ -233,3 +233,10 @@ def test_long_texts_reach_python_in_small_batches(spark):
     size = F.pandas_udf(lambda s: pd.Series([int(s.str.len().sum())] * len(s)), "long")
     df = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 2000).alias("t"))
     assert df.select(size("t").alias("n")).agg(F.max("n")).first()[0] <= (4 << 20) + 20_000
+
+
+def test_few_tasks_of_many_rows_are_dealt_too(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    parts = dealt(rows, 600).groupBy(F.spark_partition_id()).count().collect()
+    assert max(p["count"] for p in parts) <= 600
+    assert sum(p["count"] for p in parts) == 1000
