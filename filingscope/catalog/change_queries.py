@@ -157,15 +157,13 @@ query("m2_edit_distance_documents", lambda t: sim.edit_distances(t["doc_texts"])
 
 def _edited(t):
     """Each text beside a copy that loses every 7th token and gets a foreign word for every 5th other."""
-    words = sim.tokens(F.col("text"))
+    # The test for a token stops at the first one, and keys alone can be read without cutting a text.
+    lines = sim.with_tokens(t["documents"]).select("doc_id", sim.token_line(F.col("text")).alias("words_b"))
     edited = F.filter(
-        F.transform(words, lambda w, i: F.when((i + 1) % 7 == 0, "").when((i + 1) % 5 == 0, "''''''''").otherwise(w)),
+        F.transform(F.split("words_b", " "), lambda w, i: F.when((i + 1) % 7 == 0, "").when((i + 1) % 5 == 0, "''''''''").otherwise(w)),
         lambda w: w != "",
     )
-    copies = t["documents"].select(
-        "doc_id", F.array_join(edited, " ").alias("words_a"), sim.token_line(F.col("text")).alias("words_b")
-    )
-    return copies.filter("words_b <> ''")
+    return lines.select("doc_id", F.array_join(edited, " ").alias("words_a"), "words_b")
 
 
 # No foreign word can match, so at most n - dropped - replaced tokens match and the distance is exactly
@@ -290,11 +288,11 @@ derived(
 
 def _edited_firms(t):
     """Sections and pairs of the edited copies (older) and the texts themselves (newer)."""
-    both = _edited(t).select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("words_b").alias("text")), F.struct(F.lit(0).alias("n"), F.col("words_a").alias("text")))).alias("s"))
-    filed = F.date_add(F.lit("2000-01-01").cast("date"), F.col("s.n"))
+    both = _edited(t).withColumn("n", F.explode(F.array(F.lit(1), F.lit(0))))
+    filed = F.date_add(F.lit("2000-01-01").cast("date"), F.col("n"))
     sections = both.select(
-        F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("cik"), F.col("s.n").cast("string").alias("accession"),
-        filed.alias("filed_date"), F.lit("1A").alias("item_n"), F.col("s.text").alias("text"),
+        F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("cik"), F.col("n").cast("string").alias("accession"),
+        filed.alias("filed_date"), F.lit("1A").alias("item_n"), F.when(F.col("n") == 1, F.col("words_b")).otherwise(F.col("words_a")).alias("text"),
     )
     return sections, pr.consecutive_pairs(sections)
 

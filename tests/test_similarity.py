@@ -48,6 +48,36 @@ def test_distance_beyond_the_characters_of_a_string():
     assert ed.token_distance(a, b) == 100
 
 
+def edited(rng, a, rate):
+    """A copy that loses words and gets words nobody has for others."""
+    return [w if rng.random() > rate else "new" for w in a if rng.random() > rate / 2]
+
+
+def test_an_edited_copy_needs_no_table(monkeypatch):
+    rng = random.Random(5)
+    a = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    b = [w if (i + 1) % 5 else "new" for i, w in enumerate(a) if (i + 1) % 7]
+    monkeypatch.setattr(ed, "_whole", lambda *_: pytest.fail("columns computed"))
+    monkeypatch.setattr(ed, "_banded", lambda *_: pytest.fail("columns computed"))
+    wanted = 2000 // 7 + 2000 // 5 - 2000 // 35
+    assert ed.token_distance(a, b) == ed.token_distance(b, a) == wanted
+
+
+def test_a_walk_never_needs_fewer_edits_than_the_table(monkeypatch):
+    rng = random.Random(6)
+    walks = []
+    walked = ed._walked
+    monkeypatch.setattr(ed, "_walked", lambda *args: walks.append((walked(*args), args[2])) or walks[-1][0])
+    for _ in range(300):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(40))]
+        b = edited(rng, a, rng.choice((0.1, 0.3)))
+        if rng.random() < 0.3:
+            rng.shuffle(b)
+        assert ed.token_distance(a, b) == table_distance(a, b)
+        assert walked(a, b, 99) >= table_distance(a, b)
+    assert {found == limit for found, limit in walks} == {True, False}
+
+
 def words(rng, n, vocabulary=40):
     return " ".join(f"{chr(97 + rng.randrange(vocabulary) % 26)}{'x' * (rng.randrange(3))}" for _ in range(n))
 
