@@ -7,7 +7,8 @@ package spell the classes out. The spelled-out forms mean the same to both engin
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,16 +87,31 @@ def plain_breaks(text: Column) -> Column:
     return text
 
 
-def lines(text: Column) -> Column:
-    """The lines of a text without their ends; a final line break opens no extra line."""
+def _cut(text: Column, pattern: str | Column) -> Column:
     return let(
-        F.split(text, LINE_BREAK),
+        F.split(text, pattern),
         lambda parts: F.when(
             F.get(parts, F.size(parts) - 1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
         ).otherwise(parts),
     )
 
 
+def lines(text: Column) -> Column:
+    """The lines of a text without their ends; a final line break opens no extra line."""
+    return _cut(text, LINE_BREAK)
+
+
+def column_lines(text: Column) -> Column:
+    """The same for a plain column, which is read several times.
+
+    A text whose only ends are line feeds is cut at that one sign: native searches for all other ends and this cut cost
+    half of a pattern that offers a choice.
+    """
+    others = [chr(c) for lo, hi in LINE_END_RANGES for c in range(lo, hi + 1) if c != 0x0A]
+    mixed = reduce(or_, [F.contains(text, F.lit(end)) for end in others])
+    return _cut(text, F.when(mixed, F.lit(LINE_BREAK)).otherwise(F.lit("\n")))
+
+
 def unlines(parts: Column) -> Column:
     return F.array_join(parts, "\n")
 

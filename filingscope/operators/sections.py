@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import S, ascii_digits, digit_class, let, lines, strip, sub, unlines, with_once
+from filingscope.functions.text import S, ascii_digits, column_lines, digit_class, let, lines, strip, sub, unlines, with_once
 
 # The blanks that count as a plain space in a heading line, the heading pattern, the
 # opening labels of the ladder and the letters of the later ones.
@@ -268,7 +268,7 @@ def outline(text: Column, rounds: str = "previous") -> Column:
         heads = drop_repeats(all_headings(parts))
         return let(heads, lambda h: let(item_numbers(h), lambda numbers: with_numbers(parts, h, numbers)))
 
-    return let(lines(text), with_headings)
+    return let(column_lines(text), with_headings)
 
 
 def outline_filings(filings: DataFrame, rounds: str = "previous") -> DataFrame:

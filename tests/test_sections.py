@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from filingscope.functions.text import LINE_BREAK, SPACE_CHARS, lines
+from filingscope.functions.text import LINE_BREAK, SPACE_CHARS, column_lines, lines
 from filingscope.operators import headings as hd
 from filingscope.operators import sections as sec
 
@@ -205,3 +205,13 @@ def test_headings_are_repaired_without_cutting_lines(spark):
         text = re.sub(r"(?<!\w)(Items?)(?!\w)(?=\S)", r"\1 ", text)
         text = merged(merged(text, "Items?", r"\d", " "), r"Item\s+\d+", r"[A-Za-z]?\.", "")
         assert r.text == text, texts[r.i]
+
+
+def test_only_texts_with_other_line_ends_are_cut_by_the_pattern(spark):
+    ends = ["\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    texts = ["", "\n", "a\nb", "a\n\nb\n", *[f"a\nb{end}c{end}{end}d\n" for end in ends], *[f"a{end}" for end in ends]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i INT, text STRING").select("i", column_lines(F.col("text")).alias("l"))
+    assert [r["l"] for r in df.orderBy("i").collect()] == [*[t.splitlines() for t in texts], None]
+    split = df.sparkSession.createDataFrame([("1", "a", None, "x")], "cik STRING, accession STRING, filed_date DATE, text STRING")
+    plan = sec.split_items(split)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(text" in plan and "CASE WHEN" in plan.split("split(text", 1)[1][:40]
