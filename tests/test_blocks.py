@@ -56,3 +56,15 @@ def test_a_large_fit_is_whole_and_in_blocks(spark, rows, fitted, monkeypatch, ma
         row = scored[1].join(table.select("id", "features"), "id").first()
         assert abs(row["y_pred"] - sum(t.predict(row["features"]) for t in large.trees) / 10) < 1e-9
 
+
+def test_folds_of_a_large_table_are_fitted_in_blocks(spark, rows, fitted, monkeypatch):
+    table = models.assemble(rows, ["a", "b"], "y")
+    estimator = models.regressor(label="y", trees=6, min_leaf=50)
+    small = models.cross_validated_r2(estimator, table, F.col("id"))
+    assert [f[0] for f in fitted] == [6] * models.FOLDS
+    fitted.clear()
+    monkeypatch.setattr(models, "TASK_ROWS", 500)
+    monkeypatch.setattr(models, "BLOCK_TREES", 4)
+    large = models.cross_validated_r2(estimator, table, F.col("id"))
+    assert [f[0] for f in fitted] == [4, 2] * models.FOLDS
+    assert abs(large - small) < 0.05
